@@ -87,6 +87,17 @@ def first_answer(answers: DataFrame, profile_cols: list[str] | None = None,
                    .agg(F.min_by("answer", _order_key(order_cols)).alias("answer")))
 
 
+def first_answer_rows(answers: DataFrame, profile_cols: list[str] | None = None,
+                      order_cols: list[str] | None = None) -> DataFrame:
+    """Like :func:`first_answer`, plus ``first_row_id``: the row the answer came from."""
+    profile_cols = profile_cols or C.FEATURE_COLUMNS
+    order_cols = order_cols or ["row_id", "pos"]
+    r = (answers.groupBy(*profile_cols, "indicator")
+                .agg(F.min_by(F.struct("answer", "row_id"), _order_key(order_cols)).alias("_r")))
+    return r.select(*profile_cols, "indicator", F.col("_r.answer").alias("answer"),
+                    F.col("_r.row_id").alias("first_row_id"))
+
+
 def pivot_answers(answers: DataFrame, indicators: list[str], profile_cols: list[str] | None = None,
                   order_cols: list[str] | None = None, null_keys: str = "keep") -> DataFrame:
     """One row per distinct profile, one column per indicator.

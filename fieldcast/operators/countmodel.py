@@ -1,11 +1,41 @@
-"""Count model: smoothed naive Bayes for every indicator in one aggregation."""
+"""Count model: smoothed naive Bayes for every indicator at once (M3a, M4, M6,
+M7, M8, W4, W5, A17-A19).
+
+Training is one aggregation: answers are stacked into (indicator, class,
+feature, value) and counted; no loop over indicators.  With Laplace
+smoothing (alpha = 1) the log-score of class c for a profile x is
+
+    score(c) = base(c) + sum_f ln(1 + n(c, f, x_f))
+    base(c)  = ln(n_c / N) - sum_f ln(n_c + V_f)
+
+where n(c, f, v) counts training rows of class c whose feature f is v,
+n_c counts rows of class c, N all rows, and V_f is the number of distinct
+values of f seen for the indicator plus one (the unseen slot).  An unseen
+value adds nothing, so the model is two small tables: ``base`` per class and
+``delta = ln(1 + n)`` per seen (class, feature, value).
+
+For scoring, both are laid out as dense per-class vectors: one vector per
+indicator (base) and one per (indicator, feature, value).  Scoring a profile
+for an indicator is then 11 dictionary look-ups (broadcast hash joins when
+the model is proven small) and an element-wise vector sum — a narrow map
+over profile rows, no shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcast import constants as C
+from fieldcast.functions import scalar as X
+from fieldcast.operators.util import BROADCAST_MAX_ROWS, materialize
+
+NB_FEATURES = C.FEATURE_COLUMNS + [name for name, _, _ in C.INTERACTIONS]
+DEC = "decimal(18,6)"
+# Dense model cells (doubles) above which the dictionaries are joined by shuffle.
+DENSE_BROADCAST_MAX_CELLS = 20_000_000
 
 
 def trainable(first: DataFrame, min_samples: int = C.MIN_TRAINING_SAMPLES) -> DataFrame:
@@ -15,3 +45,284 @@ def trainable(first: DataFrame, min_samples: int = C.MIN_TRAINING_SAMPLES) -> Da
                  .agg(F.count("answer").alias("n_samples"),
                       F.countDistinct("answer").alias("n_classes"))
                  .filter((F.col("n_samples") >= min_samples) & (F.col("n_classes") > 1)))
+
+
+def bucket_features(prepared: DataFrame) -> DataFrame:
+    """The 11 model features as text: 8 categories as prepared, numerics bucketed
+    (workers and year by integer part, area by floor(log2(1 + area)))."""
+    def ip(c: Column) -> Column:
+        return F.floor(c).cast("bigint").cast("string")
+    return prepared.withColumns({
+        "hired_workers": ip(F.col("hired_workers")),
+        "area": ip(F.log2(1 + F.greatest(F.col("area"), F.lit(0.0)))),
+        "planYear": ip(F.col("planYear")),
+    })
+
+
+def examples(first_rows: DataFrame, modelled: DataFrame, spark) -> DataFrame:
+    """Training rows: (indicator, class, row_key, <11 features>) for every answered
+    (profile, indicator) of a modelled indicator.  ``row_key`` is the row id of
+    the first answer, unique per profile within an indicator."""
+    from fieldcast.operators.features import prepare
+    ex = first_rows.filter(F.col("answer").isNotNull()).join(modelled.select("indicator"), "indicator", "left_semi")
+    ex = bucket_features(prepare(ex, spark))
+    return ex.select("indicator", F.col("answer").alias("class"), F.col("first_row_id").alias("row_key"), *NB_FEATURES)
+
+
+def split(ex: DataFrame) -> DataFrame:
+    """Deterministic stratified holdout and K folds.
+
+    Within each (indicator, class) rows are ranked by ``row_key``; rank 1, 6,
+    11, ... (one in five) go to the test slot.  The split applies only when the
+    indicator has >= 50 rows; it is stratified only with <= 20 classes that all
+    have >= 2 rows, else ranked over the whole indicator.  If a class is then
+    missing from training, the indicator is evaluated on its training rows
+    (``eval_on_train``).  ``fold`` = (rank - 1) % k with
+    k = max(2, min(5, smallest class count))."""
+    w_cls = Window.partitionBy("indicator", "class")
+    w_ind = Window.partitionBy("indicator")
+    ex = ex.withColumn("_n_c", F.count(F.lit(1)).over(w_cls))
+    ex = ex.withColumn("_rank_c", F.row_number().over(w_cls.orderBy("row_key")))
+    ex = ex.withColumn("_rank_i", F.row_number().over(w_ind.orderBy("row_key")))
+    ex = ex.withColumn("_n", F.count(F.lit(1)).over(w_ind))
+    stats = ex.groupBy("indicator").agg(F.countDistinct("class").alias("_k"), F.min("_n_c").alias("_min_c"))
+    ex = ex.join(stats, "indicator")
+    stratify = (F.col("_k") <= C.STRATIFY_MAX_CLASSES) & (F.col("_min_c") >= 2)
+    rank = F.when(stratify, F.col("_rank_c")).otherwise(F.col("_rank_i"))
+    in_test = (F.col("_n") >= C.SPLIT_MIN_ROWS) & (((rank - 1) % C.TEST_FRACTION_FOLDS) == 0)
+    ex = ex.withColumn("is_test", in_test)
+    k = F.greatest(F.lit(2), F.least(F.lit(5), F.col("_min_c")))
+    ex = ex.withColumn("n_folds", k.cast("int")).withColumn("fold", ((F.col("_rank_c") - 1) % k).cast("int"))
+    train_classes = ex.filter(~F.col("is_test")).groupBy("indicator").agg(F.countDistinct("class").alias("_kt"))
+    ex = ex.join(train_classes, "indicator", "left")
+    split_ok = (F.col("_n") >= C.SPLIT_MIN_ROWS) & (F.coalesce(F.col("_kt"), F.lit(0)) == F.col("_k"))
+    ex = ex.withColumn("eval_on_train", ~split_ok)
+    ex = ex.withColumn("is_test", F.col("is_test") & split_ok)
+    return ex.drop("_n_c", "_rank_c", "_rank_i", "_n", "_k", "_min_c", "_kt")
+
+
+def stack(ex: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep..., feature, value) — one row per model feature."""
+    arr = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in NB_FEATURES])
+    return ex.select(*keep, F.inline(arr))
+
+
+@dataclass
+class CountModel:
+    classes: DataFrame     # (indicator, class, n_class, idx, n_classes, n_rows)
+    fv: DataFrame          # (indicator, class, feature, value, n)
+    vocab: DataFrame       # (indicator, feature, V)
+
+
+def fit(ex: DataFrame) -> CountModel:
+    """All indicators in one pass.  The (indicator, class, feature, value)
+    counts aggregate map-side, so a hot indicator or value never gathers its
+    rows in one task."""
+    fv = stack(ex, ["indicator", "class"]).groupBy("indicator", "class", "feature", "value") \
+        .agg(F.count(F.lit(1)).alias("n"))
+    return from_counts(ex.groupBy("indicator", "class").agg(F.count(F.lit(1)).alias("n_class")), fv)
+
+
+def from_counts(class_counts: DataFrame, fv: DataFrame) -> CountModel:
+    """Model tables from class counts (indicator, class, n_class) and value counts."""
+    w = Window.partitionBy("indicator")
+    classes = (class_counts
+               .withColumn("idx", (F.row_number().over(w.orderBy("class")) - 1).cast("int"))
+               .withColumn("n_classes", F.count(F.lit(1)).over(w))
+               .withColumn("n_rows", F.sum("n_class").over(w)))
+    vocab = (fv.select("indicator", "feature", "value").distinct()
+               .groupBy("indicator", "feature").agg((F.count(F.lit(1)) + 1).alias("V")))
+    return CountModel(classes, fv, vocab)
+
+
+def log_probs(m: CountModel) -> DataFrame:
+    """nb_model: (indicator, class, feature, value, logp) with the smoothed
+    ln P(value | class); feature '__prior__' rows hold ln P(class)."""
+    cond = (m.fv.join(m.classes.select("indicator", "class", "n_class"), ["indicator", "class"])
+                .join(m.vocab, ["indicator", "feature"])
+                .select("indicator", "class", "feature", "value",
+                        F.log((F.col("n") + 1) / (F.col("n_class") + F.col("V"))).alias("logp")))
+    prior = m.classes.select("indicator", "class", F.lit("__prior__").alias("feature"), F.lit("").alias("value"),
+                             F.log(F.col("n_class") / F.col("n_rows")).alias("logp"))
+    return cond.unionByName(prior).withColumn("logp", F.col("logp").cast(DEC))
+
+
+def base_scores(m: CountModel) -> DataFrame:
+    """(indicator, class, idx, base) with base = ln(n_c/N) - sum_f ln(n_c + V_f).
+    A feature with no vocabulary row (never seen) has V = 1."""
+    feats = F.array(*[F.lit(f) for f in NB_FEATURES])
+    cf = m.classes.select("indicator", "class", "idx", "n_class", "n_rows", F.explode(feats).alias("feature"))
+    cf = cf.join(m.vocab, ["indicator", "feature"], "left").withColumn("V", F.coalesce("V", F.lit(1)))
+    return cf.groupBy("indicator", "class", "idx").agg(
+        (F.log(F.first("n_class") / F.first("n_rows")) - F.sum(F.log(F.col("n_class") + F.col("V")))).alias("base"))
+
+
+def dense(m: CountModel) -> tuple[DataFrame, DataFrame]:
+    """Dense per-class vectors, classes in code-point order:
+    heads (indicator, classes, base_vec) and deltas (indicator, feature, value, vec).
+    The delta grid is (seen values x classes) per indicator: the size of the
+    model, not of the data."""
+    base = base_scores(m)
+    heads = (base.groupBy("indicator")
+                 .agg(F.array_sort(F.collect_list(F.struct("idx", "class", "base"))).alias("_s"))
+                 .select("indicator", F.transform("_s", lambda s: s["class"]).alias("classes"),
+                         F.transform("_s", lambda s: s["base"]).alias("base_vec")))
+    values = m.fv.select("indicator", "feature", "value").distinct()
+    grid = values.join(m.classes.select("indicator", "class", "idx"), "indicator")
+    cell = grid.join(m.fv, ["indicator", "class", "feature", "value"], "left") \
+               .withColumn("d", F.log1p(F.coalesce(F.col("n"), F.lit(0)).cast("double")))
+    deltas = (cell.groupBy("indicator", "feature", "value")
+                  .agg(F.array_sort(F.collect_list(F.struct("idx", "d"))).alias("_s"))
+                  .select("indicator", "feature", "value", F.transform("_s", lambda s: s["d"]).alias("vec")))
+    return heads, deltas
+
+
+def dense_cells(m: CountModel) -> int:
+    """Number of doubles in the dense model (checked before broadcasting)."""
+    per_ind = m.fv.select("indicator", "feature", "value").distinct().groupBy("indicator").count()
+    k = m.classes.groupBy("indicator").agg(F.count(F.lit(1)).alias("k"))
+    r = per_ind.join(k, "indicator").agg(F.sum((F.col("count") + 1) * F.col("k")).alias("cells")).collect()
+    return int(r[0]["cells"] or 0)
+
+
+def score(rows: DataFrame, m: CountModel, key: str, extra_year: str | None = None) -> DataFrame:
+    """Score every (key, indicator) row against its indicator's model.
+
+    ``rows`` holds (key, indicator, <11 features>).  Returns (key, indicator,
+    classes, scores) plus, if ``extra_year`` names a column, ``scores_alt``:
+    the scores with planYear replaced by that column (one extra look-up)."""
+    heads, deltas = dense(m)
+    heads, deltas = materialize(heads), materialize(deltas)
+    small = dense_cells(m) <= DENSE_BROADCAST_MAX_CELLS and deltas.count() <= BROADCAST_MAX_ROWS
+
+    def dict_for(feature: str, alias: str) -> DataFrame:
+        d = deltas.filter(F.col("feature") == feature).select(
+            F.col("indicator").alias(f"_i_{alias}"), F.col("value").alias(f"_v_{alias}"), F.col("vec").alias(alias))
+        return F.broadcast(d) if small else d
+
+    out = rows.join(F.broadcast(heads) if small else heads, "indicator")
+    looks = [(f, f"_d{j}") for j, f in enumerate(NB_FEATURES)]
+    if extra_year:
+        looks.append((extra_year, "_dalt"))
+    for col, alias in looks:
+        feat = "planYear" if col == extra_year else col
+        d = dict_for(feat, alias)
+        out = out.join(d, (out["indicator"] == d[f"_i_{alias}"]) & (out[col] == d[f"_v_{alias}"]), "left") \
+                 .drop(f"_i_{alias}", f"_v_{alias}")
+    zeros = F.transform("base_vec", lambda _: F.lit(0.0))
+    vecs = F.array(*[F.coalesce(F.col(a), zeros) for _, a in looks[:len(NB_FEATURES)]])
+    total = F.aggregate(vecs, F.col("base_vec"), lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    out = out.withColumn("scores", total)
+    if extra_year:
+        year_idx = NB_FEATURES.index("planYear")
+        cur = F.coalesce(F.col(f"_d{year_idx}"), zeros)
+        alt = F.coalesce(F.col("_dalt"), zeros)
+        out = out.withColumn("scores_alt", F.zip_with(F.zip_with("scores", cur, lambda a, b: a - b), alt,
+                                                      lambda a, b: a + b))
+    return out.drop("base_vec", *[a for _, a in looks])
+
+
+def decide(scores: Column, classes: Column) -> tuple[Column, Column]:
+    """Argmax class (scores snapped to 9 decimals, ties -> first class in
+    code-point order) and confidence = 100 x softmax maximum."""
+    snapped = F.transform(scores, lambda s: F.round(s, 9))
+    best = F.array_position(snapped, F.array_max(snapped))
+    cls = F.element_at(classes, best.cast("int"))
+    top = F.array_max(scores)
+    denom = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + F.exp(s - top))
+    return cls, (F.lit(100.0) / denom)
+
+
+def predict(rows: DataFrame, m: CountModel, key: str) -> DataFrame:
+    """(key, indicator, predicted_class, confidence)."""
+    s = score(rows, m, key)
+    cls, conf = decide(F.col("scores"), F.col("classes"))
+    return s.select(key, "indicator", cls.alias("predicted_class"), conf.alias("confidence"))
+
+
+def evaluate(ex_split: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Holdout predictions and per-indicator metrics.
+
+    The training-slot model is counted from the training rows only (the count
+    model needs no refit: it is just the counts of another row set).  Returns
+    (predictions (indicator, row_key, actual, predicted), metrics)."""
+    train = ex_split.filter(~F.col("is_test") | F.col("eval_on_train"))
+    test = ex_split.filter(F.col("is_test") | F.col("eval_on_train"))
+    m = fit(train)
+    p = predict(test.select("row_key", "indicator", *NB_FEATURES), m, "row_key")
+    preds = p.join(test.select("indicator", "row_key", F.col("class").alias("actual")), ["indicator", "row_key"]) \
+             .select("indicator", "row_key", "actual", F.col("predicted_class").alias("predicted"))
+    return preds, metrics(preds, m.classes)
+
+
+def confusion(preds: DataFrame) -> DataFrame:
+    """(indicator, actual, predicted, n)."""
+    return preds.groupBy("indicator", "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+def metrics(preds: DataFrame, classes: DataFrame) -> DataFrame:
+    """Accuracy; precision / recall / F1 on the second class for two-class
+    indicators, support-weighted over classes otherwise (zero division -> 0)."""
+    cm = confusion(preds)
+    tp = cm.filter(F.col("actual") == F.col("predicted")).groupBy("indicator", F.col("actual").alias("class")) \
+           .agg(F.sum("n").alias("tp"))
+    sup = cm.groupBy("indicator", F.col("actual").alias("class")).agg(F.sum("n").alias("support"))
+    prd = cm.groupBy("indicator", F.col("predicted").alias("class")).agg(F.sum("n").alias("npred"))
+    per = (sup.join(prd, ["indicator", "class"], "full").join(tp, ["indicator", "class"], "left")
+              .fillna(0, ["tp", "support", "npred"]))
+    prec = F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(0.0)
+    rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
+    f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
+    per = per.select("indicator", "class", "tp", "support", prec.alias("p"), rec.alias("r"), f1.alias("f"))
+    k = classes.select("indicator", "class", "idx", "n_classes")
+    per = per.join(k, ["indicator", "class"], "left")
+    binary = F.first("n_classes", ignorenulls=True) == 2
+    wsum = F.sum("support")
+    pos = lambda c: F.max(F.when(F.col("idx") == 1, F.col(c)))
+    wavg = lambda c: F.sum(F.col(c) * F.col("support")) / wsum
+    agg = per.groupBy("indicator").agg(
+        (F.sum("tp") / wsum).alias("accuracy"),
+        F.when(binary, F.coalesce(pos("p"), F.lit(0.0))).otherwise(wavg("p")).alias("precision"),
+        F.when(binary, F.coalesce(pos("r"), F.lit(0.0))).otherwise(wavg("r")).alias("recall"),
+        F.when(binary, F.coalesce(pos("f"), F.lit(0.0))).otherwise(wavg("f")).alias("f1_score"),
+        wsum.alias("test_samples"))
+    return agg
+
+
+def class_weights(ex_split: DataFrame) -> DataFrame:
+    """Balanced weights n / (k * n_c) on the training rows; for two-class
+    indicators the positive (second) class gets neg / pos and the other 1."""
+    train = ex_split.filter(~F.col("is_test") | F.col("eval_on_train"))
+    c = train.groupBy("indicator", "class").agg(F.count(F.lit(1)).alias("n_class"))
+    w = Window.partitionBy("indicator")
+    c = (c.withColumn("n", F.sum("n_class").over(w)).withColumn("k", F.count(F.lit(1)).over(w))
+          .withColumn("idx", F.row_number().over(w.orderBy("class")) - 1)
+          .withColumn("n0", F.max(F.when(F.col("idx") == 0, F.col("n_class"))).over(w)))
+    weight = F.when(F.col("k") == 2, F.when(F.col("idx") == 1, F.col("n0") / F.col("n_class")).otherwise(1.0)) \
+              .otherwise(F.col("n") / (F.col("k") * F.col("n_class")))
+    return c.select("indicator", "class", "n_class", weight.cast(DEC).alias("weight"))
+
+
+def cv_accuracy(ex_split: DataFrame, min_rows: int = C.CV_MIN_ROWS) -> DataFrame:
+    """K-fold accuracy for indicators with >= ``min_rows`` rows.
+
+    Every row is copied into the training set of each fold it does not belong
+    to, keyed '<indicator>#<fold>', so all K fold models of all indicators are
+    counted in one aggregation; each row is then scored by the model of its
+    own fold.  (The copy factor is K - 1 <= 4.)"""
+    n = ex_split.groupBy("indicator").agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("class").alias("_k"))
+    ex = ex_split.join(n.filter((F.col("_n") >= min_rows) & (F.col("_k") >= 2)).select("indicator"), "indicator",
+                       "left_semi")
+    folds = F.filter(F.sequence(F.lit(0), F.col("n_folds") - 1), lambda j: j != F.col("fold"))
+    train = ex.select("*", F.explode(folds).alias("_j")) \
+              .withColumn("indicator", F.concat_ws("#", "indicator", F.col("_j").cast("string"))).drop("_j")
+    test = ex.withColumn("_orig", F.col("indicator")) \
+             .withColumn("indicator", F.concat_ws("#", "indicator", F.col("fold").cast("string")))
+    m = fit(train)
+    p = predict(test.select("row_key", "indicator", *NB_FEATURES), m, "row_key")
+    t = test.select("row_key", "indicator", "_orig", "fold", "n_folds", F.col("class").alias("actual"))
+    j = p.join(t, ["row_key", "indicator"])
+    per_fold = j.groupBy("_orig", "fold", "n_folds").agg(
+        F.avg((F.col("predicted_class") == F.col("actual")).cast("double")).alias("acc"))
+    return per_fold.groupBy(F.col("_orig").alias("indicator")).agg(
+        F.first("n_folds").alias("n_folds"), F.avg("acc").cast(DEC).alias("cv_accuracy"))

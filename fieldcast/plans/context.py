@@ -37,6 +37,10 @@ class Ctx:
     def first(self) -> DataFrame:
         return A.first_answer(self.answers)
 
+    @cached_property
+    def first_rows(self) -> DataFrame:
+        return A.first_answer_rows(self.answers)
+
     @cached_property
     def meta(self) -> DataFrame:
         return M.question_meta(self.answers, self.spark)

@@ -1,0 +1,429 @@
+"""Queries over features and the count model: encoders, counts, split, metrics,
+batch prediction, year-over-year, explanations and feedback folding."""
+
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fieldcast import constants as C
+from fieldcast.functions import scalar as X
+from fieldcast.operators import countmodel as CM
+from fieldcast.operators import explain as EX
+from fieldcast.operators import features as FE
+from fieldcast.operators import history as H
+from fieldcast.operators import predict as P
+from fieldcast.plans.context import PROFILE_COLS, Ctx
+from fieldcast.plans.oracle_views import with_views
+from fieldcast.plans.registry import query
+from fieldcast.plans.sql import PCOLS
+from fieldcast.plans.sql_model import (CATEGORICAL, NB_FEATURES, base_ctes, bucket_cols, eval_ctes,
+                                       model_ctes, prepared_cols, request_ctes, score_ctes)
+
+DEC = "decimal(18,6)"
+VIEWS = ["f_profiles", "f_answers"]
+
+
+class Model:
+    """Lazily built model plans for one context."""
+
+    def __init__(self, ctx: Ctx):
+        self.ctx = ctx
+        self.spark = ctx.spark
+
+    @cached_property
+    def modelled(self) -> DataFrame:
+        """Indicators that get a model: trainable (P7) and not a free number."""
+        numbers = self.ctx.meta.filter(F.col("type") == "number").select("indicator")
+        return CM.trainable(self.ctx.first).join(numbers, "indicator", "left_anti")
+
+    @cached_property
+    def modelled_list(self) -> list[str]:
+        return [r[0] for r in self.modelled.select("indicator").orderBy("indicator").collect()]
+
+    @cached_property
+    def ex(self) -> DataFrame:
+        return CM.examples(self.ctx.first_rows, self.modelled, self.spark)
+
+    @cached_property
+    def model(self) -> CM.CountModel:
+        return CM.fit(self.ex)
+
+    @cached_property
+    def split(self) -> DataFrame:
+        return CM.split(self.ex)
+
+    @cached_property
+    def evaluation(self) -> tuple[DataFrame, DataFrame]:
+        return CM.evaluate(self.split)
+
+    def requests(self, indicators: list[str] | None = None, extra_prev_year: bool = False) -> DataFrame:
+        """Every profile (order) as a request, one row per modelled indicator.
+        The indicator list is questionnaire metadata, expanded with ``explode``."""
+        ids = indicators if indicators is not None else self.modelled_list
+        prof = self.ctx.profiles
+        b = CM.bucket_features(FE.prepare(prof, self.spark))
+        cols = [F.col("row_id").alias("profile_id"), *NB_FEATURES]
+        if extra_prev_year:
+            cols.append(F.floor(F.col("planYear") - 1).cast("bigint").cast("string").alias("prev_year"))
+        return b.select(*cols, F.explode(F.array(*[F.lit(i) for i in ids])).alias("indicator"))
+
+    def predictions(self, indicators: list[str] | None = None) -> DataFrame:
+        """M6: shaped predictions for every profile and modelled indicator."""
+        raw = CM.predict(self.requests(indicators), self.model, "profile_id")
+        acc = self.evaluation[1].select("indicator", (F.col("accuracy") * 100).cast(DEC).alias("model_accuracy"))
+        p = P.shape_values(raw, self.ctx.meta)
+        p = P.add_policy(p)
+        return p.join(acc, "indicator", "left").select(
+            "profile_id", "indicator", "value", "suggestedOptions", F.col("confidence").cast(DEC).alias("confidence"),
+            "policy", "ui_status", F.lit(C.SOURCE_MODEL).alias("source"), "model_accuracy")
+
+
+def _m(ctx: Ctx) -> Model:
+    return Model(ctx)
+
+
+def _sql(extra: list[tuple[str, str]], body: str, views: list[str] | None = None) -> str:
+    return with_views(views or VIEWS, base_ctes() + extra, body)
+
+
+# ---------------------------------------------------------------- features
+def train_profiles(ctx: Ctx) -> DataFrame:
+    """Distinct profiles with at least one answer (the pivot's rows), prepared."""
+    t = ctx.first.filter(F.col("answer").isNotNull()).select(*PROFILE_COLS).distinct()
+    return FE.prepare(t, ctx.spark)
+
+
+TP = f"SELECT DISTINCT {PCOLS} FROM first_rows WHERE answer IS NOT NULL"
+
+
+def _tp_prepared() -> str:
+    pc = prepared_cols("t")
+    return "SELECT " + ", ".join(f'{v} AS "{k}"' for k, v in pc.items()) + " FROM tp t"
+
+
+ENC_CTES = [("tp", TP), ("tpp", _tp_prepared()),
+            ("encv", "\nUNION ".join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM tpp" for c in CATEGORICAL)
+             + "\nUNION " + "\nUNION ".join(f"SELECT '{c}', 'Unknown'" for c in CATEGORICAL)),
+            ("enc", "SELECT feature, value, CAST(row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS INT) AS code FROM encv"),
+            ("encn", "\nUNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM tpp" for c in CATEGORICAL)),
+            ("modes", """SELECT feature, value AS mode_value FROM (
+                           SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, value) AS rn
+                           FROM encn GROUP BY feature, value) t WHERE rn = 1""")]
+
+
+def _encoded_select(src: str, keep: str, unseen_mode: bool = True) -> str:
+    joins, cols = [], []
+    for j, c in enumerate(CATEGORICAL):
+        joins.append(f"LEFT JOIN enc e{j} ON e{j}.feature = '{c}' AND e{j}.value = s.\"{c}\"")
+        fb = (f"(SELECT e.code FROM enc e JOIN modes m ON m.feature = e.feature AND m.mode_value = e.value "
+              f"WHERE e.feature = '{c}')")
+        cols.append(f"coalesce(e{j}.code, {fb}) AS {c}_encoded")
+    num = [f's."{c}" AS "{c}"' for c in C.NUMERIC_COLUMNS]
+    order = [f"{c}_encoded" if c in C.CATEGORY_COLUMNS else None for c in C.FEATURE_COLUMNS]
+    sel = []
+    enc_by = {c: cols[j] for j, c in enumerate(CATEGORICAL)}
+    for c in C.FEATURE_COLUMNS:
+        sel.append(enc_by[c] if c in C.CATEGORY_COLUMNS else f's."{c}" AS "{c}"')
+    for name, _, _ in C.INTERACTIONS:
+        sel.append(enc_by[name])
+    del num, order
+    return f"SELECT {keep}{', ' if keep else ''}{', '.join(sel)} FROM {src} s " + " ".join(joins)
+
+
+@query("encoder_fit", oracle=_sql(ENC_CTES, "SELECT * FROM enc"))
+def encoder_fit(ctx: Ctx):
+    """Category dictionaries (sorted distinct + 'Unknown' -> code)."""
+    return FE.fit_encoders(train_profiles(ctx))
+
+
+@query("feature_modes", oracle=_sql(ENC_CTES, "SELECT * FROM modes"))
+def feature_modes(ctx: Ctx):
+    """A5: most frequent value per categorical feature (ties -> smallest)."""
+    return FE.fit_modes(train_profiles(ctx))
+
+
+@query("encode_fit_transform", oracle=_sql(ENC_CTES, _encoded_select(
+    "tpp", ", ".join(f's."{c}" AS "raw_{c}"' for c in C.CATEGORY_COLUMNS))))
+def encode_fit_transform(ctx: Ctx):
+    """M1: training profiles with 11 encoded features (8 codes + 3 numerics)."""
+    tp = train_profiles(ctx)
+    keep = [F.col(c).alias(f"raw_{c}") for c in C.CATEGORY_COLUMNS]
+    tp = tp.select(*[F.col(c) for c in tp.columns], *keep)
+    enc = FE.fit_encoders(tp)
+    modes = FE.fit_modes(tp)
+    return FE.encode(tp, enc, modes, [f"raw_{c}" for c in C.CATEGORY_COLUMNS])
+
+
+@query("encode_apply", oracle=_sql(ENC_CTES + [
+    ("req", "SELECT p.row_id, " + ", ".join(f'{v} AS "{k}"' for k, v in prepared_cols("p").items()) + " FROM f_profiles p")],
+    _encoded_select("req", "s.row_id")))
+def encode_apply(ctx: Ctx):
+    """New profiles encoded with the fitted dictionaries (unseen -> mode)."""
+    tp = train_profiles(ctx)
+    enc, modes = FE.fit_encoders(tp), FE.fit_modes(tp)
+    req = FE.prepare(ctx.profiles, ctx.spark)
+    return FE.encode(req, enc, modes, ["row_id"])
+
+
+# ---------------------------------------------------------------- count model
+@query("nb_counts", oracle=_sql(model_ctes("m_", "ex"), "SELECT * FROM m_fv"))
+def nb_counts(ctx: Ctx):
+    """(indicator, class, feature, value, n) — all indicators in one aggregation."""
+    return _m(ctx).model.fv
+
+
+@query("nb_model", oracle=_sql(model_ctes("m_", "ex"), """
+SELECT f.indicator, f.class, f.feature, f.value,
+       CAST(ln((f.n + 1) / (c.n_class + v.V)) AS DECIMAL(18,6)) AS logp
+FROM m_fv f JOIN m_cls c ON c.indicator = f.indicator AND c.class = f.class
+            JOIN m_voc v ON v.indicator = f.indicator AND v.feature = f.feature
+UNION ALL
+SELECT indicator, class, '__prior__', '', CAST(ln(n_class / n_rows) AS DECIMAL(18,6)) FROM m_cls"""))
+def nb_model(ctx: Ctx):
+    """Smoothed log-probabilities ln P(value | class) and class priors."""
+    return CM.log_probs(_m(ctx).model)
+
+
+@query("stratified_split", oracle=_sql([], "SELECT indicator, row_key, class, is_test, eval_on_train FROM split"))
+def stratified_split(ctx: Ctx):
+    """Deterministic stratified 80/20 holdout slots."""
+    return _m(ctx).split.select("indicator", "row_key", "class", "is_test", "eval_on_train")
+
+
+@query("cv_folds", oracle=_sql([], "SELECT indicator, row_key, class, n_folds, fold FROM split"))
+def cv_folds(ctx: Ctx):
+    """Stratified fold numbers, k = max(2, min(5, smallest class))."""
+    return _m(ctx).split.select("indicator", "row_key", "class", "n_folds", "fold")
+
+
+@query("class_weights", oracle=_sql([
+    ("cw0", """SELECT indicator, class, count(*) AS n_class FROM split WHERE NOT is_test OR eval_on_train
+               GROUP BY indicator, class"""),
+    ("cw1", """SELECT *, sum(n_class) OVER (PARTITION BY indicator) AS n, count(*) OVER (PARTITION BY indicator) AS k,
+                      row_number() OVER (PARTITION BY indicator ORDER BY class) - 1 AS idx FROM cw0"""),
+    ("cw2", "SELECT *, max(CASE WHEN idx = 0 THEN n_class END) OVER (PARTITION BY indicator) AS n0 FROM cw1")],
+    """SELECT indicator, class, n_class,
+              CAST(CASE WHEN k = 2 THEN CASE WHEN idx = 1 THEN n0 / n_class ELSE 1.0 END
+                        ELSE n / (k * n_class) END AS DECIMAL(18,6)) AS weight FROM cw2"""))
+def class_weights(ctx: Ctx):
+    """Balanced class weights on the training slots."""
+    return CM.class_weights(_m(ctx).split)
+
+
+@query("confusion_matrix", oracle=_sql(eval_ctes(), "SELECT * FROM cm"))
+def confusion_matrix(ctx: Ctx):
+    """Holdout confusion counts (indicator, actual, predicted, n)."""
+    return CM.confusion(_m(ctx).evaluation[0])
+
+
+@query("classification_metrics", oracle=_sql(eval_ctes(), """
+SELECT indicator, CAST(accuracy AS DECIMAL(18,6)) AS accuracy, CAST(precision AS DECIMAL(18,6)) AS precision,
+       CAST(recall AS DECIMAL(18,6)) AS recall, CAST(f1_score AS DECIMAL(18,6)) AS f1_score, test_samples
+FROM metrics"""))
+def classification_metrics(ctx: Ctx):
+    """Holdout accuracy, precision, recall, F1 (binary on the second class,
+    support-weighted otherwise)."""
+    m = _m(ctx).evaluation[1]
+    return m.select("indicator", *[F.col(c).cast(DEC).alias(c) for c in ["accuracy", "precision", "recall", "f1_score"]],
+                    "test_samples")
+
+
+PRED_BODY = """
+SELECT p.profile_id, p.indicator,
+       CASE WHEN mt.type = 'checkbox' THEN NULL ELSE p.predicted_class END AS value,
+       CASE WHEN mt.type = 'checkbox' THEN [p.predicted_class] END AS "suggestedOptions",
+       CAST(p.confidence AS DECIMAL(18,6)) AS confidence,
+       CASE WHEN p.confidence >= 70 THEN 'auto_fill' WHEN p.confidence >= 40 THEN 'suggest' ELSE 'suggest_low' END AS policy,
+       CASE WHEN p.confidence >= 70 THEN 'green' WHEN p.confidence >= 40 THEN 'amber' ELSE 'red' END AS ui_status,
+       'count_model_v1' AS source, CAST(mx.accuracy * 100 AS DECIMAL(18,6)) AS model_accuracy
+FROM r_pred p LEFT JOIN meta mt ON mt.indicator = p.indicator LEFT JOIN metrics mx ON mx.indicator = p.indicator
+"""
+
+
+@query("predict_batch", oracle=_sql(eval_ctes() + request_ctes(), PRED_BODY))
+def predict_batch(ctx: Ctx):
+    """Every profile x every modelled indicator -> class, confidence,
+    policy; scored by broadcast dictionary look-ups, no shuffle of the profiles."""
+    return _m(ctx).predictions()
+
+
+def _one_indicator_ctes(ind: str) -> list[tuple[str, str]]:
+    rc = request_ctes()
+    rc[0] = (rc[0][0], rc[0][1].replace("CROSS JOIN modelled m", f"CROSS JOIN (SELECT indicator FROM modelled WHERE indicator = '{ind}') m"))
+    return rc
+
+
+@query("predict_one_indicator", oracle=_sql(eval_ctes() + _one_indicator_ctes("CM-5"), PRED_BODY))
+def predict_one_indicator(ctx: Ctx, indicator: str = "CM-5"):
+    """One indicator for every profile; the indicator filter precedes scoring."""
+    m = _m(ctx)
+    ids = [i for i in m.modelled_list if i == indicator]
+    return m.predictions(ids)
+
+
+def _yoy_ctes() -> list[tuple[str, str]]:
+    rc = request_ctes()
+    prev_feats = dict(bucket_cols("p"))
+    prev_feats["planYear"] = "CAST(CAST(floor(" + prepared_cols("p")["planYear"] + " - 1) AS BIGINT) AS VARCHAR)"
+    sel = ", ".join(f"{v} AS {k}" if k != "planYear" else f'{v} AS "planYear"' for k, v in prev_feats.items())
+    return rc + [("reqprev", f"SELECT p.row_id AS profile_id, m.indicator, {sel} FROM f_profiles p CROSS JOIN modelled m"),
+                 *score_ctes("y_", "m_", "reqprev", "profile_id"),
+                 ("yoy", """SELECT c.profile_id, c.indicator, c.predicted_class <> p.predicted_class AS changed,
+                              CASE WHEN c.predicted_class = p.predicted_class THEN 'stable'
+                                   WHEN c.confidence > p.confidence THEN 'improved' ELSE 'changed' END AS direction,
+                              p.predicted_class AS previous_value, c.predicted_class AS current_value,
+                              CAST(p.confidence AS DECIMAL(18,6)) AS previous_confidence,
+                              CAST(c.confidence AS DECIMAL(18,6)) AS current_confidence,
+                              CAST(c.confidence - p.confidence AS DECIMAL(18,6)) AS confidence_delta
+                            FROM r_pred c JOIN y_pred p ON p.profile_id = c.profile_id AND p.indicator = c.indicator""")]
+
+
+def yoy(ctx: Ctx) -> DataFrame:
+    """Each profile against the same profile one plan year earlier.
+    Both years are scored in the same row (the previous year only swaps the
+    planYear look-up), so there is no second scoring pass and no join."""
+    m = _m(ctx)
+    s = CM.score(m.requests(extra_prev_year=True), m.model, "profile_id", extra_year="prev_year")
+    cc, cconf = CM.decide(F.col("scores"), F.col("classes"))
+    pc, pconf = CM.decide(F.col("scores_alt"), F.col("classes"))
+    s = s.select("profile_id", "indicator", cc.alias("cur"), cconf.alias("cconf"), pc.alias("prev"), pconf.alias("pconf"))
+    return s.select("profile_id", "indicator", (F.col("cur") != F.col("prev")).alias("changed"),
+                    X.yoy_direction("cur", "prev", "cconf", "pconf").alias("direction"),
+                    F.col("prev").alias("previous_value"), F.col("cur").alias("current_value"),
+                    F.col("pconf").cast(DEC).alias("previous_confidence"),
+                    F.col("cconf").cast(DEC).alias("current_confidence"),
+                    (F.col("cconf") - F.col("pconf")).cast(DEC).alias("confidence_delta"))
+
+
+@query("yoy_compare", oracle=_sql(_yoy_ctes(), "SELECT * FROM yoy"))
+def yoy_compare(ctx: Ctx):
+    """Per-indicator change against the previous plan year."""
+    return yoy(ctx)
+
+
+@query("yoy_summary", oracle=_sql(_yoy_ctes(), """
+SELECT profile_id, count(*) AS total_indicators, count(*) FILTER (WHERE changed) AS changed_count,
+       count(*) FILTER (WHERE NOT changed) AS stable_count FROM yoy GROUP BY profile_id"""))
+def yoy_summary(ctx: Ctx):
+    """Total / changed / stable per profile."""
+    return yoy(ctx).groupBy("profile_id").agg(F.count(F.lit(1)).alias("total_indicators"),
+                                              F.count_if("changed").alias("changed_count"),
+                                              F.count_if(~F.col("changed")).alias("stable_count"))
+
+
+# ---------------------------------------------------------------- explanations
+EXPLAIN_ID = "BH-1"
+
+
+def _explain_ctes(ind: str) -> list[tuple[str, str]]:
+    raw = []
+    names = []
+    for f in NB_FEATURES:
+        name = f"{f}_encoded" if f in CATEGORICAL else f
+        src = f'CAST(p."{f}" AS VARCHAR)' if f in C.FEATURE_COLUMNS else None
+        iv = f"coalesce({src}, 'None')" if src else "''"
+        raw.append(f"SELECT '{f}' AS feature, '{name}' AS raw_feature, {NB_FEATURES.index(f)} AS pos, "
+                   f"p.row_id AS profile_id, {iv} AS input_value FROM f_profiles p")
+        names.append(name)
+    return _one_indicator_ctes(ind) + [
+        ("mv", "SELECT indicator, feature, value, sum(n) AS m FROM m_fv GROUP BY indicator, feature, value"),
+        ("ee", """SELECT c.indicator, c.class, v.feature,
+                         sum(v.m / c.n_rows * ln((coalesce(f.n, 0) + 1) / (c.n_class + vo.V))) AS e
+                  FROM mv v JOIN m_cls c ON c.indicator = v.indicator
+                  JOIN m_voc vo ON vo.indicator = v.indicator AND vo.feature = v.feature
+                  LEFT JOIN m_fv f ON f.indicator = v.indicator AND f.class = c.class AND f.feature = v.feature AND f.value = v.value
+                  GROUP BY c.indicator, c.class, v.feature"""),
+        ("iv", "\nUNION ALL ".join(raw)),
+        ("contrib", """SELECT q.profile_id, q.indicator, p.predicted_class, q.feature,
+                              ln((coalesce(f.n, 0) + 1) / (c.n_class + vo.V)) - e.e AS impact
+                       FROM r_qs q JOIN r_pred p ON p.profile_id = q.profile_id AND p.indicator = q.indicator
+                       JOIN m_cls c ON c.indicator = q.indicator AND c.class = p.predicted_class
+                       JOIN m_voc vo ON vo.indicator = q.indicator AND vo.feature = q.feature
+                       JOIN ee e ON e.indicator = q.indicator AND e.class = p.predicted_class AND e.feature = q.feature
+                       LEFT JOIN m_fv f ON f.indicator = q.indicator AND f.class = p.predicted_class
+                                        AND f.feature = q.feature AND f.value = q.value"""),
+        ("contrib2", """SELECT c.profile_id, c.indicator, c.predicted_class, i.raw_feature,
+                               initcap(replace(replace(i.raw_feature, '_encoded', ''), '_', ' ')) AS feature,
+                               c.impact, i.input_value, i.pos
+                        FROM contrib c JOIN iv i ON i.profile_id = c.profile_id AND i.feature = c.feature"""),
+    ]
+
+
+def explanations(ctx: Ctx, indicator: str = EXPLAIN_ID) -> DataFrame:
+    m = _m(ctx)
+    ids = [i for i in m.modelled_list if i == indicator]
+    req = m.requests(ids)
+    raw = ctx.profiles.select(F.col("row_id").alias("profile_id"), *C.FEATURE_COLUMNS)
+    return EX.contributions(req, m.model, raw, "profile_id")
+
+
+@query("explain_contributions", oracle=_sql(_explain_ctes(EXPLAIN_ID), """
+SELECT profile_id, indicator, predicted_class, raw_feature, feature, CAST(impact AS DECIMAL(18,6)) AS impact, input_value
+FROM contrib2"""))
+def explain_contributions(ctx: Ctx):
+    """M8: exact additive (Shapley) contributions of each feature to the predicted
+    class's log-score, against the training distribution."""
+    return explanations(ctx).select("profile_id", "indicator", "predicted_class", "raw_feature", "feature",
+                                    F.col("impact").cast(DEC).alias("impact"), "input_value")
+
+
+@query("explain_top_drivers", oracle=_sql(_explain_ctes(EXPLAIN_ID), """
+SELECT profile_id, indicator, CAST(rank AS BIGINT) AS rank, feature, impact FROM (
+  SELECT profile_id, indicator, feature, CAST(impact AS DECIMAL(18,4)) AS impact,
+         row_number() OVER (PARTITION BY profile_id, indicator ORDER BY abs(CAST(impact AS DECIMAL(18,4))) DESC, pos) AS rank
+  FROM contrib2 WHERE abs(CAST(impact AS DECIMAL(18,4))) > 0.01) t
+WHERE rank <= 5"""))
+def explain_top_drivers(ctx: Ctx):
+    """Top-5 drivers by |impact| (rounded to 4 places, > 0.01)."""
+    return EX.top_drivers(explanations(ctx)).select("profile_id", "indicator", "rank", "feature", "impact")
+
+
+@query("explain_reason")
+def explain_reason(ctx: Ctx):
+    """Reason sentence from the top three drivers that have an input value."""
+    return EX.reasons(explanations(ctx))
+
+
+# ---------------------------------------------------------------- feedback folding
+def _fold_ctes() -> list[tuple[str, str]]:
+    bc = bucket_cols("u2")
+    feats = ", ".join(f"{v} AS {k}" if k != "planYear" else f'{v} AS "planYear"' for k, v in bc.items())
+    return model_ctes("m_", "ex") + [
+        ("usable", "SELECT * FROM f_feedback WHERE actual_value IS NOT NULL AND actual_value <> ''"),
+        ("ready", """SELECT indicator FROM usable GROUP BY indicator
+                     HAVING count(*) >= 10 AND indicator IN (SELECT indicator FROM modelled)"""),
+        ("uc0", """SELECT u.* FROM usable u WHERE u.indicator IN (SELECT indicator FROM ready)
+                   AND EXISTS (SELECT 1 FROM m_cls c WHERE c.indicator = u.indicator AND c.class = u.actual_value)"""),
+        ("uc", "SELECT * FROM uc0 WHERE indicator IN (SELECT indicator FROM uc0 GROUP BY indicator HAVING count(*) >= 2)"),
+        ("u2", """SELECT indicator, actual_value AS class, CAST(NULL AS VARCHAR) AS country_code, CAST(NULL AS VARCHAR) AS crop_name,
+                         partner, CAST(NULL AS VARCHAR) AS subpartner, CAST(NULL AS VARCHAR) AS irrigation,
+                         CAST(NULL AS VARCHAR) AS hired_workers, area, CAST(NULL AS INT) AS "planYear" FROM uc"""),
+        ("corr", f"SELECT u2.indicator, u2.class, {feats} FROM u2"),
+        *[(n.replace("m_", "c_", 1), s) for n, s in model_ctes("c_", "corr")[:3]],
+    ]
+
+
+@query("apply_feedback", oracle=_sql(_fold_ctes(), """
+SELECT indicator, class, feature, value, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT indicator, class, feature, value, n FROM m_fv
+  UNION ALL SELECT indicator, class, feature, value, n FROM c_fv
+  UNION ALL SELECT indicator, class, '__class__', '', n_class FROM m_cls
+  UNION ALL SELECT indicator, class, '__class__', '', n_class FROM c_cls) t
+GROUP BY indicator, class, feature, value""", VIEWS + ["f_feedback"]))
+def apply_feedback(ctx: Ctx):
+    """M7: fold usable corrections into the count model — the updated counts are
+    exactly the counts of the union of training rows and corrections (no encoder
+    refit, H8).  Rows with feature '__class__' hold the class counts."""
+    m = _m(ctx)
+    from fieldcast.operators.feedback import fold_corrections
+    return fold_corrections(m.model, ctx.feedback, m.modelled, ctx.spark)
+
+
+# ---------------------------------------------------------------- R (rows only)
+@query("nb_cv_accuracy")
+def nb_cv_accuracy(ctx: Ctx):
+    """M4: K-fold cross-validated accuracy; all fold models counted in one pass."""
+    return CM.cv_accuracy(_m(ctx).split)
