@@ -113,6 +113,10 @@ class CountModel:
     fv: DataFrame          # (indicator, class, feature, value, n)
     vocab: DataFrame       # (indicator, feature, V)
 
+    def materialized(self) -> "CountModel":
+        """The three model tables written to the checkpoint folder (model-sized)."""
+        return CountModel(materialize(self.classes), materialize(self.fv), materialize(self.vocab))
+
 
 def fit(ex: DataFrame) -> CountModel:
     """All indicators in one pass.  The (indicator, class, feature, value)
@@ -248,7 +252,7 @@ def evaluate(ex_split: DataFrame) -> tuple[DataFrame, DataFrame]:
     (predictions (indicator, row_key, actual, predicted), metrics)."""
     train = ex_split.filter(~F.col("is_test") | F.col("eval_on_train"))
     test = ex_split.filter(F.col("is_test") | F.col("eval_on_train"))
-    m = fit(train)
+    m = fit(train).materialized()
     p = predict(test.select("row_key", "indicator", *NB_FEATURES), m, "row_key")
     preds = p.join(test.select("indicator", "row_key", F.col("class").alias("actual")), ["indicator", "row_key"]) \
              .select("indicator", "row_key", "actual", F.col("predicted_class").alias("predicted"))

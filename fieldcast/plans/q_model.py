@@ -19,6 +19,7 @@ from fieldcast.plans.context import PROFILE_COLS, Ctx
 from fieldcast.plans.oracle_views import with_views
 from fieldcast.plans.registry import query
 from fieldcast.plans.sql import PCOLS
+from fieldcast.operators.util import materialize
 from fieldcast.plans.sql_model import (CATEGORICAL, NB_FEATURES, base_ctes, bucket_cols, eval_ctes,
                                        model_ctes, prepared_cols, request_ctes, score_ctes)
 
@@ -45,15 +46,19 @@ class Model:
 
     @cached_property
     def ex(self) -> DataFrame:
-        return CM.examples(self.ctx.first_rows, self.modelled, self.spark)
+        """Training rows, written once to the checkpoint folder: the model, the
+        split and the evaluation all read them, and the answer pipeline behind
+        them (window + join + aggregation) must not run again for each."""
+        return materialize(CM.split(CM.examples(self.ctx.first_rows, self.modelled, self.spark)))
 
     @cached_property
     def model(self) -> CM.CountModel:
-        return CM.fit(self.ex)
+        return CM.fit(self.ex).materialized()
 
     @cached_property
     def split(self) -> DataFrame:
-        return CM.split(self.ex)
+        """The training rows carry their holdout slot and fold (written with them)."""
+        return self.ex
 
     @cached_property
     def evaluation(self) -> tuple[DataFrame, DataFrame]:
@@ -345,8 +350,11 @@ def _explain_ctes(ind: str) -> list[tuple[str, str]]:
                        JOIN ee e ON e.indicator = q.indicator AND e.class = p.predicted_class AND e.feature = q.feature
                        LEFT JOIN m_fv f ON f.indicator = q.indicator AND f.class = p.predicted_class
                                         AND f.feature = q.feature AND f.value = q.value"""),
+        ("readable", "SELECT * FROM (VALUES " + ", ".join(
+            "('{}', '{}')".format(n, n.replace("_encoded", "").replace("_", " ").title()) for n in names)
+            + ") t(raw_feature, feature)"),
         ("contrib2", """SELECT c.profile_id, c.indicator, c.predicted_class, i.raw_feature,
-                               initcap(replace(replace(i.raw_feature, '_encoded', ''), '_', ' ')) AS feature,
+                               (SELECT r.feature FROM readable r WHERE r.raw_feature = i.raw_feature) AS feature,
                                c.impact, i.input_value, i.pos
                         FROM contrib c JOIN iv i ON i.profile_id = c.profile_id AND i.feature = c.feature"""),
     ]
