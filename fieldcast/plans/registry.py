@@ -28,4 +28,4 @@ def query(key: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from fieldcast.plans import q_answers, q_history, q_model  # noqa: F401
+    from fieldcast.plans import q_answers, q_history, q_model, q_stream  # noqa: F401
