@@ -435,3 +435,41 @@ def apply_feedback(ctx: Ctx):
 def nb_cv_accuracy(ctx: Ctx):
     """M4: K-fold cross-validated accuracy; all fold models counted in one pass."""
     return CM.cv_accuracy(_m(ctx).split)
+
+
+# ---------------------------------------------------------------- neighbours
+def _knn_ctes() -> list[tuple[str, str]]:
+    from fieldcast.operators.features import FEATURE_NAMES
+    tr_cols = ", ".join(f'{v} AS "{k}"' for k, v in prepared_cols("t").items())
+    dist = " + ".join(f'(CAST(q."{f}" AS DOUBLE) - CAST(t."{f}" AS DOUBLE)) * (CAST(q."{f}" AS DOUBLE) - CAST(t."{f}" AS DOUBLE))'
+                      for f in FEATURE_NAMES)
+    return ENC_CTES + [
+        ("req", "SELECT p.row_id, " + ", ".join(f'{v} AS "{k}"' for k, v in prepared_cols("p").items()) + " FROM f_profiles p"),
+        ("qenc", _encoded_select("req", "s.row_id")),
+        ("trn", f"SELECT min(first_row_id) AS train_id, {PCOLS} FROM first_rows WHERE answer IS NOT NULL GROUP BY {PCOLS}"),
+        ("trp", f"SELECT t.train_id, {tr_cols} FROM trn t"),
+        ("tenc", _encoded_select("trp", "s.train_id")),
+        ("nn", f"""SELECT query_id, unnest(top) AS nb, generate_subscripts(top, 1) AS rank FROM (
+                     SELECT q.row_id AS query_id,
+                            arg_min({{'d': sqrt({dist}), 'id': t.train_id}}, {{'d': sqrt({dist}), 'id': t.train_id}}, 5) AS top
+                     FROM qenc q, tenc t GROUP BY q.row_id) x"""),
+        ("nn2", "SELECT query_id, rank, nb.id AS neighbour_id, nb.d AS distance, max(nb.d) OVER (PARTITION BY query_id) AS dmax FROM nn"),
+    ]
+
+
+@query("similar_farms", oracle=_sql(_knn_ctes(), """
+SELECT query_id AS row_id, CAST(rank AS BIGINT) AS rank, neighbour_id, CAST(distance AS DECIMAL(18,6)) AS distance,
+       CAST(greatest(0.0, (1 - distance / (CASE WHEN dmax > 0 THEN dmax ELSE 1.0 END + 1e-9)) * 100) AS DECIMAL(18,6)) AS similarity_pct
+FROM nn2"""))
+def similar_farms(ctx: Ctx):
+    """The 5 most similar training farms of every profile (exact
+    Euclidean k-NN on encoded features; banded search, no all-pairs join)."""
+    from fieldcast.operators import similar as SIM
+    first = ctx.first_rows.filter(F.col("answer").isNotNull())
+    trn = first.groupBy(*PROFILE_COLS).agg(F.min("first_row_id").alias("train_id"))
+    tp = FE.prepare(trn, ctx.spark)
+    enc, modes = FE.fit_encoders(tp), FE.fit_modes(tp)
+    enc = materialize(enc)
+    train = FE.encode(tp, enc, modes, ["train_id"])
+    queries = FE.encode(FE.prepare(ctx.profiles, ctx.spark), enc, modes, ["row_id"])
+    return SIM.nearest(queries, train, "row_id", "train_id", k=C.DEFAULT_NEIGHBOURS)
