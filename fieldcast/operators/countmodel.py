@@ -112,10 +112,15 @@ class CountModel:
     classes: DataFrame     # (indicator, class, n_class, idx, n_classes, n_rows)
     fv: DataFrame          # (indicator, class, feature, value, n)
     vocab: DataFrame       # (indicator, feature, V)
+    alpha: float = 1.0     # Laplace smoothing
 
     def materialized(self) -> "CountModel":
         """The three model tables written to the checkpoint folder (model-sized)."""
-        return CountModel(materialize(self.classes), materialize(self.fv), materialize(self.vocab))
+        return CountModel(materialize(self.classes), materialize(self.fv), materialize(self.vocab), self.alpha)
+
+    def with_alpha(self, alpha: float) -> "CountModel":
+        """Same counts, another smoothing (the counts do not depend on it)."""
+        return CountModel(self.classes, self.fv, self.vocab, alpha)
 
 
 def fit(ex: DataFrame) -> CountModel:
@@ -152,13 +157,19 @@ def log_probs(m: CountModel) -> DataFrame:
 
 
 def base_scores(m: CountModel) -> DataFrame:
-    """(indicator, class, idx, base) with base = ln(n_c/N) - sum_f ln(n_c + V_f).
-    A feature with no vocabulary row (never seen) has V = 1."""
+    """(indicator, class, idx, base) with base = ln(n_c/N) - sum_f ln(n_c + a V_f)
+    + F ln a (a = alpha; the last term vanishes for a = 1).  A feature with no
+    vocabulary row (never seen) has V = 1."""
     feats = F.array(*[F.lit(f) for f in NB_FEATURES])
     cf = m.classes.select("indicator", "class", "idx", "n_class", "n_rows", F.explode(feats).alias("feature"))
     cf = cf.join(m.vocab, ["indicator", "feature"], "left").withColumn("V", F.coalesce("V", F.lit(1)))
-    return cf.groupBy("indicator", "class", "idx").agg(
-        (F.log(F.first("n_class") / F.first("n_rows")) - F.sum(F.log(F.col("n_class") + F.col("V")))).alias("base"))
+    a = float(m.alpha)
+    smooth = F.col("n_class") + F.col("V") if a == 1.0 else F.col("n_class") + F.lit(a) * F.col("V")
+    base = F.log(F.first("n_class") / F.first("n_rows")) - F.sum(F.log(smooth))
+    if a != 1.0:
+        import math
+        base = base + F.lit(len(NB_FEATURES) * math.log(a))
+    return cf.groupBy("indicator", "class", "idx").agg(base.alias("base"))
 
 
 def dense(m: CountModel) -> tuple[DataFrame, DataFrame]:
@@ -173,8 +184,9 @@ def dense(m: CountModel) -> tuple[DataFrame, DataFrame]:
                          F.transform("_s", lambda s: s["base"]).alias("base_vec")))
     values = m.fv.select("indicator", "feature", "value").distinct()
     grid = values.join(m.classes.select("indicator", "class", "idx"), "indicator")
-    cell = grid.join(m.fv, ["indicator", "class", "feature", "value"], "left") \
-               .withColumn("d", F.log1p(F.coalesce(F.col("n"), F.lit(0)).cast("double")))
+    n = F.coalesce(F.col("n"), F.lit(0)).cast("double")
+    d = F.log1p(n) if float(m.alpha) == 1.0 else F.log1p(n / F.lit(float(m.alpha)))
+    cell = grid.join(m.fv, ["indicator", "class", "feature", "value"], "left").withColumn("d", d)
     deltas = (cell.groupBy("indicator", "feature", "value")
                   .agg(F.array_sort(F.collect_list(F.struct("idx", "d"))).alias("_s"))
                   .select("indicator", "feature", "value", F.transform("_s", lambda s: s["d"]).alias("vec")))
@@ -307,7 +319,7 @@ def class_weights(ex_split: DataFrame) -> DataFrame:
     return c.select("indicator", "class", "n_class", weight.cast(DEC).alias("weight"))
 
 
-def cv_accuracy(ex_split: DataFrame, min_rows: int = C.CV_MIN_ROWS) -> DataFrame:
+def cv_accuracy(ex_split: DataFrame, min_rows: int = C.CV_MIN_ROWS, alphas: list[float] | None = None) -> DataFrame:
     """K-fold accuracy for indicators with >= ``min_rows`` rows.
 
     Every row is copied into the training set of each fold it does not belong
@@ -322,11 +334,17 @@ def cv_accuracy(ex_split: DataFrame, min_rows: int = C.CV_MIN_ROWS) -> DataFrame
               .withColumn("indicator", F.concat_ws("#", "indicator", F.col("_j").cast("string"))).drop("_j")
     test = ex.withColumn("_orig", F.col("indicator")) \
              .withColumn("indicator", F.concat_ws("#", "indicator", F.col("fold").cast("string")))
-    m = fit(train)
-    p = predict(test.select("row_key", "indicator", *NB_FEATURES), m, "row_key")
-    t = test.select("row_key", "indicator", "_orig", "fold", "n_folds", F.col("class").alias("actual"))
-    j = p.join(t, ["row_key", "indicator"])
-    per_fold = j.groupBy("_orig", "fold", "n_folds").agg(
-        F.avg((F.col("predicted_class") == F.col("actual")).cast("double")).alias("acc"))
-    return per_fold.groupBy(F.col("_orig").alias("indicator")).agg(
-        F.first("n_folds").alias("n_folds"), F.avg("acc").cast(DEC).alias("cv_accuracy"))
+    m = fit(train).materialized()
+    t = materialize(test.select("row_key", "indicator", "_orig", "fold", "n_folds", F.col("class").alias("actual"),
+                                *NB_FEATURES))
+    out = None
+    for a in (alphas or [1.0]):
+        p = predict(t.select("row_key", "indicator", *NB_FEATURES), m.with_alpha(a), "row_key")
+        j = p.join(t.select("row_key", "indicator", "_orig", "fold", "n_folds", "actual"), ["row_key", "indicator"])
+        per_fold = j.groupBy("_orig", "fold", "n_folds").agg(
+            F.avg((F.col("predicted_class") == F.col("actual")).cast("double")).alias("acc"))
+        r = per_fold.groupBy(F.col("_orig").alias("indicator")).agg(
+            F.first("n_folds").alias("n_folds"), F.avg("acc").cast(DEC).alias("cv_accuracy"))
+        r = r.withColumn("alpha", F.lit(float(a)))
+        out = r if out is None else out.unionByName(r)
+    return out if alphas else out.drop("alpha")

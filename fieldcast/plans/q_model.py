@@ -473,3 +473,53 @@ def similar_farms(ctx: Ctx):
     train = FE.encode(tp, enc, modes, ["train_id"])
     queries = FE.encode(FE.prepare(ctx.profiles, ctx.spark), enc, modes, ["row_id"])
     return SIM.nearest(queries, train, "row_id", "train_id", k=C.DEFAULT_NEIGHBOURS)
+
+
+# ---------------------------------------------------------------- trees, grid, state
+def encoded_examples(ctx: Ctx, m: Model) -> DataFrame:
+    """Training rows with the 11 encoded features (codes + raw numerics) and split slots."""
+    first = ctx.first_rows.filter(F.col("answer").isNotNull()).join(m.modelled.select("indicator"), "indicator",
+                                                                    "left_semi")
+    tp = train_profiles(ctx)
+    enc, modes = materialize(FE.fit_encoders(tp)), FE.fit_modes(tp)
+    prepared = FE.prepare(first, ctx.spark)
+    e = FE.encode(prepared, enc, modes, ["indicator", "answer", "first_row_id"])
+    slots = m.split.select("indicator", "row_key", "is_test", "eval_on_train", "fold")
+    return e.select(F.col("first_row_id").alias("row_key"), "indicator", F.col("answer").alias("class"),
+                    *FE.FEATURE_NAMES).join(slots, ["indicator", "row_key"])
+
+
+@query("trees_train")
+def trees_train(ctx: Ctx):
+    """One tree ensemble per modelled indicator (GBT for two classes,
+    random forest otherwise) with the reference parameters; holdout accuracy."""
+    from fieldcast.operators import trees as TR
+    m = _m(ctx)
+    table = TR.feature_table(encoded_examples(ctx, m), m.model.classes, CM.class_weights(m.split))
+    k = {r["indicator"]: r["n_classes"] for r in m.model.classes.select("indicator", "n_classes").distinct().collect()}
+    _, summary = TR.train_all(ctx.spark, table, k)
+    return summary
+
+
+@query("grid_search")
+def grid_search(ctx: Ctx):
+    """M5 for the count model: cross-validated accuracy over a smoothing grid;
+    all fold models are counted once and only re-scored per alpha."""
+    alphas = [0.25, 0.5, 1.0, 2.0]
+    r = CM.cv_accuracy(_m(ctx).split, alphas=alphas)
+    from pyspark.sql import Window
+    w = Window.partitionBy("indicator").orderBy(F.col("cv_accuracy").desc(), F.col("alpha").desc())
+    return r.withColumn("best", F.row_number().over(w) == 1)
+
+
+@query("params_roundtrip")
+def params_roundtrip(ctx: Ctx):
+    """Save the model state as a version, load it back, return the loaded counts."""
+    from fieldcast.sources import store
+    m = _m(ctx)
+    version = store.version_label()
+    root = f"{store.models_root(ctx.spark)}-{__import__('uuid').uuid4().hex[:8]}"
+    store.save_state(ctx.spark, {"classes": m.model.classes, "fv": m.model.fv, "vocab": m.model.vocab,
+                                 "meta": ctx.meta}, version, root)
+    loaded = store.load_state(ctx.spark, version, root=root)
+    return loaded["fv"]
