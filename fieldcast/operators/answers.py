@@ -115,7 +115,8 @@ def pivot_answers(answers: DataFrame, indicators: list[str], profile_cols: list[
     aggs = [F.min_by("answer", F.when(F.col("indicator") == ind, key)).alias(ind) for ind in indicators]
     wide = answers.groupBy(*profile_cols).agg(*aggs)
     if indicators:
-        wide = wide.filter(F.greatest(*[F.col(f"`{i}`").isNotNull().cast("int") for i in indicators]) == 1)
+        from functools import reduce
+        wide = wide.filter(reduce(lambda a, b: a | b, [F.col(f"`{i}`").isNotNull() for i in indicators]))
     return wide
 
 

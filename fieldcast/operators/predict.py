@@ -85,3 +85,10 @@ def resolve_conditionals(pred: DataFrame, conditions: DataFrame, key: str = "pro
                  .filter(F.col("_pv") == F.col("parent_value"))
         kept = kept.unionByName(ok.select(*pred.columns))
     return kept
+
+
+def fill_failed(pred: DataFrame) -> DataFrame:
+    """X25 (v1 behaviour): a prediction that failed is kept as 'Unknown' with
+    confidence 0; the v2 behaviour is simply to drop such rows (inner join)."""
+    return pred.withColumn("predicted_class", F.coalesce("predicted_class", F.lit("Unknown"))) \
+               .withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
