@@ -153,7 +153,9 @@ SELECT run_id, indicator, section, predicted_value, confidence, ui_status, model
 FROM items_sec WHERE run_id = '7' ORDER BY indicator"""))
 def run_items(ctx: Ctx, run_id: str = "7"):
     """The items of one run, by indicator (a point look-up; the filter reaches the scan)."""
-    return (items_sec(ctx).filter(F.col("run_id") == run_id)
+    from fieldcast.sources.fixtures import items as fixture_items
+    it = M.with_section(fixture_items(ctx.spark, ctx.sf_dir, run_key=int(run_id)), ctx.spark)
+    return (it.filter(F.col("run_id") == run_id)
             .select("run_id", "indicator", "section", "predicted_value", "confidence", "ui_status", "model_accuracy")
             .orderBy("indicator"))
 

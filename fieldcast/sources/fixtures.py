@@ -88,10 +88,13 @@ def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
                      *_answer_columns())
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def items(spark: SparkSession, sf_dir: str, run_key: int | None = None) -> DataFrame:
     """Prediction items: first answer per (run, indicator) with its confidence band.
-    ``min_by`` over the list order aggregates map-side; no window sort needed."""
+    ``min_by`` over the list order aggregates map-side; no window sort needed.
+    ``run_key`` restricts to one run with a filter the parquet scan receives."""
     li = table(spark, sf_dir, "lineitem")
+    if run_key is not None:
+        li = li.filter(F.col("l_orderkey") == F.lit(run_key))
     a = li.select(F.col("l_orderkey").alias("row_id"),
                   F.struct(*_ANSWER_ORDER).alias("ord"),
                   *_answer_columns()).withColumn("indicator", F.trim("soaId"))
