@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldcast import constants as C
 from fieldcast.functions import scalar as X
+from fieldcast.operators.util import materialize
 
 
 def section_map(spark: SparkSession) -> DataFrame:
@@ -22,6 +23,20 @@ def with_section(df: DataFrame, spark: SparkSession, id_col: str = "indicator")
     return out.withColumn("section", F.coalesce(F.col("section"), F.lit(C.DEFAULT_SECTION)))
 
 
+def value_summary(answers: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
+    """One pass over the answers: (indicator, value, first_label) where value is
+    the cleaned answer (null for blanks) and first_label the earliest non-blank
+    label in that group as struct(order, label).  Everything question_meta
+    needs derives from this table, which is bounded by the number of distinct
+    answers, so it is written once and the answers are read once."""
+    order_cols = order_cols or ["row_id", "pos"]
+    lab = F.trim("labelName")
+    first_label = F.min(F.when(lab.isNotNull() & (F.length(lab) > 0),
+                               F.struct(F.struct(*order_cols).alias("o"), lab.alias("label"))))
+    return (answers.select("indicator", X.clean_answer("answer").alias("value"), "labelName", *order_cols)
+                   .groupBy("indicator", "value").agg(first_label.alias("first_label")))
+
+
 def distinct_answer_values(answers: DataFrame) -> DataFrame:
     """(indicator, value): distinct cleaned answers per indicator.  A map-side
     distinct, then a shuffle on (indicator, value): a hot indicator spreads
@@ -30,14 +45,15 @@ def distinct_answer_values(answers: DataFrame) -> DataFrame:
                    .filter(F.col("value").isNotNull()).distinct())
 
 
-def infer_types(answers: DataFrame) -> DataFrame:
+def infer_types(answers: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """(indicator, type, n_values, options) from the observed answers.
 
     Counts and flags are plain aggregates over the distinct values; option
     lists are only gathered for indicators with at most 75 values, so no
     unbounded list is ever collected into one group."""
-    values = distinct_answer_values(answers)
-    all_ids = answers.select("indicator").distinct()
+    summary = summary if summary is not None else materialize(value_summary(answers))
+    values = summary.filter(F.col("value").isNotNull()).select("indicator", "value")
+    all_ids = summary.select("indicator").distinct()
     stats = (values.groupBy("indicator").agg(
         F.count("value").alias("n_values"),
         F.bool_and(X.is_boolean_text("value")).alias("all_bool"),
@@ -83,9 +99,12 @@ def first_labels(answers: DataFrame, order_cols: list[str] | None = None) -> Dat
 
 def question_meta(answers: DataFrame, spark: SparkSession, order_cols: list[str] | None = None) -> DataFrame:
     """(indicator, type, section, labelName, conditional, parent, parent_value,
-    options, multi).  Conditional questions come only from overrides (H9)."""
-    types = infer_types(answers)
-    labels = first_labels(answers, order_cols)
+    options, multi).  Conditional questions come only from overrides (H9).
+    The answers are read once (see :func:`value_summary`)."""
+    summary = materialize(value_summary(answers, order_cols))
+    types = infer_types(answers, summary)
+    labels = summary.groupBy("indicator").agg(
+        F.coalesce(F.min("first_label").getField("label"), F.lit("")).alias("labelName"))
     meta = with_section(types.join(labels, "indicator", "left"), spark)
     return meta.select(
         "indicator", "type", "section",

@@ -34,11 +34,17 @@ class Model:
         self.ctx = ctx
         self.spark = ctx.spark
 
+    @cached_property
+    def first_rows(self) -> DataFrame:
+        """First answers (with their row), written once: the trainable test,
+        the training rows and the encoders all read them."""
+        return materialize(self.ctx.first_rows)
+
     @cached_property
     def modelled(self) -> DataFrame:
         """Indicators that get a model: trainable (P7) and not a free number."""
         numbers = self.ctx.meta.filter(F.col("type") == "number").select("indicator")
-        return CM.trainable(self.ctx.first).join(numbers, "indicator", "left_anti")
+        return materialize(CM.trainable(self.first_rows).join(numbers, "indicator", "left_anti"))
 
     @cached_property
     def modelled_list(self) -> list[str]:
@@ -49,7 +55,7 @@ class Model:
         """Training rows, written once to the checkpoint folder: the model, the
         split and the evaluation all read them, and the answer pipeline behind
         them (window + join + aggregation) must not run again for each."""
-        return materialize(CM.split(CM.examples(self.ctx.first_rows, self.modelled, self.spark)))
+        return materialize(CM.split(CM.examples(self.first_rows, self.modelled, self.spark)))
 
     @cached_property
     def model(self) -> CM.CountModel:
