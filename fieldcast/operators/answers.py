@@ -76,15 +76,17 @@ def first_answer(answers: DataFrame, profile_cols: list[str] | None = None,
 
     ``min_by`` over the order key is deterministic and aggregates map-side,
     so a hot profile or indicator never gathers its rows in one task.
-    A null first answer is kept as null (H2).  ``null_keys='drop'`` drops
+    A null first answer is kept as null (H2).  ``min(struct(order..., answer))``
+    is the same choice as ``min_by`` (the order is unique) with a cheaper buffer.  ``null_keys='drop'`` drops
     profiles with a null key column, as a pandas pivot does (H1)."""
     profile_cols = profile_cols or C.FEATURE_COLUMNS
     order_cols = order_cols or ["row_id", "pos"]
     if null_keys == "drop":
         for c in profile_cols:
             answers = answers.filter(F.col(c).isNotNull())
+    first = F.min(F.struct(*[F.col(c) for c in order_cols], F.col("answer").alias("_a")))
     return (answers.groupBy(*profile_cols, "indicator")
-                   .agg(F.min_by("answer", _order_key(order_cols)).alias("answer")))
+                   .agg(first.getField("_a").alias("answer")))
 
 
 def first_answer_rows(answers: DataFrame, profile_cols: list[str] | None = None,
@@ -92,10 +94,11 @@ def first_answer_rows(answers: DataFrame, profile_cols: list[str] | None = None,
     """Like :func:`first_answer`, plus ``first_row_id``: the row the answer came from."""
     profile_cols = profile_cols or C.FEATURE_COLUMNS
     order_cols = order_cols or ["row_id", "pos"]
-    r = (answers.groupBy(*profile_cols, "indicator")
-                .agg(F.min_by(F.struct("answer", "row_id"), _order_key(order_cols)).alias("_r")))
-    return r.select(*profile_cols, "indicator", F.col("_r.answer").alias("answer"),
-                    F.col("_r.row_id").alias("first_row_id"))
+    first = F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)],
+                           F.col("answer").alias("_a"), F.col("row_id").alias("_r")))
+    r = answers.groupBy(*profile_cols, "indicator").agg(first.alias("_f"))
+    return r.select(*profile_cols, "indicator", F.col("_f._a").alias("answer"),
+                    F.col("_f._r").alias("first_row_id"))
 
 
 def pivot_answers(answers: DataFrame, indicators: list[str], profile_cols: list[str] | None = None,
@@ -111,8 +114,9 @@ def pivot_answers(answers: DataFrame, indicators: list[str], profile_cols: list[
     if null_keys == "drop":
         for c in profile_cols:
             answers = answers.filter(F.col(c).isNotNull())
-    key = _order_key(order_cols)
-    aggs = [F.min_by("answer", F.when(F.col("indicator") == ind, key)).alias(ind) for ind in indicators]
+    # min of (order, answer) restricted to one indicator's rows = its first answer
+    key = F.struct(*[F.col(c) for c in order_cols], F.col("answer").alias("_a"))
+    aggs = [F.min(F.when(F.col("indicator") == ind, key)).getField("_a").alias(ind) for ind in indicators]
     wide = answers.groupBy(*profile_cols).agg(*aggs)
     if indicators:
         from functools import reduce

@@ -115,8 +115,13 @@ class CountModel:
     alpha: float = 1.0     # Laplace smoothing
 
     def materialized(self) -> "CountModel":
-        """The three model tables written to the checkpoint folder (model-sized)."""
-        return CountModel(materialize(self.classes), materialize(self.fv), materialize(self.vocab), self.alpha)
+        """The value counts written once to the checkpoint folder (model-sized);
+        class counts and vocabulary are then cheap aggregates over written tables."""
+        fv = materialize(self.fv, "nb_fv")
+        # every row has each feature once, so one feature's counts sum to n_class
+        cc = fv.filter(F.col("feature") == NB_FEATURES[0]).groupBy("indicator", "class") \
+               .agg(F.sum("n").alias("n_class"))
+        return from_counts(cc, fv, self.alpha)
 
     def with_alpha(self, alpha: float) -> "CountModel":
         """Same counts, another smoothing (the counts do not depend on it)."""
@@ -132,7 +137,7 @@ def fit(ex: DataFrame) -> CountModel:
     return from_counts(ex.groupBy("indicator", "class").agg(F.count(F.lit(1)).alias("n_class")), fv)
 
 
-def from_counts(class_counts: DataFrame, fv: DataFrame) -> CountModel:
+def from_counts(class_counts: DataFrame, fv: DataFrame, alpha: float = 1.0) -> CountModel:
     """Model tables from class counts (indicator, class, n_class) and value counts."""
     w = Window.partitionBy("indicator")
     classes = (class_counts
@@ -141,7 +146,7 @@ def from_counts(class_counts: DataFrame, fv: DataFrame) -> CountModel:
                .withColumn("n_rows", F.sum("n_class").over(w)))
     vocab = (fv.select("indicator", "feature", "value").distinct()
                .groupBy("indicator", "feature").agg((F.count(F.lit(1)) + 1).alias("V")))
-    return CountModel(classes, fv, vocab)
+    return CountModel(classes, fv, vocab, alpha)
 
 
 def log_probs(m: CountModel) -> DataFrame:
@@ -208,8 +213,9 @@ def score(rows: DataFrame, m: CountModel, key: str, extra_year: str | None = Non
     classes, scores) plus, if ``extra_year`` names a column, ``scores_alt``:
     the scores with planYear replaced by that column (one extra look-up)."""
     heads, deltas = dense(m)
-    heads, deltas = materialize(heads), materialize(deltas)
-    small = dense_cells(m) <= DENSE_BROADCAST_MAX_CELLS and deltas.count() <= BROADCAST_MAX_ROWS
+    heads, deltas = materialize(heads, "nb_heads"), materialize(deltas, "nb_deltas")
+    size = deltas.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vec")).alias("cells")).first()
+    small = (size["n"] or 0) <= BROADCAST_MAX_ROWS and (size["cells"] or 0) <= DENSE_BROADCAST_MAX_CELLS
 
     def dict_for(feature: str, alias: str) -> DataFrame:
         d = deltas.filter(F.col("feature") == feature).select(

@@ -1,24 +1,29 @@
-"""Helpers for small model/metadata tables that many plans reuse."""
+"""Helpers for intermediate tables that several plans reuse."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldcast.session import ensure_checkpoint_dir
+from fieldcast.session import shared_dir
 
 # A dictionary side above this many rows is joined by shuffle instead of broadcast.
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and cut its lineage.
+def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write ``df`` as a parquet table in the shared checkpoint folder and read it back.
 
-    Used for model and dictionary tables that several joins read: they are
-    computed once, survive executor loss (shared storage, not executor
-    memory) and their row count is then known."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    Used for training rows, model and dictionary tables that several joins
+    read: computed exactly once (``Dataset.checkpoint`` would compute an
+    uncached plan twice), stored on shared storage so executor loss does not
+    lose them, and read back with column pruning and filter push-down.  The
+    folder is unique per call; a retried write overwrites its own output."""
+    path = shared_dir(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:

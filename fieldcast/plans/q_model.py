@@ -42,9 +42,12 @@ class Model:
 
     @cached_property
     def modelled(self) -> DataFrame:
-        """Indicators that get a model: trainable (P7) and not a free number."""
-        numbers = self.ctx.meta.filter(F.col("type") == "number").select("indicator")
-        return materialize(CM.trainable(self.first_rows).join(numbers, "indicator", "left_anti"))
+        """Indicators that get a model: trainable (P7) and classifiable by type
+        (radio / checkbox).  Type inference bounds their options at 75, so every
+        per-class vector below is bounded; free-text and free-number questions
+        take the manual-entry policy instead."""
+        classifiable = self.ctx.meta.filter(F.col("type").isin("radio", "checkbox")).select("indicator")
+        return materialize(CM.trainable(self.first_rows).join(classifiable, "indicator", "left_semi"))
 
     @cached_property
     def modelled_list(self) -> list[str]:
