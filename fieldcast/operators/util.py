@@ -32,3 +32,17 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tupl
     m = materialize(df)
     n = m.count()
     return (F.broadcast(m), True) if n <= max_rows else (m, False)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a narrow, CPU-heavy stage at least one partition per core.
+
+    A narrow plan keeps its input's partitioning; a small input file read as
+    one split would run the whole stage in one task.  When the plan has fewer
+    partitions than the cluster's default parallelism, rows are hash-spread
+    by ``keys`` once; on large inputs (many splits) this is a no-op."""
+    spark = df.sparkSession
+    target = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)

@@ -33,6 +33,16 @@ class Ctx:
     def answers(self) -> DataFrame:
         return A.answers_long(self.raw_answers, self.profiles)
 
+    def share_answers(self) -> "Ctx":
+        """Write the long answer table once (D3) so that every plan built from
+        this context — metadata, first answers, training rows — reads it
+        instead of re-running the window and the profile join."""
+        from fieldcast.operators.util import materialize
+        if "answers" not in self.__dict__ or not getattr(self, "_answers_shared", False):
+            self.__dict__["answers"] = materialize(A.answers_long(self.raw_answers, self.profiles), "answers")
+            self._answers_shared = True
+        return self
+
     @cached_property
     def first(self) -> DataFrame:
         return A.first_answer(self.answers)

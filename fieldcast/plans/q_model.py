@@ -31,8 +31,10 @@ class Model:
     """Lazily built model plans for one context."""
 
     def __init__(self, ctx: Ctx):
-        self.ctx = ctx
+        self.ctx = ctx.share_answers()
         self.spark = ctx.spark
+        # question metadata is questionnaire-sized and read by several plans: write it once
+        self.ctx.__dict__["meta"] = materialize(self.ctx.meta, "meta")
 
     @cached_property
     def first_rows(self) -> DataFrame:

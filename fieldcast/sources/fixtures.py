@@ -38,7 +38,8 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (3, F.lit(" Wheat")), (4, F.lit("Mais"))], F.lit("Soybean"))
     hired = _case(k % 10, [(0, F.lit("True")), (1, F.lit("False")), (2, F.lit("n/a"))],
                   (F.col("o_custkey") % 13).cast("string"))
-    return (o.join(c, o.o_custkey == c.c_custkey)
+    from fieldcast.operators.util import spread
+    return spread(o.join(c, o.o_custkey == c.c_custkey)
              .join(n, c.c_nationkey == n.n_nationkey)
              .select(k.alias("row_id"),
                      F.col("n_name").alias("country_code"),
@@ -48,7 +49,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when(F.col("o_orderstatus") == "F", "True").otherwise("False").alias("irrigation"),
                      hired.alias("hired_workers"),
                      F.col("o_totalprice").alias("area"),
-                     F.year("o_orderdate").cast("int").alias("planYear")))
+                     F.year("o_orderdate").cast("int").alias("planYear")), "row_id")
 
 
 # Columns that order a row's answer list (``pos`` is the rank in this order).
