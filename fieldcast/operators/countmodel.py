@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fieldcast import constants as C
 from fieldcast.functions import scalar as X
-from fieldcast.operators.util import BROADCAST_MAX_ROWS, materialize, spread
+from fieldcast.operators.util import BROADCAST_MAX_ROWS, materialize, rank_within, spread
 
 NB_FEATURES = C.FEATURE_COLUMNS + [name for name, _, _ in C.INTERACTIONS]
 DEC = "decimal(18,6)"
@@ -79,14 +79,14 @@ def split(ex: DataFrame) -> DataFrame:
     missing from training, the indicator is evaluated on its training rows
     (``eval_on_train``).  ``fold`` = (rank - 1) % k with
     k = max(2, min(5, smallest class count))."""
-    w_cls = Window.partitionBy("indicator", "class")
-    w_ind = Window.partitionBy("indicator")
-    ex = ex.withColumn("_n_c", F.count(F.lit(1)).over(w_cls))
-    ex = ex.withColumn("_rank_c", F.row_number().over(w_cls.orderBy("row_key")))
-    ex = ex.withColumn("_rank_i", F.row_number().over(w_ind.orderBy("row_key")))
-    ex = ex.withColumn("_n", F.count(F.lit(1)).over(w_ind))
-    stats = ex.groupBy("indicator").agg(F.countDistinct("class").alias("_k"), F.min("_n_c").alias("_min_c"))
-    ex = ex.join(stats, "indicator")
+    # exact ranks; a hot indicator or class is spread over ordered range
+    # partitions instead of one window task (see util.rank_within)
+    ex = rank_within(ex, ["indicator", "class"], "row_key", "_rank_c")
+    ex = rank_within(ex, ["indicator"], "row_key", "_rank_i")
+    n_c = ex.groupBy("indicator", "class").agg(F.count(F.lit(1)).alias("_n_c"))
+    stats = n_c.groupBy("indicator").agg(F.count(F.lit(1)).alias("_k"), F.min("_n_c").alias("_min_c"),
+                                         F.sum("_n_c").alias("_n"))
+    ex = ex.join(n_c, ["indicator", "class"]).join(stats, "indicator")
     stratify = (F.col("_k") <= C.STRATIFY_MAX_CLASSES) & (F.col("_min_c") >= 2)
     rank = F.when(stratify, F.col("_rank_c")).otherwise(F.col("_rank_i"))
     in_test = (F.col("_n") >= C.SPLIT_MIN_ROWS) & (((rank - 1) % C.TEST_FRACTION_FOLDS) == 0)

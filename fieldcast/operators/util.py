@@ -46,3 +46,57 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
+def distributed_rank(df: DataFrame, group_cols: list[str], order_col: str, out: str = "rank") -> DataFrame:
+    """Exact 1-based ``row_number()`` within each group ordered by ``order_col``
+    (which must be unique within a group), without gathering a group in one task.
+
+    Rows are range-partitioned on (group, order), so a hot group spans several
+    ordered partitions; each partition numbers its rows locally, and the rows
+    of the same group in earlier partitions (a small per-partition count
+    table, cumulated with a window) give the offset.  The tagged rows are
+    written once, because range bounds are sampled at run time and a second
+    evaluation could partition differently."""
+    from pyspark.sql import Window
+    spark = df.sparkSession
+    target = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    s = (df.repartitionByRange(target, *group_cols, order_col)
+           .sortWithinPartitions(*group_cols, order_col)
+           .withColumn("_pid", F.spark_partition_id()))
+    local = Window.partitionBy("_pid", *group_cols).orderBy(order_col)
+    s = s.withColumn("_local", F.row_number().over(local))
+    # range bounds are sampled at run time: write the tagged rows once so the
+    # counts and the rows they are joined back to see the same partitioning
+    s = materialize(s, "ranked")
+    counts = s.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).drop("_cnt")
+    return s.join(offsets, ["_pid", *group_cols]).withColumn(out, F.col("_off") + F.col("_local")) \
+            .drop("_pid", "_local", "_off")
+
+
+# A group with more rows than this is ranked by the distributed path.
+HOT_GROUP_ROWS = 2_000_000
+
+
+def rank_within(df: DataFrame, group_cols: list[str], order_col: str, out: str = "rank",
+                hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Exact ``row_number()`` within groups, safe for hot groups.
+
+    Group sizes are counted first.  Groups up to ``hot_rows`` rows are ranked
+    by an ordinary window (one sort task per group is cheap); larger groups —
+    at most total_rows / hot_rows of them, so their keys form a bounded list —
+    go through :func:`distributed_rank`, which spreads them over ordered range
+    partitions."""
+    from pyspark.sql import Window
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_size"))
+    hot = sizes.filter(F.col("_size") > hot_rows).select(*group_cols).collect()
+    w = Window.partitionBy(*group_cols).orderBy(order_col)
+    if not hot:
+        return df.withColumn(out, F.row_number().over(w))
+    schema = df.select(*group_cols).schema
+    keys = F.broadcast(df.sparkSession.createDataFrame(hot, schema))
+    cold = df.join(keys, group_cols, "left_anti").withColumn(out, F.row_number().over(w))
+    warm = distributed_rank(df.join(keys, group_cols, "left_semi"), group_cols, order_col, out)
+    return cold.unionByName(warm.select(*cold.columns))

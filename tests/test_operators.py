@@ -136,3 +136,14 @@ def test_predict_failed_v1_fill(spark):
     df = spark.createDataFrame([("A", None, None)], "indicator string, predicted_class string, confidence double")
     r = P.fill_failed(df).first()
     assert (r["predicted_class"], r["confidence"]) == ("Unknown", 0.0)
+
+
+def test_rank_within_hot_groups_matches_window(spark):
+    from pyspark.sql import Window
+    from fieldcast.operators.util import rank_within
+    rows = [("hot", i * 7 % 1001) for i in range(1001)] + [("a", 5), ("a", 3), ("b", 9)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    want = {(r["g"], r["k"]): r["r"] for r in
+            df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("k"))).collect()}
+    got = {(r["g"], r["k"]): r["r"] for r in rank_within(df, ["g"], "k", "r", hot_rows=50).collect()}
+    assert got == want
