@@ -110,3 +110,21 @@ def test_request_to_profile(spark):
                                 "irrigation string, hired_workers string, area double, planYear int, plan_year int")
     r = S.request_to_profile(req).collect()[0]
     assert (r["country_code"], r["crop_name"], r["planYear"], r["area"]) == ("IN", "Wheat", 2023, 10.0)
+
+
+def test_csv_end_to_end_pivot_meta_and_trainable(spark, tmpdir_path):
+    from fieldcast.operators import countmodel as CM
+    from fieldcast.operators import metadata as M
+    raw = S.read_assessments(spark, write_csv(tmpdir_path))
+    long = A.clean_indicators(A.explode_cells(raw, keep=["row_id", "country_code", "crop_name", "partner", "subpartner",
+                                                         "irrigation", "hired_workers", "area", "planYear"]))
+    assert A.pivot_answers(long, IDS, null_keys="drop").count() == 0       # H1: missing columns are null keys
+    wide = A.pivot_answers(long, IDS)
+    assert wide.count() == 12 and set(IDS) <= set(wide.columns)
+    meta = {r["indicator"]: (r["type"], r["options"]) for r in M.question_meta(long, spark).collect()}
+    assert meta["BH-1"] == ("radio", ["No", "Yes"])
+    assert meta["CM-5"] == ("radio", ["Average", "Excellent", "Good", "Poor"])
+    assert meta["WQ-3"] == ("radio", ["Option1", "Option2", "Option3"])
+    first = A.first_answer(long)
+    assert CM.trainable(first).count() == 0                               # v2: at least 20 samples
+    assert CM.trainable(first, min_samples=10).count() == 4               # v1: at least 10
