@@ -53,7 +53,11 @@ class Ctx:
 
     @cached_property
     def meta(self) -> DataFrame:
-        return M.question_meta(self.answers, self.spark)
+        """Metadata comes from every answer cell, profile or not (as the raw input
+        is read); the long table is used when it is already written."""
+        src = self.__dict__["answers"] if getattr(self, "_answers_shared", False) \
+            else A.clean_indicators(self.raw_answers)
+        return M.question_meta(src, self.spark)
 
     @cached_property
     def items(self) -> DataFrame:
