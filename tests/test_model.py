@@ -126,3 +126,11 @@ def test_oracle_agreement(spark, key):
     assert sorted(df.columns) == sorted(ocols)
     assert len(srows) == len(orows)
     assert digest(df.columns, srows)[0] == digest(ocols, orows)[0]
+
+
+def test_stream_refit_equals_batch_fold(spark):
+    from __spark_entry__ import queries
+    cols = ["indicator", "class", "feature", "value", "n"]
+    s = queries()["stream_feedback_refit"](spark, SF)
+    b = queries()["apply_feedback"](spark, SF)
+    assert _rows(s, cols) == _rows(b, cols)
