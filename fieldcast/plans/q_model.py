@@ -476,8 +476,11 @@ def similar_farms(ctx: Ctx):
     """The 5 most similar training farms of every profile (exact
     Euclidean k-NN on encoded features; banded search, no all-pairs join)."""
     from fieldcast.operators import similar as SIM
+    ctx.share_answers()
     first = ctx.first_rows.filter(F.col("answer").isNotNull())
-    trn = first.groupBy(*PROFILE_COLS).agg(F.min("first_row_id").alias("train_id"))
+    # training profiles (one row per distinct profile, id = its first row) are
+    # read by the encoder fit and by the encoding: write them once
+    trn = materialize(first.groupBy(*PROFILE_COLS).agg(F.min("first_row_id").alias("train_id")), "train_profiles")
     tp = FE.prepare(trn, ctx.spark)
     enc, modes = FE.fit_encoders(tp), FE.fit_modes(tp)
     enc = materialize(enc)
