@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldcast.llm import suffix_array, suffix_tree
+from fieldcast.llm import decontam, jaccard_join, quality_rules, suffix_array, suffix_tree
 from fieldcast.llm.common import ship
 from fieldcast.llm.common import table as read
 
@@ -18,15 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read(spark, sf_dir, name)
 
 
+def op3_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op8_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op3_line_frequency_rules,
     op6_suffix_array_dedup,
+    op8_index_decontamination,
     op9_suffix_tree_dedup,
+    op10_ngram_jaccard_join,
 )}
