@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldcast.llm import decontam, jaccard_join, quality_rules, suffix_array, suffix_tree
+from fieldcast.llm import decontam, jaccard_join, langid, quality_rules, suffix_array, suffix_tree, toxicity
 from fieldcast.llm.common import ship
 from fieldcast.llm.common import table as read
 
@@ -18,10 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read(spark, sf_dir, name)
 
 
+def op1_language_bloom_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -39,7 +47,9 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_language_bloom_filters,
     op3_line_frequency_rules,
+    op4_toxicity_chain,
     op6_suffix_array_dedup,
     op8_index_decontamination,
     op9_suffix_tree_dedup,
