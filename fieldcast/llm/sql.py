@@ -74,7 +74,20 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit ON d.r = hit.r LEFT JOIN items ON d.r = items.r
 """
 
+_OP2 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), m AS (
+  SELECT digest, max(page_id) AS largest FROM p GROUP BY digest
+)
+SELECT page_id, n::BIGINT AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM largest AND largest IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM p JOIN m ON p.digest = m.digest
+"""
+
 ORACLE: dict[str, str] = {
+    "op2_warc_sequential": _OP2,
     "op3_line_frequency_rules": _OP3,
     "op8_index_decontamination": _OP8,
 }
