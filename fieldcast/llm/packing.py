@@ -1,13 +1,14 @@
 """Packing documents into fixed-length sequences by cutting-stock column generation (operator 5).
 
-A document is cut into whole sequences and one rest.  Packing the rests is the
-cutting-stock problem over the histogram of their lengths, which has at most
-``capacity - 1`` bars at any number of documents: a linear program chooses how
-often to use each pattern of lengths, and patterns are generated while they
-are needed, by knapsack dynamic programming over the program's prices.  The
-numbers are rounded down, the few rests left over are packed first-fit.  The
-documents of each length are ranked, and a rank tells the pattern, the
-sequence and the offset by a small table.
+A document is cut into whole sequences and a rest, and the rest at its last
+multiple of ``UNIT`` tokens, so a rest is two pieces at most.  Packing them is
+the cutting-stock problem over the histogram of their lengths, which has some
+eighty bars at any number of documents: a linear program chooses how often to
+use each pattern of lengths, and patterns are generated while they are needed,
+by knapsack dynamic programming over the program's prices.  The numbers are
+rounded down, the few pieces left over are packed first-fit.  The pieces of
+each length are ranked, and a rank tells the pattern, the sequence and the
+offset by a small table.
 
 A null text is a document of its end id alone.  Rows are packed one by one:
 repeated rows and rows with null doc_ids get places of their own.
@@ -30,6 +31,8 @@ from fieldcast.operators.util import materialize, rank_within
 
 #: Tokens in a sequence, the vocabulary, and the id that ends a document.
 CAPACITY, VOCABULARY, END_ID = 1024, "byte_bpe_50k.json", 0
+#: A rest is cut at its last multiple of this.
+UNIT = 64
 #: The linear program stops this near to its lower bound, or after so many columns.
 GAP, MOST_COLUMNS = 0.0005, 6000
 
@@ -126,7 +129,9 @@ def _pieces(capacity: int, vocabulary: str, end_id: int):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), tokens.encode(texts, path), strict=True):
                 data = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
                 n = len(data) // 4
-                rows += [(doc, s, min(capacity, n - s), zlib.crc32(data[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
+                whole = n // capacity * capacity
+                cuts = sorted({*range(0, whole + 1, capacity), whole + (n - whole) // UNIT * UNIT, n})
+                rows += [(doc, a, b - a, zlib.crc32(data[4 * a : 4 * b]), n) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
