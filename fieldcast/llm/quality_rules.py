@@ -6,10 +6,8 @@ documents per host (``source``) are counted for each line, lines above the
 limits are boilerplate and taken away, and a document that is depleted by it
 is rejected.
 
-Copies of a document are one document in these counts (for each line they are
-told by the smallest hash among the other lines, which most near copies keep
-too): a text is not boilerplate because it was copied, and removing copies is
-for the dedup operators.
+Equal texts are one document in these counts: a text is not boilerplate because
+it was copied, and removing copies is for the dedup operators.
 
 A null text is empty: no words, no lines, ``base_failed``.  A null source is a
 host of its own.  Rows are judged one by one, so repeated rows repeat in the
@@ -29,7 +27,7 @@ SPACES, WORD_BREAK, NOT_SYMBOLS = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+", r"[^#*
 #: Base limits: fewest words, and the most repeated words in a hundred.
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: A line is boilerplate on a host if this many distinct documents have it, and this part in a thousand of the host's.
-LINE_DOCS, LINE_PERMILLE = 50, 20
+LINE_DOCS, LINE_PERMILLE = 20, 50
 #: A document of which less than this many words in a hundred remain is depleted.
 MIN_LEFT = 50
 
@@ -90,8 +88,7 @@ def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_permille: int = LINE
     host = F.coalesce(F.xxhash64("source"), F.lit(0)).alias("host")
     told = rows.select(host, F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("lines"))
     hosts = told.groupBy("host").agg(F.count("*").alias("host_docs"))
-    apart = told.select("host", F.col("lines")[0].alias("least"), F.get("lines", F.lit(1)).alias("next"), F.explode("lines").alias("line"))
-    apart = apart.select("host", "line", F.when(F.col("line") == F.col("least"), F.col("next")).otherwise(F.col("least")).alias("copy")).distinct()
+    apart = told.select("host", F.explode("lines").alias("line"), F.xxhash64("lines").alias("copy")).distinct()
     common = apart.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= line_docs)
     common = common.join(hosts, "host").filter(1000 * F.col("docs") >= line_permille * F.col("host_docs")).select("host", "line")
     lines = rows.select("row", host, F.explode("lines").alias("l")).select("row", "host", "l.*")

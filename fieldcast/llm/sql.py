@@ -25,14 +25,13 @@ WITH d AS (
   FROM lines
 ), one AS (
   SELECT DISTINCT r, source, line FROM named
-), ranked AS (
-  SELECT r, source, line, min(line) OVER (PARTITION BY r) AS least, nth_value(line, 2) OVER (PARTITION BY r ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS next
-  FROM one
+), sets AS (
+  SELECT r, source, list_sort(list(line)) AS copy FROM one GROUP BY r, source
 ), hosts AS (
   SELECT source, count(*) AS host_docs FROM d GROUP BY source
 ), common AS (
   SELECT c.source, c.line FROM (
-    SELECT source, line, count(*) AS docs FROM (SELECT DISTINCT source, line, CASE WHEN line = least THEN next ELSE least END AS copy FROM ranked) GROUP BY source, line
+    SELECT source, line, count(*) AS docs FROM (SELECT DISTINCT source, copy, unnest(copy) AS line FROM sets) GROUP BY source, line
   ) c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
   WHERE docs >= {Q.LINE_DOCS} AND 1000 * docs >= {Q.LINE_PERMILLE} * host_docs
 ), gone AS (

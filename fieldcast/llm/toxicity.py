@@ -30,11 +30,11 @@ from fieldcast.llm import hashing as H
 from fieldcast.llm.common import chunks
 
 #: Labelled rows to learn from, folds of them, passes over them.
-TRAIN_ROWS, FOLDS, PASSES = 12_000, 3, 4
+TRAIN_ROWS, FOLDS, PASSES = 12_000, 3, 6
 #: Feature space, the lengths in bytes of beginnings of words, and the rows of the sample that a feature must occur in.
 BITS, STARTS, MIN_ROWS = 22, (4, 5, 6), 5
 #: FTRL-proximal: step size, its smoothing, and the two penalties.
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 3.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 1.0
 #: Categories in the order of the chain: name, and the label value that means yes.
 CATEGORIES = (("quality", 0), ("toxic", 1))
 #: Probability from which a document is of a category.
