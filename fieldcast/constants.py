@@ -101,6 +101,10 @@ UNKNOWN = "Unknown"
 
 # FIXED VALUES: answers treated as blank when deriving question metadata.
 BLANK_ANSWERS = ["", "null", "None"]
+# White space of any script at either end of a text.
+STRIP = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
+# Distinct answers up to which a question gets a model (the most that type inference calls a choice).
+MAX_CLASSES = 75
 # FIXED VALUES: the boolean-like answer set (options become False/True).
 BOOLEAN_ANSWERS = ["True", "False", "true", "false", "1", "0"]
 BOOLEAN_OPTIONS = ["False", "True"]

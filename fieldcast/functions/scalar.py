@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fieldcast import constants as C
 
 __all__ = [
-    "col_or_lit", "is_blank_answer", "clean_answer", "is_numeric_text", "is_boolean_text",
+    "col_or_lit", "strip", "is_blank_answer", "clean_answer", "is_numeric_text", "is_boolean_text",
     "section_prefix", "coerce_number", "interaction", "category", "confidence_policy",
     "confidence_status", "question_policy", "question_policy_v1", "score_band", "score_band_color",
     "score_range", "flatten_value", "options_repr", "readable_feature", "helpful_flag",
@@ -25,16 +25,21 @@ def col_or_lit(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def strip(a) -> Column:
+    """Text without the white space (of any script) at its ends."""
+    return F.regexp_replace(col_or_lit(a), C.STRIP, "")
+
+
 def is_blank_answer(a) -> Column:
     """Null, '' or the texts 'null' / 'None' after trimming."""
     a = col_or_lit(a)
-    return a.isNull() | F.trim(a).isin(*C.BLANK_ANSWERS)
+    return a.isNull() | strip(a).isin(*C.BLANK_ANSWERS)
 
 
 def clean_answer(a) -> Column:
     """Trimmed answer, null when blank (the value type inference looks at)."""
     a = col_or_lit(a)
-    return F.when(~is_blank_answer(a), F.trim(a))
+    return F.when(~is_blank_answer(a), strip(a))
 
 
 def is_numeric_text(s) -> Column:
@@ -150,9 +155,18 @@ def flatten_value(value, options) -> Column:
 
 
 def options_repr(options) -> Column:
-    """A list of strings printed the way the export writes it: ['a', 'b']."""
-    o = col_or_lit(options)
-    return F.concat(F.lit("['"), F.array_join(o, "', '"), F.lit("']"))
+    """A list of strings printed the way the export writes it: ['a', 'b'].
+    A text with an apostrophe and no quotation mark stands in quotation marks;
+    else apostrophes, and always backslashes and line breaks, are escaped."""
+    def quoted(x: Column) -> Column:
+        t = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+        for char, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            t = F.replace(t, F.lit(char), F.lit(name))
+        double = F.contains(x, F.lit("'")) & ~F.contains(x, F.lit('"'))
+        return F.when(double, F.concat(F.lit('"'), t, F.lit('"'))) \
+                .otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(col_or_lit(options), quoted), ", "), F.lit("]"))
 
 
 def readable_feature(name) -> Column:

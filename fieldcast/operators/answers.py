@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldcast import constants as C
+from fieldcast.functions import scalar as X
 
 ANSWER_ITEM = T.StructType([
     T.StructField("soaId", T.StringType()),
@@ -49,7 +50,7 @@ def bad_json_rows(raw: DataFrame, cell_col: str = "labelsAnswersMap") -> DataFra
 
 def clean_indicators(df: DataFrame, id_col: str = "soaId") -> DataFrame:
     """indicator = trimmed id; rows with a null or blank id are dropped."""
-    return (df.withColumn("indicator", F.trim(F.col(id_col)))
+    return (df.withColumn("indicator", X.strip(F.col(id_col)))
               .filter(F.col("indicator").isNotNull() & (F.length("indicator") > 0)))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fieldcast import constants as C
 from fieldcast.functions import scalar as X
-from fieldcast.operators.util import BROADCAST_MAX_ROWS, materialize, rank_within, spread
+from fieldcast.operators.util import BROADCAST_MAX_ROWS, materialize, rank_within
 
 NB_FEATURES = C.FEATURE_COLUMNS + [name for name, _, _ in C.INTERACTIONS]
 DEC = "decimal(18,6)"
@@ -222,7 +222,7 @@ def score(rows: DataFrame, m: CountModel, key: str, extra_year: str | None = Non
             F.col("indicator").alias(f"_i_{alias}"), F.col("value").alias(f"_v_{alias}"), F.col("vec").alias(alias))
         return F.broadcast(d) if small else d
 
-    out = spread(rows, key).join(F.broadcast(heads) if small else heads, "indicator")
+    out = rows.join(F.broadcast(heads) if small else heads, "indicator")
     looks = [(f, f"_d{j}") for j, f in enumerate(NB_FEATURES)]
     if extra_year:
         looks.append((extra_year, "_dalt"))

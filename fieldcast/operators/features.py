@@ -28,7 +28,7 @@ def normalize_crop(df: DataFrame, spark: SparkSession, col: str = "crop_name",
     """Trimmed crop mapped through the synonym table; null -> 'Unknown'.
     The synonym table is a small literal dictionary, broadcast."""
     syn = F.broadcast(synonyms if synonyms is not None else synonyms_table(spark))
-    t = df.withColumn("_crop_t", F.trim(F.col(col)))
+    t = df.withColumn("_crop_t", X.strip(F.col(col)))
     j = t.join(syn, t["_crop_t"] == syn["local"], "left")
     norm = F.when(F.col(col).isNull(), F.lit(C.UNKNOWN)).otherwise(F.coalesce("canonical", "_crop_t"))
     return j.withColumn(col, norm).drop("_crop_t", "local", "canonical")

@@ -30,7 +30,7 @@ def value_summary(answers: DataFrame, order_cols: list[str] | None = None) -> Da
     needs derives from this table, which is bounded by the number of distinct
     answers, so it is written once and the answers are read once."""
     order_cols = order_cols or ["row_id", "pos"]
-    lab = F.trim("labelName")
+    lab = X.strip("labelName")
     first_label = F.min(F.when(lab.isNotNull() & (F.length(lab) > 0),
                                F.struct(F.struct(*order_cols).alias("o"), lab.alias("label"))))
     return (answers.select("indicator", X.clean_answer("answer").alias("value"), "labelName", *order_cols)
@@ -91,7 +91,7 @@ def infer_types(answers: DataFrame, summary: DataFrame | None = None) -> DataFra
 def first_labels(answers: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
     """A2: first non-blank label per indicator, in input order ('' when none)."""
     order_cols = order_cols or ["row_id", "pos"]
-    lab = F.trim("labelName")
+    lab = X.strip("labelName")
     key = F.when(lab.isNotNull() & (F.length(lab) > 0), F.struct(*order_cols))
     return (answers.groupBy("indicator")
                    .agg(F.coalesce(F.min_by(lab, key), F.lit("")).alias("labelName")))

@@ -37,12 +37,13 @@ def export_rows(pred: DataFrame, key: str = "profile_id") -> DataFrame:
                        F.format_string("%.1f%%", F.col("confidence")).alias("Confidence_%"))
 
 
-def manual_rows(keys: DataFrame, meta: DataFrame, key: str = "profile_id") -> DataFrame:
-    """One manual-entry row per free-form question (text / number) for each
-    key.  The question list is metadata (bounded by the questionnaire), read
+def manual_rows(keys: DataFrame, meta: DataFrame, key: str = "profile_id", modelled: list[str] | None = None) -> DataFrame:
+    """One manual-entry row per free-form question (text / number), or if
+    the modelled questions are given per question that is not one of them, for
+    each key.  The question list is metadata (bounded by the questionnaire), read
     once and expanded per key with ``explode`` — no join."""
-    qs = (meta.filter(F.col("type").isin("text", "number")).select("indicator", "type")
-              .orderBy("indicator").collect())
+    asked = F.col("type").isin("text", "number") if modelled is None else ~F.col("indicator").isin(modelled)
+    qs = meta.filter(asked).select("indicator", "type").orderBy("indicator").collect()
     if not qs:
         return keys.select(key).limit(0).select(
             key, F.lit(None).cast("string").alias("indicator"), F.lit(None).cast("string").alias("value"),
@@ -79,7 +80,7 @@ def resolve_conditionals(pred: DataFrame, conditions: DataFrame, key: str = "pro
     for d in sorted(levels):
         ids = levels[d]
         cond = conditions.filter(F.col("indicator").isin(ids)).select("indicator", "parent", "parent_value")
-        cand = pred.filter(F.col("indicator").isin(ids)).join(F.broadcast(cond), "indicator")
+        cand = pred.filter(F.col("indicator").isin(ids)).join(cond, "indicator")
         par = kept.select(F.col(key).alias("_k"), F.col("indicator").alias("_pi"), F.col(value_col).alias("_pv"))
         ok = cand.join(par, (cand[key] == par["_k"]) & (cand["parent"] == par["_pi"]), "left") \
                  .filter(F.col("_pv") == F.col("parent_value"))

@@ -1,15 +1,16 @@
 """Exact k nearest training profiles for every query profile.
 
 Euclidean distance over the 11 encoded features, as the reference computes it.
-No query ever meets the whole training table: distance >= |delta area|, so a
-query is joined only with training rows whose area lies within a band of
-half-width R (a bucket equi-join over at most three buckets per query).  A
-query whose k-th candidate distance is <= R is final — every row outside the
-band is strictly farther.  Unresolved queries repeat with 4R; once R spans
-the whole area range every query resolves.  Each round's answers are written
-to the checkpoint folder before the next round, so rounds never recompute.
+Training rows lie in a grid over up to three features, those with the widest
+ranges, with cells of width R.  Every row within distance R of a query lies in
+the query's cell or a neighbour, so a query meets only those (an equi-join on
+the cell).  A query is final once it has its k rows and the k-th is no farther
+than R, or once its cells cover the range of all training rows; the others go
+on with a larger R until none is left, so no query is lost.  R starts where a
+query is expected to meet a few times k rows, and never below the smallest
+distance from a pending query to the box of all training rows.
 
-Duplicates cannot blow up a band: identical training vectors keep only their
+Duplicates cannot blow up a cell: identical training vectors keep only their
 k lowest ids (ties are broken by id), and identical query vectors are solved
 once and joined back to their query ids.
 """
@@ -25,6 +26,8 @@ from fieldcast.operators.features import FEATURE_NAMES
 from fieldcast.operators.util import materialize
 
 DEC = "decimal(18,6)"
+#: Features that span the grid, and the rows a query should meet first, in multiples of k.
+GRID_FEATURES, FIRST_ROWS = 3, 4
 
 
 def _vec(prefix: str = "") -> list:
@@ -39,57 +42,64 @@ def distance(q: str = "q_", t: str = "t_") -> F.Column:
     return F.sqrt(total)
 
 
-def nearest(queries: DataFrame, train: DataFrame, qid: str, tid: str, k: int = C.DEFAULT_NEIGHBOURS,
-            max_rounds: int = 12) -> DataFrame:
+def _gap(lo: dict, hi: dict) -> F.Column:
+    """Distance of a query from the box of all training rows."""
+    total = F.lit(0.0)
+    for f in FEATURE_NAMES:
+        d = F.greatest(F.lit(lo[f]) - F.col(f"q_{f}"), F.col(f"q_{f}") - F.lit(hi[f]), F.lit(0.0))
+        total = total + d * d
+    return F.sqrt(total)
+
+
+def nearest(queries: DataFrame, train: DataFrame, qid: str, tid: str, k: int = C.DEFAULT_NEIGHBOURS) -> DataFrame:
     """(qid, rank, neighbour_id, distance, similarity_pct) — the k nearest
-    training rows per query, ties by id."""
+    training rows per query, ties by id; all of them if there are fewer than k."""
     k = min(k, C.MAX_NEIGHBOURS)
     t = train.select(F.col(tid).alias("_tid"), *_vec())
     w_dup = Window.partitionBy(*FEATURE_NAMES).orderBy("_tid")
     t = t.withColumn("_r", F.row_number().over(w_dup)).filter(F.col("_r") <= k).drop("_r")
     t = materialize(t.select("_tid", *[F.col(f).alias(f"t_{f}") for f in FEATURE_NAMES]))
-    rng = t.agg(F.min("t_area").alias("lo"), F.max("t_area").alias("hi"),
-                F.count(F.lit(1)).alias("n"),
-                *[(F.max(f"t_{f}") - F.min(f"t_{f}")).alias(f"s_{f}") for f in FEATURE_NAMES if f != "area"]).collect()[0]
-    if not rng["n"]:
-        return queries.select(qid).limit(0)
-    span = float(rng["hi"] - rng["lo"])
-    other = sum(float(rng[f"s_{f}"] or 0.0) ** 2 for f in FEATURE_NAMES if f != "area") ** 0.5
-    radius = max(other, 1.0)
+    box = t.agg(F.count(F.lit(1)).alias("n"), *[F.min(f"t_{f}").alias(f"lo_{f}") for f in FEATURE_NAMES],
+                *[F.max(f"t_{f}").alias(f"hi_{f}") for f in FEATURE_NAMES]).collect()[0]
+    n, want = box["n"], min(k, box["n"])
+    lo, hi = ({f: float(box[f"{side}_{f}"] or 0.0) for f in FEATURE_NAMES} for side in ("lo", "hi"))
+    spans = sorted(((hi[f] - lo[f], f) for f in FEATURE_NAMES if hi[f] > lo[f]), reverse=True)[:GRID_FEATURES]
+    grid = [f for _, f in spans]
+    volume = 1.0
+    for span, _ in spans:
+        volume *= span
+    radius = (volume * FIRST_ROWS * k / max(n, 1)) ** (1 / max(len(grid), 1)) / 3
 
-    qv = queries.select(*_vec()).distinct()
-    qv = materialize(qv.select(F.xxhash64(*FEATURE_NAMES).alias("_qh"),
-                               *[F.col(f).alias(f"q_{f}") for f in FEATURE_NAMES]))
-    want = min(k, rng["n"])
-    pending, done = qv, []
-    for _ in range(max_rounds):
-        full = radius >= span
-        width = radius if radius > 0 else 1.0
-        tb = t.withColumn("_b", F.floor(F.col("t_area") / width))
-        lo_b = F.floor((F.col("q_area") - radius) / width)
-        qb = pending.withColumn("_b", F.explode(F.sequence(lo_b.cast("bigint"), (lo_b + 2).cast("bigint"))))
-        cand = qb.join(tb, "_b").filter(F.abs(F.col("q_area") - F.col("t_area")) <= radius)
-        cand = cand.withColumn("distance", distance())
-        w = Window.partitionBy("_qh", *[f"q_{f}" for f in FEATURE_NAMES]).orderBy("distance", "_tid")
-        top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= want)
-        kth = Window.partitionBy("_qh", *[f"q_{f}" for f in FEATURE_NAMES])
-        top = top.withColumn("_n", F.count(F.lit(1)).over(kth)).withColumn("_dk", F.max("distance").over(kth))
-        top = materialize(top.select("_qh", *[f"q_{f}" for f in FEATURE_NAMES], "rank", "_tid", "distance", "_n", "_dk"))
-        ok = top.filter((F.col("_n") >= want) & ((F.col("_dk") <= radius) | F.lit(full)))
-        done.append(ok)
-        keys = ["_qh", *[f"q_{f}" for f in FEATURE_NAMES]]
-        pending = materialize(pending.join(ok.select(*keys).distinct(), keys, "left_anti"))
-        if full or pending.count() == 0:
-            break
-        radius *= 4
-    res = done[0]
-    for d in done[1:]:
-        res = res.unionByName(d)
-    dmax = F.max("distance").over(Window.partitionBy("_qh", *[f"q_{f}" for f in FEATURE_NAMES]))
-    res = res.withColumn("similarity_pct", X.similarity_pct("distance", dmax))
+    qcols = [f"q_{f}" for f in FEATURE_NAMES]
+    cells = [f"_c{i}" for i in range(len(grid))]
+    pending = materialize(queries.select(*_vec()).distinct().select(*[F.col(f).alias(f"q_{f}") for f in FEATURE_NAMES])
+                          .withColumn("_gap", _gap(lo, hi)))
+    done = t.limit(0).select(*[F.lit(0.0).alias(c) for c in qcols], F.lit(1).alias("rank"), "_tid", F.lit(0.0).alias("distance"))
+    while n and (nearest_gap := pending.agg(F.min("_gap")).collect()[0][0]) is not None:
+        radius = max(radius, nearest_gap, 1e-9)
+        cell = lambda c: F.floor(F.col(c) / F.lit(radius))
+        tb = t.select("*", *[cell(f"t_{f}").alias(c) for f, c in zip(grid, cells)])
+        qb = pending.filter(F.col("_gap") <= radius)
+        for f, c in zip(grid, cells):
+            qb = qb.withColumn(c, F.explode(F.sequence(cell(f"q_{f}") - 1, cell(f"q_{f}") + 1)))
+        # without a feature that varies, all training vectors are equal and at most k rows are left
+        cand = qb.join(tb, cells) if cells else qb.join(F.broadcast(tb))
+        by_query = Window.partitionBy(*qcols)
+        top = (cand.withColumn("distance", distance())
+               .withColumn("rank", F.row_number().over(by_query.orderBy("distance", "_tid"))).filter(F.col("rank") <= want))
+        covers = F.lit(True)
+        for f in grid:
+            covers = covers & (F.col(f"q_{f}") - radius <= lo[f]) & (F.col(f"q_{f}") + radius >= hi[f])
+        top = top.withColumn("_n", F.count(F.lit(1)).over(by_query)).withColumn("_dk", F.max("distance").over(by_query))
+        final = materialize(top.filter((F.col("_n") >= want) & ((F.col("_dk") <= radius) | covers))
+                            .select(*qcols, "rank", "_tid", "distance"))
+        done = done.unionByName(final)
+        pending = materialize(pending.join(final.filter(F.col("rank") == 1).select(*qcols), qcols, "left_anti"))
+        radius *= 2
+    dmax = F.max("distance").over(Window.partitionBy(*qcols))
+    res = done.withColumn("similarity_pct", X.similarity_pct("distance", dmax))
     qk = queries.select(F.col(qid), *[F.col(f).cast("double").alias(f"q_{f}") for f in FEATURE_NAMES])
-    keys = [f"q_{f}" for f in FEATURE_NAMES]
-    out = qk.join(res, keys)
+    out = qk.join(res, qcols)
     return out.select(qid, F.col("rank").cast("bigint").alias("rank"), F.col("_tid").alias("neighbour_id"),
                       F.col("distance").cast(DEC).alias("distance"),
                       F.col("similarity_pct").cast(DEC).alias("similarity_pct"))

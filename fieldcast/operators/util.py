@@ -35,7 +35,8 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tupl
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a narrow, CPU-heavy stage at least one partition per core.
+    """Give a table scan at least one partition per core (for scans only: asking
+    a plan with shuffles for its partitions would run them).
 
     A narrow plan keeps its input's partitioning; a small input file read as
     one split would run the whole stage in one task.  When the plan has fewer

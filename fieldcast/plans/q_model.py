@@ -30,7 +30,8 @@ VIEWS = ["f_profiles", "f_answers"]
 class Model:
     """Lazily built model plans for one context."""
 
-    def __init__(self, ctx: Ctx):
+    def __init__(self, ctx: Ctx, max_classes: int = C.MAX_CLASSES):
+        self.max_classes = max_classes
         self.ctx = ctx.share_answers()
         self.spark = ctx.spark
         # question metadata is questionnaire-sized and read by several plans: write it once
@@ -44,12 +45,12 @@ class Model:
 
     @cached_property
     def modelled(self) -> DataFrame:
-        """Indicators that get a model: trainable (P7) and classifiable by type
-        (radio / checkbox).  Type inference bounds their options at 75, so every
-        per-class vector below is bounded; free-text and free-number questions
-        take the manual-entry policy instead."""
-        classifiable = self.ctx.meta.filter(F.col("type").isin("radio", "checkbox")).select("indicator")
-        return materialize(CM.trainable(self.first_rows).join(classifiable, "indicator", "left_semi"))
+        """Indicators that get a model: trainable (P7), with at most
+        ``max_classes`` distinct answers, which bounds every per-class vector
+        below.  Every other question of the metadata is a manual-entry row."""
+        classes = self.first_rows.groupBy("indicator").agg(F.countDistinct("answer").alias("k"))
+        few = classes.filter(F.col("k") <= self.max_classes).select("indicator")
+        return materialize(CM.trainable(self.first_rows).join(few, "indicator", "left_semi"))
 
     @cached_property
     def modelled_list(self) -> list[str]:
@@ -97,6 +98,17 @@ class Model:
             "policy", "ui_status", F.lit(C.SOURCE_MODEL).alias("source"), "model_accuracy")
 
 
+    def all_rows(self) -> DataFrame:
+        """Predictions and the manual-entry rows of all other questions."""
+        p = self.predictions()
+        manual = P.manual_rows(self.ctx.profiles.select(F.col("row_id").alias("profile_id")), self.ctx.meta,
+                               modelled=self.modelled_list)
+        return p.unionByName(manual.select("profile_id", "indicator", "value",
+                                           F.lit(None).cast("array<string>").alias("suggestedOptions"),
+                                           F.col("confidence").cast(DEC).alias("confidence"), "policy", "ui_status",
+                                           "source", F.lit(None).cast(DEC).alias("model_accuracy")))
+
+
 def _m(ctx: Ctx) -> Model:
     return Model(ctx)
 
@@ -259,11 +271,32 @@ FROM r_pred p LEFT JOIN meta mt ON mt.indicator = p.indicator LEFT JOIN metrics
 """
 
 
-@query("predict_batch", oracle=_sql(eval_ctes() + request_ctes(), PRED_BODY))
+MANUAL_BODY = f"""
+UNION ALL
+SELECT p.row_id, q.indicator, NULL, NULL, CAST(0 AS DECIMAL(18,6)), 'manual_entry', 'red', '{C.SOURCE_NO_MODEL}', NULL
+FROM f_profiles p, (SELECT indicator FROM meta WHERE indicator NOT IN (SELECT indicator FROM modelled)) q
+"""
+
+
+@query("predict_batch", oracle=_sql(eval_ctes() + request_ctes(), PRED_BODY + MANUAL_BODY))
 def predict_batch(ctx: Ctx):
-    """Every profile x every modelled indicator -> class, confidence,
-    policy; scored by broadcast dictionary look-ups, no shuffle of the profiles."""
-    return _m(ctx).predictions()
+    """Every profile x every question of the metadata -> class,
+    confidence, policy of the modelled ones, a manual-entry row for the others;
+    scored by broadcast dictionary look-ups, no shuffle of the profiles."""
+    return _m(ctx).all_rows()
+
+
+RECORD_BODY = """
+SELECT profile_id, CAST(avg(confidence) AS DECIMAL(18,6)) AS mean_confidence, count(*) AS predicted
+FROM r_pred GROUP BY profile_id"""
+
+
+@query("record_confidence", oracle=_sql(eval_ctes() + request_ctes(), RECORD_BODY))
+def record_confidence(ctx: Ctx):
+    """Mean confidence of each record's model predictions."""
+    raw = _m(ctx)
+    p = CM.predict(raw.requests(), raw.model, "profile_id")
+    return p.groupBy("profile_id").agg(F.avg("confidence").cast(DEC).alias("mean_confidence"), F.count(F.lit(1)).alias("predicted"))
 
 
 def _one_indicator_ctes(ind: str) -> list[tuple[str, str]]:
@@ -470,11 +503,13 @@ def _knn_ctes() -> list[tuple[str, str]]:
 
 @query("similar_farms", oracle=_sql(_knn_ctes(), """
 SELECT query_id AS row_id, CAST(rank AS BIGINT) AS rank, neighbour_id, CAST(distance AS DECIMAL(18,6)) AS distance,
-       CAST(greatest(0.0, (1 - distance / (CASE WHEN dmax > 0 THEN dmax ELSE 1.0 END + 1e-9)) * 100) AS DECIMAL(18,6)) AS similarity_pct
-FROM nn2"""))
+       CAST(greatest(0.0, (1 - distance / (CASE WHEN dmax > 0 THEN dmax ELSE 1.0 END + 1e-9)) * 100) AS DECIMAL(18,6)) AS similarity_pct,
+       {neighbour}
+FROM nn2 JOIN trn ON trn.train_id = nn2.neighbour_id""".replace("{neighbour}", ", ".join(f'trn."{c}" AS "neighbour_{c}"' for c in PROFILE_COLS))))
 def similar_farms(ctx: Ctx):
     """The 5 most similar training farms of every profile (exact
-    Euclidean k-NN on encoded features; banded search, no all-pairs join)."""
+    Euclidean k-NN on encoded features; grid search, no all-pairs join), each
+    with the neighbour's profile."""
     from fieldcast.operators import similar as SIM
     ctx.share_answers()
     first = ctx.first_rows.filter(F.col("answer").isNotNull())
@@ -486,7 +521,8 @@ def similar_farms(ctx: Ctx):
     enc = materialize(enc)
     train = FE.encode(tp, enc, modes, ["train_id"])
     queries = FE.encode(FE.prepare(ctx.profiles, ctx.spark), enc, modes, ["row_id"])
-    return SIM.nearest(queries, train, "row_id", "train_id", k=C.DEFAULT_NEIGHBOURS)
+    found = SIM.nearest(queries, train, "row_id", "train_id", k=C.DEFAULT_NEIGHBOURS)
+    return found.join(trn.select(F.col("train_id").alias("neighbour_id"), *[F.col(c).alias(f"neighbour_{c}") for c in PROFILE_COLS]), "neighbour_id")
 
 
 # ---------------------------------------------------------------- trees, grid, state
@@ -526,7 +562,7 @@ def grid_search(ctx: Ctx):
     return r.withColumn("best", F.row_number().over(w) == 1)
 
 
-@query("params_roundtrip")
+@query("params_roundtrip", oracle=_sql(model_ctes("m_", "ex"), "SELECT * FROM m_fv"))
 def params_roundtrip(ctx: Ctx):
     """Save the model state as a version, load it back, return the loaded counts."""
     from fieldcast.sources import store
@@ -535,5 +571,5 @@ def params_roundtrip(ctx: Ctx):
     root = f"{store.models_root(ctx.spark)}-{__import__('uuid').uuid4().hex[:8]}"
     store.save_state(ctx.spark, {"classes": m.model.classes, "fv": m.model.fv, "vocab": m.model.vocab,
                                  "meta": ctx.meta}, version, root)
-    loaded = store.load_state(ctx.spark, version, root=root)
+    loaded = store.load_state(ctx.spark, version, ("classes", "fv", "vocab", "meta"), root)
     return loaded["fv"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldcast import constants as C
+from fieldcast.functions import scalar as X
 
 FEEDBACK_JSONL_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()),
@@ -75,7 +76,7 @@ def read_synonyms(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
     m = F.from_json(F.col("value"), T.MapType(T.StringType(), T.StringType()))
     kv = obj.select(F.explode(m).alias("local", "canonical"))
-    kv = kv.select(F.trim("local").alias("local"), F.trim("canonical").alias("canonical"))
+    kv = kv.select(X.strip("local").alias("local"), X.strip("canonical").alias("canonical"))
     return kv.filter(~F.col("local").startswith("_") & (F.col("local") != F.col("canonical")))
 
 

@@ -29,8 +29,10 @@ def _case(col: Column, mapping: list[tuple[object, object]], default: object) ->
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One profile per order: (row_id, country_code, crop_name, partner, subpartner,
     irrigation, hired_workers, area, planYear)."""
-    o = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    from fieldcast.operators.util import spread
+    # the scan alone is spread: its partitions are known without running anything
+    o = spread(table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), "o_orderkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     k = F.col("o_orderkey")
@@ -38,8 +40,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (3, F.lit(" Wheat")), (4, F.lit("Mais"))], F.lit("Soybean"))
     hired = _case(k % 10, [(0, F.lit("True")), (1, F.lit("False")), (2, F.lit("n/a"))],
                   (F.col("o_custkey") % 13).cast("string"))
-    from fieldcast.operators.util import spread
-    return spread(o.join(c, o.o_custkey == c.c_custkey)
+    return (o.join(c, o.o_custkey == c.c_custkey)
              .join(n, c.c_nationkey == n.n_nationkey)
              .select(k.alias("row_id"),
                      F.col("n_name").alias("country_code"),
@@ -49,7 +50,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when(F.col("o_orderstatus") == "F", "True").otherwise("False").alias("irrigation"),
                      hired.alias("hired_workers"),
                      F.col("o_totalprice").alias("area"),
-                     F.year("o_orderdate").cast("int").alias("planYear")), "row_id")
+                     F.year("o_orderdate").cast("int").alias("planYear")))
 
 
 # Columns that order a row's answer list (``pos`` is the rank in this order).
