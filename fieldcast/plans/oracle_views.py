@@ -67,8 +67,14 @@ SELECT event_id AS id, ts AS created_at,
             WHEN event_type = 'signup' THEN concat('Type ', regexp_extract(props, '[0-9]+', 0))
             ELSE 'True' END AS actual_value,
        CAST(CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS INT) AS was_helpful,
+       concat('Country', CAST(user_id % 25 AS VARCHAR)) AS country_code,
+       CASE event_id % 4 WHEN 0 THEN 'ARROZ' WHEN 1 THEN 'Rice' WHEN 2 THEN ' Wheat' ELSE 'Soybean' END AS crop_name,
        concat('Partner', CAST(user_id % 5 AS VARCHAR)) AS partner,
-       value AS area
+       CASE WHEN event_id % 10 = 0 THEN concat('Sub', CAST(user_id % 3 AS VARCHAR)) END AS subpartner,
+       CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'False' END AS irrigation,
+       CAST(user_id % 13 AS VARCHAR) AS hired_workers,
+       value AS area,
+       CAST(year(ts) AS INT) AS "planYear"
 FROM events
 """)
 

@@ -11,7 +11,7 @@ from fieldcast.operators import features as FE
 from fieldcast.operators import history as H
 from fieldcast.operators import metadata as M
 from fieldcast.operators import score as S
-from fieldcast.plans.context import Ctx
+from fieldcast.plans.context import PROFILE_COLS, Ctx
 from fieldcast.plans.oracle_views import with_views
 from fieldcast.plans.registry import query
 from fieldcast.plans.sql import A_LONG, FIRST, META_CTES, SECTION_VALUES
@@ -303,13 +303,15 @@ def feedback_for_indicator(ctx: Ctx, indicator: str = "CM-5"):
 
 
 @query("feedback_entries", oracle=with_views(FB, [], """
-SELECT id, indicator, actual_value AS actual, partner AS input_partner, area AS input_area
+SELECT id, indicator, actual_value AS actual, country_code AS input_country_code, crop_name AS input_crop_name,
+       partner AS input_partner, subpartner AS input_subpartner, irrigation AS input_irrigation,
+       hired_workers AS input_hired_workers, area AS input_area, "planYear" AS "input_planYear"
 FROM f_feedback WHERE actual_value IS NOT NULL AND actual_value <> ''"""))
 def feedback_entries(ctx: Ctx):
     """Usable feedback shaped as (indicator, actual, input), input flattened."""
     return H.usable_feedback(ctx.feedback).select(
         "id", "indicator", F.col("actual_value").alias("actual"),
-        F.col("partner").alias("input_partner"), F.col("area").alias("input_area"))
+        *[F.col(c).alias(f"input_{c}") for c in PROFILE_COLS])
 
 
 @query("valid_feedback", oracle=with_views(FB, [], """

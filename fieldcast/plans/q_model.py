@@ -450,21 +450,23 @@ def _fold_ctes() -> list[tuple[str, str]]:
         ("uc0", """SELECT u.* FROM usable u WHERE u.indicator IN (SELECT indicator FROM ready)
                    AND EXISTS (SELECT 1 FROM m_cls c WHERE c.indicator = u.indicator AND c.class = u.actual_value)"""),
         ("uc", "SELECT * FROM uc0 WHERE indicator IN (SELECT indicator FROM uc0 GROUP BY indicator HAVING count(*) >= 2)"),
-        ("u2", """SELECT indicator, actual_value AS class, CAST(NULL AS VARCHAR) AS country_code, CAST(NULL AS VARCHAR) AS crop_name,
-                         partner, CAST(NULL AS VARCHAR) AS subpartner, CAST(NULL AS VARCHAR) AS irrigation,
-                         CAST(NULL AS VARCHAR) AS hired_workers, area, CAST(NULL AS INT) AS "planYear" FROM uc"""),
+        ("u2", """SELECT indicator, actual_value AS class, country_code, crop_name, partner, subpartner, irrigation,
+                         hired_workers, area, "planYear" FROM uc"""),
         ("corr", f"SELECT u2.indicator, u2.class, {feats} FROM u2"),
         *[(n.replace("m_", "c_", 1), s) for n, s in model_ctes("c_", "corr")[:3]],
     ]
 
 
-@query("apply_feedback", oracle=_sql(_fold_ctes(), """
+FOLDED = _sql(_fold_ctes(), """
 SELECT indicator, class, feature, value, CAST(sum(n) AS BIGINT) AS n FROM (
   SELECT indicator, class, feature, value, n FROM m_fv
   UNION ALL SELECT indicator, class, feature, value, n FROM c_fv
   UNION ALL SELECT indicator, class, '__class__', '', n_class FROM m_cls
   UNION ALL SELECT indicator, class, '__class__', '', n_class FROM c_cls) t
-GROUP BY indicator, class, feature, value""", VIEWS + ["f_feedback"]))
+GROUP BY indicator, class, feature, value""", VIEWS + ["f_feedback"])
+
+
+@query("apply_feedback", oracle=FOLDED)
 def apply_feedback(ctx: Ctx):
     """M7: fold usable corrections into the count model — the updated counts are
     exactly the counts of the union of training rows and corrections (no encoder

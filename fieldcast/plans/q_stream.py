@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fieldcast.plans.context import Ctx
 from fieldcast.plans.oracle_views import with_views
+from fieldcast.plans.q_model import FOLDED, Model
 from fieldcast.plans.registry import query
 from fieldcast.streaming import feedback_stream as FS
 
@@ -22,12 +23,11 @@ def stream_feedback_counts(ctx: Ctx):
     return ctx.spark.read.parquet(f"{run}/counts")
 
 
-@query("stream_feedback_refit")
+@query("stream_feedback_refit", oracle=FOLDED)
 def stream_feedback_refit(ctx: Ctx):
     """Corrections folded into the count model batch by batch."""
-    from fieldcast.plans.q_model import Model
     m = Model(ctx)
     run = FS.new_run_dir(ctx.spark, "feedback-refit")
     src = FS.land_feedback(ctx.feedback, f"{run}/log")
     FS.refit_stream(ctx.spark, src, f"{run}/out", f"{run}/_checkpoint", m.model, m.modelled)
-    return FS.latest_model(ctx.spark, f"{run}/out")
+    return FS.latest_model(ctx.spark, f"{run}/out", m.model)

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldcast.functions import scalar as X
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -123,15 +125,22 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(et == "click", F.lit("F"))
                .when(et == "signup", F.concat(F.lit("Type "), F.regexp_extract("props", "[0-9]+", 0)))
                .otherwise(F.lit("True")))
-    helpful = F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 3 == 1, 0)
+    helpful = X.helpful_flag(F.when(F.col("event_id") % 3 == 0, True).when(F.col("event_id") % 3 == 1, False))
     return e.select(
         F.col("event_id").alias("id"),
         F.col("ts").alias("created_at"),
         indicator.alias("indicator"),
         actual.alias("actual_value"),
-        helpful.cast("int").alias("was_helpful"),
+        helpful.alias("was_helpful"),
+        F.concat(F.lit("Country"), (F.col("user_id") % 25).cast("string")).alias("country_code"),
+        _case(F.col("event_id") % 4, [(0, F.lit("ARROZ")), (1, F.lit("Rice")), (2, F.lit(" Wheat"))],
+              F.lit("Soybean")).alias("crop_name"),
         F.concat(F.lit("Partner"), (F.col("user_id") % 5).cast("string")).alias("partner"),
-        F.col("value").alias("area"))
+        F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("Sub"), (F.col("user_id") % 3).cast("string"))).alias("subpartner"),
+        F.when(F.col("event_id") % 2 == 0, "True").otherwise("False").alias("irrigation"),
+        (F.col("user_id") % 13).cast("string").alias("hired_workers"),
+        F.col("value").alias("area"),
+        F.year("ts").cast("int").alias("planYear"))
 
 
 def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,8 +27,14 @@ FEEDBACK_SCHEMA = T.StructType([
     T.StructField("indicator", T.StringType()),
     T.StructField("actual_value", T.StringType()),
     T.StructField("was_helpful", T.IntegerType()),
+    T.StructField("country_code", T.StringType()),
+    T.StructField("crop_name", T.StringType()),
     T.StructField("partner", T.StringType()),
+    T.StructField("subpartner", T.StringType()),
+    T.StructField("irrigation", T.StringType()),
+    T.StructField("hired_workers", T.StringType()),
     T.StructField("area", T.DoubleType()),
+    T.StructField("planYear", T.IntegerType()),
 ])
 
 
@@ -64,28 +70,22 @@ def feedback_counts_stream(spark: SparkSession, source: str, out: str, checkpoin
 
 def refit_stream(spark: SparkSession, source: str, out: str, checkpoint: str, model: CM.CountModel,
                  modelled: DataFrame, files_per_trigger: int = 2) -> None:
-    """Each micro-batch appends its feedback to the corrections table
-    (``out/corrections/batch_id=N``) and rewrites the model counts
-    (``out/model/batch_id=N``) as base counts + all usable corrections so far
-    (M7).  Keeping a high-water mark is the checkpoint's job, so corrections
-    are never folded twice."""
-    from fieldcast.operators.feedback import fold_corrections
+    """Each micro-batch is read once and written as its correction counts
+    (``out/counts/batch_id=N``); a replayed batch overwrites its own.  The
+    model of the moment is base counts + the sum of all batches' (M7)."""
+    from fieldcast.operators.feedback import correction_counts
     stream = (spark.readStream.schema(FEEDBACK_SCHEMA)
               .option("maxFilesPerTrigger", files_per_trigger).parquet(source))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/corrections/batch_id={batch_id}")
-        seen = spark.read.schema(FEEDBACK_SCHEMA).parquet(f"{out}/corrections")
-        counts = fold_corrections(model, seen, modelled, spark)
-        counts.write.mode("overwrite").parquet(f"{out}/model/batch_id={batch_id}")
+        correction_counts(batch, model, modelled, spark).write.mode("overwrite").parquet(f"{out}/counts/batch_id={batch_id}")
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def latest_model(spark: SparkSession, out: str) -> DataFrame:
-    """Counts written by the newest batch."""
-    m = spark.read.parquet(f"{out}/model")
-    last = m.agg(F.max("batch_id")).collect()[0][0]
-    return m.filter(F.col("batch_id") == last).drop("batch_id")
+def latest_model(spark: SparkSession, out: str, model: CM.CountModel) -> DataFrame:
+    """Counts with the corrections of all batches so far."""
+    from fieldcast.operators.feedback import fold_counts
+    return fold_counts(model, spark.read.parquet(f"{out}/counts"))

@@ -114,3 +114,25 @@ def test_answers_with_odd_white_space_are_one_indicator(spark):
     raw = spark.createDataFrame([(1, "BH-1\t"), (2, " BH-1")], "row_id long, soaId string")
     assert {r.indicator for r in A.clean_indicators(raw).collect()} == {"BH-1"}
     assert C.MAX_CLASSES == 75
+
+
+def test_feedback_is_kept_or_routed_with_ids_and_flags(spark, tmpdir_path):
+    from fieldcast.operators.feedback import save_feedback
+
+    posts = spark.createDataFrame([("A", "x", True), ("", "x", False), ("B", None, None), ("B", "y", None)], "indicator string, actual_value string, helpful boolean")
+    accepted = save_feedback(posts, tmpdir_path).collect()
+    assert sorted((r.indicator, r.was_helpful) for r in accepted) == [("A", 1), ("B", None)] and len({r.id for r in accepted}) == 2
+    stored = spark.read.parquet(f"{tmpdir_path}/accepted").collect()
+    assert {r.id for r in stored} == {r.id for r in accepted}
+    assert spark.read.parquet(f"{tmpdir_path}/rejected").count() == 2
+
+
+def test_all_inputs_of_a_correction_are_counted(spark):
+    from fieldcast.operators import feedback as FB
+    from fieldcast.plans.context import Ctx
+    from fieldcast.plans.q_model import Model
+
+    m = Model(Ctx(spark, "/root/testdata/sf0.001"))
+    rows = FB.correction_examples(m.ctx.feedback, m.model, m.modelled, spark)
+    assert rows.filter("country_code LIKE 'Country%'").count() == rows.count() > 0
+    assert rows.select("planYear").distinct().collect()[0][0] not in (None, "0")
