@@ -255,11 +255,12 @@ def decide(scores: Column, classes: Column) -> tuple[Column, Column]:
     return cls, (F.lit(100.0) / denom)
 
 
-def predict(rows: DataFrame, m: CountModel, key: str) -> DataFrame:
-    """(key, indicator, predicted_class, confidence)."""
+def predict(rows: DataFrame, m: CountModel, key: str, carry: tuple = ()) -> DataFrame:
+    """(key, indicator, <carry>, predicted_class, confidence); columns of ``rows``
+    named in ``carry`` come along, so nothing has to be joined back."""
     s = score(rows, m, key)
     cls, conf = decide(F.col("scores"), F.col("classes"))
-    return s.select(key, "indicator", cls.alias("predicted_class"), conf.alias("confidence"))
+    return s.select(key, "indicator", *carry, cls.alias("predicted_class"), conf.alias("confidence"))
 
 
 def evaluate(ex_split: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -271,9 +272,9 @@ def evaluate(ex_split: DataFrame) -> tuple[DataFrame, DataFrame]:
     train = ex_split.filter(~F.col("is_test") | F.col("eval_on_train"))
     test = ex_split.filter(F.col("is_test") | F.col("eval_on_train"))
     m = fit(train).materialized()
-    p = predict(test.select("row_key", "indicator", *NB_FEATURES), m, "row_key")
-    preds = p.join(test.select("indicator", "row_key", F.col("class").alias("actual")), ["indicator", "row_key"]) \
-             .select("indicator", "row_key", "actual", F.col("predicted_class").alias("predicted"))
+    asked = test.select("row_key", "indicator", F.col("class").alias("actual"), *NB_FEATURES)
+    preds = predict(asked, m, "row_key", ("actual",)) \
+        .select("indicator", "row_key", "actual", F.col("predicted_class").alias("predicted"))
     return preds, metrics(preds, m.classes)
 
 
@@ -345,8 +346,7 @@ def cv_accuracy(ex_split: DataFrame, min_rows: int = C.CV_MIN_ROWS, alphas: list
                                 *NB_FEATURES))
     out = None
     for a in (alphas or [1.0]):
-        p = predict(t.select("row_key", "indicator", *NB_FEATURES), m.with_alpha(a), "row_key")
-        j = p.join(t.select("row_key", "indicator", "_orig", "fold", "n_folds", "actual"), ["row_key", "indicator"])
+        j = predict(t, m.with_alpha(a), "row_key", ("_orig", "fold", "n_folds", "actual"))
         per_fold = j.groupBy("_orig", "fold", "n_folds").agg(
             F.avg((F.col("predicted_class") == F.col("actual")).cast("double")).alias("acc"))
         r = per_fold.groupBy(F.col("_orig").alias("indicator")).agg(

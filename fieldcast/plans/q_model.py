@@ -58,10 +58,10 @@ class Model:
 
     @cached_property
     def ex(self) -> DataFrame:
-        """Training rows, written once to the checkpoint folder: the model, the
-        split and the evaluation all read them, and the answer pipeline behind
-        them (window + join + aggregation) must not run again for each."""
-        return materialize(CM.split(CM.examples(self.first_rows, self.modelled, self.spark)))
+        """Training rows, written once to the checkpoint folder: the model and the
+        split read them, and the answer pipeline behind them (window + join +
+        aggregation) must not run again for each."""
+        return materialize(CM.examples(self.first_rows, self.modelled, self.spark))
 
     @cached_property
     def model(self) -> CM.CountModel:
@@ -69,8 +69,9 @@ class Model:
 
     @cached_property
     def split(self) -> DataFrame:
-        """The training rows carry their holdout slot and fold (written with them)."""
-        return self.ex
+        """Training rows with their holdout slot and fold; only evaluation needs
+        the ranks behind them."""
+        return materialize(CM.split(self.ex))
 
     @cached_property
     def evaluation(self) -> tuple[DataFrame, DataFrame]:
