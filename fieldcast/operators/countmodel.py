@@ -198,14 +198,6 @@ def dense(m: CountModel) -> tuple[DataFrame, DataFrame]:
     return heads, deltas
 
 
-def dense_cells(m: CountModel) -> int:
-    """Number of doubles in the dense model (checked before broadcasting)."""
-    per_ind = m.fv.select("indicator", "feature", "value").distinct().groupBy("indicator").count()
-    k = m.classes.groupBy("indicator").agg(F.count(F.lit(1)).alias("k"))
-    r = per_ind.join(k, "indicator").agg(F.sum((F.col("count") + 1) * F.col("k")).alias("cells")).collect()
-    return int(r[0]["cells"] or 0)
-
-
 def score(rows: DataFrame, m: CountModel, key: str, extra_year: str | None = None) -> DataFrame:
     """Score every (key, indicator) row against its indicator's model.
 

@@ -37,14 +37,6 @@ def value_summary(answers: DataFrame, order_cols: list[str] | None = None) -> Da
                    .groupBy("indicator", "value").agg(first_label.alias("first_label")))
 
 
-def distinct_answer_values(answers: DataFrame) -> DataFrame:
-    """(indicator, value): distinct cleaned answers per indicator.  A map-side
-    distinct, then a shuffle on (indicator, value): a hot indicator spreads
-    over many tasks."""
-    return (answers.select("indicator", X.clean_answer("answer").alias("value"))
-                   .filter(F.col("value").isNotNull()).distinct())
-
-
 def infer_types(answers: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """(indicator, type, n_values, options) from the observed answers.
 
@@ -88,15 +80,6 @@ def infer_types(answers: DataFrame, summary: DataFrame | None = None) -> DataFra
     return out.select("indicator", "type", "n_values", options.alias("options"))
 
 
-def first_labels(answers: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
-    """A2: first non-blank label per indicator, in input order ('' when none)."""
-    order_cols = order_cols or ["row_id", "pos"]
-    lab = X.strip("labelName")
-    key = F.when(lab.isNotNull() & (F.length(lab) > 0), F.struct(*order_cols))
-    return (answers.groupBy("indicator")
-                   .agg(F.coalesce(F.min_by(lab, key), F.lit("")).alias("labelName")))
-
-
 def question_meta(answers: DataFrame, spark: SparkSession, order_cols: list[str] | None = None) -> DataFrame:
     """(indicator, type, section, labelName, conditional, parent, parent_value,
     options, multi).  Conditional questions come only from overrides (H9).

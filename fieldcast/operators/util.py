@@ -26,14 +26,6 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Materialise a dictionary table and broadcast it only if its size is
-    proven small; otherwise return it for a shuffle join."""
-    m = materialize(df)
-    n = m.count()
-    return (F.broadcast(m), True) if n <= max_rows else (m, False)
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a table scan at least one partition per core (for scans only: asking
     a plan with shuffles for its partitions would run them).

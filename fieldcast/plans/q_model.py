@@ -300,6 +300,39 @@ def record_confidence(ctx: Ctx):
     return p.groupBy("profile_id").agg(F.avg("confidence").cast(DEC).alias("mean_confidence"), F.count(F.lit(1)).alias("predicted"))
 
 
+SUMMARY_BODY = f"""
+SELECT profile_id, count(*) AS total_indicators, count(*) FILTER (WHERE ui_status = 'green') AS auto_filled,
+       count(*) FILTER (WHERE ui_status <> 'green') AS needs_review,
+       CAST(avg(CAST(confidence AS DOUBLE)) AS DECIMAL(18,6)) AS avg_confidence
+FROM ({PRED_BODY}{MANUAL_BODY}) t GROUP BY profile_id"""
+
+
+def run_summaries(rows: DataFrame, key: str) -> DataFrame:
+    """What a prediction run stores about its items."""
+    green = X.review_group("ui_status") == "auto_filled"
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("total_indicators"), F.count_if(green).alias("auto_filled"),
+                                 F.count_if(~green).alias("needs_review"),
+                                 F.avg(F.col("confidence").cast("double")).cast(DEC).alias("avg_confidence"))
+
+
+@query("runs_from_predictions", oracle=_sql(eval_ctes() + request_ctes(), SUMMARY_BODY))
+def runs_from_predictions(ctx: Ctx):
+    """The summary of one prediction run per profile, from the model's own
+    predictions and the manual-entry rows."""
+    return run_summaries(_m(ctx).all_rows(), "profile_id")
+
+
+def record_runs(ctx: Ctx, folder: str) -> DataFrame:
+    """Predict every profile as a run, and append its items and summary
+    to the history in ``folder``.  Run ids are drawn once and written before use."""
+    from fieldcast.sources import store
+    ids = materialize(ctx.profiles.select(F.col("row_id").alias("profile_id"), F.expr("uuid()").alias("run_id")), "run_ids")
+    items = materialize(_m(ctx).all_rows().join(ids, "profile_id"), "run_items")
+    runs = run_summaries(items, "run_id").join(ids, "run_id").withColumn("created_at", F.current_timestamp())
+    store.append_run(runs, items.drop("profile_id"), folder)
+    return runs
+
+
 def _one_indicator_ctes(ind: str) -> list[tuple[str, str]]:
     rc = request_ctes()
     rc[0] = (rc[0][0], rc[0][1].replace("CROSS JOIN modelled m", f"CROSS JOIN (SELECT indicator FROM modelled WHERE indicator = '{ind}') m"))

@@ -136,3 +136,16 @@ def test_all_inputs_of_a_correction_are_counted(spark):
     rows = FB.correction_examples(m.ctx.feedback, m.model, m.modelled, spark)
     assert rows.filter("country_code LIKE 'Country%'").count() == rows.count() > 0
     assert rows.select("planYear").distinct().collect()[0][0] not in (None, "0")
+
+
+def test_a_recorded_run_has_a_row_for_every_question(spark, tmpdir_path):
+    from fieldcast.plans.context import Ctx
+    from fieldcast.plans.q_model import record_runs
+
+    ctx = Ctx(spark, "/root/testdata/sf0.001")
+    record_runs(ctx, tmpdir_path)
+    runs, items = (spark.read.parquet(f"{tmpdir_path}/prediction_{n}") for n in ("runs", "items"))
+    questions = ctx.meta.count()
+    assert runs.count() == ctx.profiles.count() == items.select("run_id").distinct().count()
+    assert runs.filter(F.col("total_indicators") != questions).count() == 0
+    assert runs.join(items, "run_id", "left_anti").count() == 0
