@@ -137,6 +137,7 @@ def _written(folder: str, vocabulary: str, end_id: int):
                     writer, first = Writer(files.open_output(path), width), doc
                 writer.add(doc, np.append(ids, np.uint32(end_id)))
                 total += len(ids) + 1
+        tokens.forget()
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), pa.array([total], pa.int64())], ["path", "first", "ids"])

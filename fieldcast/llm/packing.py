@@ -133,6 +133,7 @@ def _pieces(capacity: int, vocabulary: str, end_id: int):
                 cuts = sorted({*range(0, whole + 1, capacity), whole + (n - whole) // UNIT * UNIT, n})
                 rows += [(doc, a, b - a, zlib.crc32(data[4 * a : 4 * b]), n) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        tokens.forget()
 
     return run
 

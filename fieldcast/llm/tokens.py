@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +24,13 @@ _PIECES = {
     "byte_bpe_50k.json": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\t\n\r {_LETTER}{_NUMBER}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+"),
     "word_bpe_49k.json": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\t\n\r {_LETTER}{_NUMBER}]+"),
 }
-#: Pieces that a Python worker remembers.
-REMEMBERED = 250_000
+#: Pieces that a task remembers (some 200 bytes each), and new pieces that are encoded in one go.
+REMEMBERED, TOGETHER = 800_000, 4_000
+#: Pieces that a text of many keeps apart, how to join them, and the mark of a token at a word's edge.
+_WORD = {
+    "byte_bpe_50k.json": (re.compile(f" [{_LETTER}]+"), "", "\u0120", True),
+    "word_bpe_49k.json": (re.compile(f"[{_LETTER}]+"), " ", "</w>", False),
+}
 
 
 @lru_cache(maxsize=2)
@@ -40,6 +46,11 @@ def _memory(path: str) -> dict[str, bytes]:
     return {}
 
 
+def forget() -> None:
+    """Give back what was remembered, at the end of a task: the Python worker goes on to other work."""
+    _memory.cache_clear()
+
+
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file on this machine."""
     import public_tokenizers
@@ -56,7 +67,7 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     plain = [i for i, t in enumerate(texts) if pattern and "<|" not in t and _PLAIN.fullmatch(t)]
     pieces = {i: pattern.findall(texts[i].lower() if lower else texts[i]) for i in plain}
     new = list(set().union(*pieces.values()).difference(memory)) if pieces else []
-    fresh = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+    fresh = _encode_pieces(new, path)
     known = memory
     if len(memory) + len(fresh) <= REMEMBERED:
         memory.update(fresh)
@@ -70,6 +81,34 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     return out
 
 
+@lru_cache(maxsize=2)
+def _edges(path: str) -> np.ndarray:
+    """For each id whether its token stands at the edge of a word."""
+    _, _, mark, at_start = _WORD[os.path.basename(path)]
+    vocabulary_ = _tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary_.values()) + 1, dtype=bool)
+    out[[i for t, i in vocabulary_.items() if (t.startswith(mark) if at_start else t.endswith(mark))]] = True
+    return out
+
+
+def _encode_pieces(pieces: list[str], path: str) -> dict[str, bytes]:
+    """Ids of each piece: words many at a time, cut apart at the tokens that stand at an edge; other pieces singly."""
+    tokenizer, out = _tokenizer(path), {}
+    form, between, _, at_start = _WORD.get(os.path.basename(path), (None, "", "", True))
+    words = [p for p in pieces if form and form.fullmatch(p)]
+    for k in range(0, len(words), TOGETHER):
+        some = words[k : k + TOGETHER]
+        ids = np.array(tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+        edge = np.flatnonzero(_edges(path)[ids])
+        if len(edge) == len(some):
+            cuts = 4 * (np.r_[edge, len(ids)] if at_start else np.r_[0, edge + 1])
+            data, at = ids.tobytes(), cuts.tolist()
+            out.update(zip(some, [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
+    singly = [p for p in pieces if p not in out]
+    out.update((p, array("I", e.ids).tobytes()) for p, e in zip(singly, tokenizer.encode_batch_fast(singly, add_special_tokens=False), strict=True))
+    return out
+
+
 class _Two(dict):
     """The pieces of this call, and behind them the remembered ones."""
 
