@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 LAST_ID = 2**63 - 1
 
 #: Bytes of text that a Python task works on at once (a longer text is one piece).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -39,7 +39,7 @@ def _powers(bits: int, inverse: bool) -> np.ndarray:
 
 
 def _bits(n: int) -> int:
-    return max(22, n.bit_length())
+    return max(21, n.bit_length())
 
 
 def _prefix(buf: np.ndarray) -> np.ndarray:

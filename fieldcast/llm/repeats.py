@@ -167,7 +167,7 @@ def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     press = zstandard.ZstdCompressor(level=1)
-    for batch in chunks(batches, limit=4 * CHUNK_BYTES):
+    for batch in chunks(batches, limit=8 * CHUNK_BYTES):
         packed = [press.compress(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(packed, pa.binary())], ["doc", "text"])
 
@@ -184,11 +184,11 @@ def unpack(column: pa.Array) -> list[bytes]:
 
 
 def _contexts(spec: Spec, hot_keys):
-    """(doc, text, keys) -> contexts (gid, doc, tag, start, count, context); one of a chunk's equal hot windows goes on, the others come out with gid null."""
+    """(doc, text, keys) -> contexts; one of a chunk's equal hot windows goes on, the others come out with gid null."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = hot_keys.value
-        for batch in chunks(batches, limit=800_000):
+        for batch in chunks(batches, limit=400_000):
             texts, doc = unpack(batch.column("text")), batch.column("doc").to_numpy()
             tags = _tags(texts)
             units = Units(texts, spec)
@@ -205,19 +205,45 @@ def _contexts(spec: Spec, hot_keys):
             if not len(key):
                 continue
             is_hot = np.isin(key.view(np.int64), hot)
-            cold = ~is_hot
-            rows = [(key[cold] >> _U(1)).view(np.int64), doc[text[cold]], tags[text[cold]], start[cold] - units.first[text[cold]], count[cold]]
+            cold = np.flatnonzero(~is_hot)
             cuts = [units.cut(a, a + n + spec.window - 1) for a, n in zip(start[cold].tolist(), count[cold].tolist(), strict=True)]
-            yield _batch(rows, cuts)
+            yield from _told(units, (key[cold] >> _U(1)).view(np.int64), doc, tags, text[cold], start[cold], count[cold], cuts)
             if is_hot.any():
                 yield from _hot_windows(units, doc, tags, text[is_hot], start[is_hot], count[is_hot])
 
     return run
 
 
-def _batch(rows: list[np.ndarray], cuts: list) -> pa.RecordBatch:
+def _told(units: Units, gid, doc, tags, text, start, count, cuts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Context rows.  Equal contexts of one text are one row: the others' starts go with it, or are decided if the first of them repeats them."""
+    own = start - units.first[text]
+    pair, size = np.unique(H.mix(gid.view(_U) + text.astype(_U)), return_inverse=True, return_counts=True)[1:]
+    stays, others = np.ones(len(cuts), bool), {}
+    first: dict[tuple[int, bytes], int] = {}
+    for i in np.flatnonzero(size[pair] > 1).tolist():
+        at = first.setdefault((int(text[i]), cuts[i]), i)
+        if at != i:
+            stays[i] = False
+            others.setdefault(at, []).append(int(own[i]))
+    keep = np.flatnonzero(stays)
+    more = [others.get(i, ()) for i in keep.tolist()] if others and not units.spec.within else []
+    yield _batch([gid[keep], doc[text[keep]], tags[text[keep]], own[keep], count[keep]], [cuts[i] for i in keep.tolist()] if others else cuts, more)
+    if units.spec.within and others:
+        yield _decided(doc[text[~stays]], tags[text[~stays]], own[~stays], count[~stays])
+
+
+def _decided(doc, tag, start, count) -> pa.RecordBatch:
+    return _batch([pa.nulls(len(doc), pa.int64()), doc, tag, start, count], [None] * len(doc))
+
+
+_CONTEXT = "gid long, doc long, tag int, start int, count int, context binary, more array<int>"
+
+
+def _batch(rows: list, cuts: list, more: list = ()) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) if isinstance(x, pa.Array) else pa.array(np.asarray(x), k) for x, k in zip(rows, kinds, strict=True)] + [pa.array(cuts, pa.binary())], ["gid", "doc", "tag", "start", "count", "context"])
+    lists = pa.array(more, pa.list_(pa.int32())) if more else pa.ListArray.from_arrays(pa.array(np.zeros(len(cuts) + 1, np.int32)), pa.array([], pa.int32()))
+    columns = [x if isinstance(x, pa.Array) else pa.array(np.asarray(x), k) for x, k in zip(rows, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(cuts, pa.binary()), lists], ["gid", "doc", "tag", "start", "count", "context", "more"])
 
 
 def _hot_windows(units: Units, doc, tags, text, start, count) -> Iterator[pa.RecordBatch]:
@@ -237,9 +263,10 @@ def _hot_windows(units: Units, doc, tags, text, start, count) -> Iterator[pa.Rec
     later = np.array([(d, p if spec.within else 0) > first[cut] for cut, d, p in zip(cuts, owner.tolist(), own.tolist(), strict=True)])
     one = np.ones(len(at), dtype=np.int32)
     gid = np.array([int.from_bytes(_digest(c), "little", signed=True) for c in cuts], dtype=np.int64)
-    go = ~later
-    yield _batch([gid[go], owner[go], own_tag[go], own[go], one[go]], list(cuts[go]))
-    yield _batch([pa.nulls(int(later.sum()), pa.int64()), owner[later], own_tag[later], own[later], one[later]], [None] * int(later.sum()))
+    go = np.flatnonzero(~later)
+    yield from _told(units, gid[go], doc, tags, text[each[go]], at[go], one[go], [cuts[i] for i in go.tolist()])
+    if later.any():
+        yield _decided(owner[later], own_tag[later], own[later], one[later])
 
 
 def _digest(data: bytes) -> bytes:
@@ -282,7 +309,18 @@ def _grouped(engine: Callable, spec: Spec, budget: int = 6_000_000):
         each, nth = each[hit], nth[hit]
         at = np.flatnonzero(np.r_[True, (each[1:] != each[:-1]) | (np.diff(nth) != 1)]) if len(each) else np.zeros(0, np.int64)
         length = np.diff(np.r_[at, len(each)])
-        return pa.RecordBatch.from_arrays([pa.array(doc[each[at]]), pa.array(tag[each[at]]), pa.array((start[each[at]] + nth[at]).astype(np.int32)), pa.array(length.astype(np.int32))], ["doc", "tag", "start", "count"])
+        each, nth = each[at], nth[at]
+        # the other starts of a context share its windows' fate
+        lists = t.column("more")
+        others, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        if len(values):
+            again = np.repeat(np.arange(len(each)), others[each])
+            place = np.arange(len(again)) - np.repeat(np.cumsum(others[each]) - others[each], others[each]) + (np.cumsum(others) - others)[each[again]]
+            begin = np.r_[start[each], values[place]]
+            each, nth, length = (np.r_[x, x[again]] for x in (each, nth, length))
+        else:
+            begin = start[each]
+        return pa.RecordBatch.from_arrays([pa.array(doc[each]), pa.array(tag[each]), pa.array((begin + nth).astype(np.int32)), pa.array(length.astype(np.int32))], ["doc", "tag", "start", "count"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -325,7 +363,7 @@ def repeated_windows(docs: DataFrame, spec: Spec, engine: Callable, hot: int | N
     hot_keys = np.array([r.key for r in shared.filter("hot").select("key").distinct().toLocalIterator()], dtype=np.int64)
     told = spark.sparkContext.broadcast(hot_keys)
     keys = shared.groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    contexts = packed_texts(docs).join(keys, "doc").mapInArrow(_contexts(spec, told), "gid long, doc long, tag int, start int, count int, context binary")
+    contexts = packed_texts(docs).join(keys, "doc").mapInArrow(_contexts(spec, told), _CONTEXT)
     # decided rows (gid null) only pass through: deal them by document
     dealt = contexts.repartition(F.coalesce("gid", F.xxhash64("doc", "start"))).sortWithinPartitions("gid")
     return dealt.mapInArrow(_grouped(engine, spec), FLAGS)
