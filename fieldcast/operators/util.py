@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcast.session import shared_dir
@@ -13,6 +14,28 @@ from fieldcast.session import shared_dir
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+_collecting: list[list[str]] = []
+
+
+@contextmanager
+def collected_tables():
+    """The paths that ``materialize`` writes meanwhile, for ``drop_tables`` once nothing reads them any more."""
+    _collecting.append([])
+    try:
+        yield _collecting[-1]
+    finally:
+        _collecting.pop()
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Remove intermediate tables and empty the list."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a parquet table in the shared checkpoint folder and read it back.
 
@@ -22,6 +45,8 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     lose them, and read back with column pruning and filter push-down.  The
     folder is unique per call; a retried write overwrites its own output."""
     path = shared_dir(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
+    if _collecting:
+        _collecting[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
