@@ -73,19 +73,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Linear:
-    """Weights of the features, of the earlier categories' log-odds, and of the constant."""
+    """Weights of some features (the others have none), of the earlier categories' log-odds, and of the constant."""
 
-    def __init__(self, weights: np.ndarray, dense: np.ndarray):
-        self.weights, self.dense = weights.astype(np.float32), dense
+    def __init__(self, ids: np.ndarray, values: np.ndarray, dense: np.ndarray):
+        self.ids, self.values, self.dense = ids, values.astype(np.float32), dense
 
     def odds(self, text: np.ndarray, feature: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        sums = np.bincount(text, weights=self.weights[feature], minlength=len(earlier))
-        return sums + earlier @ self.dense[:-1] + self.dense[-1]
+        weights = np.zeros(1 << BITS, dtype=np.float32)
+        weights[self.ids] = self.values
+        return np.bincount(text, weights=weights[feature], minlength=len(earlier)) + earlier @ self.dense[:-1] + self.dense[-1]
 
 
-def fit(first: np.ndarray, feature: np.ndarray, earlier: np.ndarray, label: np.ndarray, rows: np.ndarray, seed: int = 1) -> Linear:
-    """FTRL-proximal over the given rows; row i has the features feature[first[i]:first[i+1]]."""
-    size, wide = 1 << BITS, earlier.shape[1] + 1
+def fit(first: np.ndarray, feature: np.ndarray, size: int, earlier: np.ndarray, label: np.ndarray, rows: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by FTRL-proximal over the given rows; row i has the features feature[first[i]:first[i+1]], all below ``size``."""
+    wide = earlier.shape[1] + 1
     z, n = np.zeros(size + wide), np.zeros(size + wide)
     inputs = np.hstack([earlier, np.ones((len(earlier), 1))])
     penalty = np.r_[np.full(size, L1), np.zeros(wide)]
@@ -107,33 +108,49 @@ def fit(first: np.ndarray, feature: np.ndarray, earlier: np.ndarray, label: np.n
                 step = (np.sqrt(n[where] + slope**2) - np.sqrt(n[where])) / ALPHA
                 z[where] += slope - step * now
                 n[where] += slope**2
-    every = weights(np.arange(size + wide))
-    return Linear(every[:size], every[size:])
+    return weights(np.arange(size)), weights(tail)
 
 
-def fit_chain(texts: list[bytes], labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> list[Linear]:
-    """One model per column of ``labels`` (1, 0, or nan for unknown), each fed with the out-of-fold log-odds of those before."""
-    owner, feature = features(texts)
+def fit_chain(rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> list[Linear]:
+    """One model per column of ``labels`` (1, 0, or nan for unknown), each fed with the out-of-fold log-odds of those before.
+
+    ``rows``: the distinct features of each row of the sample."""
+    length = np.array([len(r) for r in rows])
+    feature = np.concatenate([*rows, np.zeros(0, np.int32)])
     often = np.bincount(feature, minlength=1 << BITS) >= MIN_ROWS
-    owner, feature = owner[often[feature]], feature[often[feature]]
-    first = np.searchsorted(owner, np.arange(len(texts) + 1))
-    earlier, chain = np.zeros((len(texts), 0)), []
+    ids, keep = np.flatnonzero(often).astype(np.int32), often[feature]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), length)[keep]
+    feature = np.searchsorted(ids, feature[keep]).astype(np.int32)
+    first = np.searchsorted(owner, np.arange(len(rows) + 1))
+    earlier, chain = np.zeros((len(rows), 0)), []
     for column in labels.T:
         known = np.flatnonzero(~np.isnan(column))
-        chain.append(fit(first, feature, earlier, column, known))
-        unseen = np.zeros(len(texts))
+        weights, dense = fit(first, feature, len(ids), earlier, column, known)
+        chain.append(Linear(ids[weights != 0], weights[weights != 0], dense))
+        unseen = np.zeros(len(rows))
         for f in range(folds):
-            model = fit(first, feature, earlier, column, known[fold[known] != f])
-            mine = fold == f
-            unseen[mine] = model.odds(owner, feature, earlier)[mine]
+            weights, dense = fit(first, feature, len(ids), earlier, column, known[fold[known] != f])
+            odds = np.bincount(owner, weights=weights[feature], minlength=len(rows)) + earlier @ dense[:-1] + dense[-1]
+            unseen[fold == f] = odds[fold == f]
         earlier = np.hstack([earlier, unseen[:, None]])
     return chain
 
 
+def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the sample with their features in place of the text."""
+    for batch in chunks(batches):
+        text, feature = features(batch.column("text").to_pylist())
+        cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
+        packed = [feature[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(packed, pa.binary())], [*names, "features"])
+
+
 def _judge(shared, names: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
-        weighted = np.any([m.weights != 0 for m in chain], axis=0)
+        weighted = np.zeros(1 << BITS, dtype=bool)
+        weighted[np.concatenate([m.ids for m in chain])] = True
         for batch in chunks(batches):
             texts = batch.column("text").to_pylist()
             text, feature = features(texts, weighted)
@@ -152,12 +169,16 @@ def classify(docs: DataFrame, labels: DataFrame, categories: tuple = CATEGORIES,
     said = labels.filter("doc_id IS NOT NULL").select("doc_id", *(F.when(F.col(n).isNotNull(), (F.col(n) == yes).cast("double")).alias(f"is_{n}") for n, yes in categories)).dropDuplicates(["doc_id"])
     share = train_rows / max(said.count(), 1)
     said = said.filter(F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(1_000_000)) < 1_000_000 * share)
-    sample = texts.join(F.broadcast(said), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    wanted = [f"is_{n}" for n, _ in categories]
+    sample = texts.join(F.broadcast(said), "doc_id").select("doc_id", *wanted, "text")
+    kinds = ", ".join(["doc_id long", *(f"{n} double" for n in wanted), "features binary"])
+    sample = sample.mapInArrow(_featured, kinds).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     if len(sample):
         fold = (H.mix(sample["doc_id"].to_numpy(np.int64).view(_U)) % _U(FOLDS)).astype(np.int64)
-        chain = fit_chain([bytes(t) for t in sample["text"]], sample[[f"is_{n}" for n, _ in categories]].to_numpy(float), fold)
+        chain = fit_chain([np.frombuffer(x, "<i4") for x in sample["features"]], sample[wanted].to_numpy(float), fold)
     else:
-        chain = [Linear(np.zeros(1 << BITS), np.r_[np.zeros(i), -30.0]) for i in range(len(categories))]
+        none = np.zeros(0, np.int32)
+        chain = [Linear(none, none, np.r_[np.zeros(i), -30.0]) for i in range(len(categories))]
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     out = texts.mapInArrow(_judge(shared, names), ", ".join(["doc_id long", *(f"{n} double" for n in names)]))
     return out.withColumn(categories[-1][0], F.col(names[-1]) >= limit)

@@ -77,7 +77,9 @@ def test_chain_uses_what_came_before():
     first = [rnd.random() < 0.5 for _ in range(900)]
     texts = [((b"bad%d " % rnd.randrange(3)) if y else b"good ") + b"filler text" for y in first]
     labels = np.array([[y, y] for y in first], float)
-    chain = toxicity.fit_chain(texts, labels, np.arange(900) % 3)
+    text, feature = toxicity.features(texts)
+    rows = [feature[text == i].astype(np.int32) for i in range(900)]
+    chain = toxicity.fit_chain(rows, labels, np.arange(900) % 3)
     assert chain[1].dense[0] > 0
 
 
