@@ -18,7 +18,9 @@ For scoring, both are laid out as dense per-class vectors: one vector per
 indicator (base) and one per (indicator, feature, value).  Scoring a profile
 for an indicator is then 11 dictionary look-ups (broadcast hash joins when
 the model is proven small) and an element-wise vector sum — a narrow map
-over profile rows, no shuffle.
+over profile rows, no shuffle.  That is for indicators of few classes; one
+whose answers grow with the data is scored from its seen counts alone
+(:func:`_decide_sparse`), with the same result.
 """
 
 from __future__ import annotations
@@ -127,6 +129,13 @@ class CountModel:
         """Same counts, another smoothing (the counts do not depend on it)."""
         return CountModel(self.classes, self.fv, self.vocab, alpha)
 
+    def only(self, indicators: list[str], other: bool = False) -> "CountModel":
+        """The models of these indicators, or of all others."""
+        def part(t: DataFrame) -> DataFrame:
+            named = F.col("indicator").isin(indicators)
+            return t.filter(~named if other else named)
+        return CountModel(part(self.classes), part(self.fv), part(self.vocab), self.alpha)
+
 
 def fit(ex: DataFrame) -> CountModel:
     """All indicators in one pass.  The (indicator, class, feature, value)
@@ -247,12 +256,76 @@ def decide(scores: Column, classes: Column) -> tuple[Column, Column]:
     return cls, (F.lit(100.0) / denom)
 
 
-def predict(rows: DataFrame, m: CountModel, key: str, carry: tuple = ()) -> DataFrame:
-    """(key, indicator, <carry>, predicted_class, confidence); columns of ``rows``
-    named in ``carry`` come along, so nothing has to be joined back."""
-    s = score(rows, m, key)
+def _decide_dense(rows: DataFrame, m: CountModel, key: str, carry: tuple, extra_year: str | None) -> DataFrame:
+    s = score(rows, m, key, extra_year)
     cls, conf = decide(F.col("scores"), F.col("classes"))
-    return s.select(key, "indicator", *carry, cls.alias("predicted_class"), conf.alias("confidence"))
+    out = [key, "indicator", *carry, cls.alias("predicted_class"), conf.alias("confidence")]
+    if extra_year:
+        cls, conf = decide(F.col("scores_alt"), F.col("classes"))
+        out += [cls.alias("previous_class"), conf.alias("previous_confidence")]
+    return s.select(*out)
+
+
+def _decide_sparse(rows: DataFrame, m: CountModel, key: str, carry: tuple, extra_year: str | None) -> DataFrame:
+    """What ``_decide_dense`` returns, from the counts above zero alone.
+
+    A class that meets none of a row's values scores its base, a class that
+    meets some gains d = sum ln(1 + n) >= ln 2.  So among the unmet classes
+    only the one with the best base of all can win, and the softmax sum is
+    sum_c exp(base_c) + sum_met exp(base_c) (exp(d) - 1): no term per unmet
+    class, and no difference of large numbers."""
+    base = materialize(base_scores(m), "nb_base")
+    best = F.min(F.struct((-F.round("base", 9)).alias("s"), "idx", "base"))
+    heads = base.groupBy("indicator").agg(best.alias("b"), F.max("base").alias("high"))
+    sums = base.join(F.broadcast(heads), "indicator").groupBy("indicator").agg(F.sum(F.exp(F.col("base") - F.col("high"))).alias("total"))
+    heads = materialize(heads.join(sums, "indicator"), "nb_best")
+    met = m.fv.join(base, ["indicator", "class"]).select(
+        "indicator", "feature", "value", "idx", "base", F.log1p(F.col("n") / F.lit(float(m.alpha))).alias("d"))
+    met = met.unionByName(heads.select("indicator", F.lit("__best__").alias("feature"), F.lit("").alias("value"), "b.idx", "b.base", F.lit(0.0).alias("d")))
+    met = materialize(met, "nb_met")
+    if met.count() <= BROADCAST_MAX_ROWS:
+        met = F.broadcast(met)
+    spark = rows.sparkSession
+    parts = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def decided(asked: DataFrame, cls: str, conf: str) -> DataFrame:
+        looks = [F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in NB_FEATURES]
+        looks.append(F.struct(F.lit("__best__").alias("feature"), F.lit("").alias("value")))
+        # dealt by row before they meet the classes: with a broadcast dictionary nothing class-sized is
+        # shuffled; a stated number, since the few bytes of the rows would be put into one task
+        asked = asked.select(key, "indicator", *NB_FEATURES).repartition(parts, key, "indicator").select(key, "indicator", F.inline(F.array(*looks)))
+        pairs = asked.join(met, ["indicator", "feature", "value"]).groupBy(key, "indicator", "idx").agg(F.sum("d").alias("d"), F.first("base").alias("base"))
+        gain = F.exp(F.col("base") - F.col("high")) * F.expm1("d")
+        total = F.col("base") + F.col("d")
+        won = pairs.join(F.broadcast(heads.select("indicator", "high", "total")), "indicator").groupBy(key, "indicator").agg(
+            F.min(F.struct((-F.round(total, 9)).alias("s"), "idx"))["idx"].alias("idx"),
+            (F.lit(100.0) * F.exp(F.max(total) - F.first("high")) / (F.first("total") + F.sum(gain))).alias(conf))
+        return won.join(m.classes.select("indicator", "idx", F.col("class").alias(cls)), ["indicator", "idx"]).drop("idx")
+
+    out = decided(rows, "predicted_class", "confidence")
+    if extra_year:
+        before = rows.withColumn("planYear", F.col(extra_year))
+        out = out.join(decided(before, "previous_class", "previous_confidence"), [key, "indicator"])
+    if carry:
+        out = out.join(rows.select(key, "indicator", *carry), [key, "indicator"])
+    last = ["previous_class", "previous_confidence"] if extra_year else []
+    return out.select(key, "indicator", *carry, "predicted_class", "confidence", *last)
+
+
+def predict(rows: DataFrame, m: CountModel, key: str, carry: tuple = (), extra_year: str | None = None,
+            dense_classes: int = C.MAX_CLASSES) -> DataFrame:
+    """(key, indicator, <carry>, predicted_class, confidence); columns of ``rows``
+    named in ``carry`` come along, so nothing has to be joined back.  If
+    ``extra_year`` names a column, also previous_class and previous_confidence:
+    the decision with planYear replaced by it.
+
+    Indicators with at most ``dense_classes`` classes are scored by dense
+    vectors, the others by their seen counts: two plans, one result."""
+    wide = [r[0] for r in m.classes.filter(F.col("n_classes") > dense_classes).select("indicator").distinct().collect()]
+    if not wide:
+        return _decide_dense(rows, m, key, carry, extra_year)
+    few = _decide_dense(rows.filter(~F.col("indicator").isin(wide)), m.only(wide, other=True), key, carry, extra_year)
+    return few.unionByName(_decide_sparse(rows.filter(F.col("indicator").isin(wide)), m.only(wide), key, carry, extra_year))
 
 
 def evaluate(ex_split: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -30,8 +30,7 @@ VIEWS = ["f_profiles", "f_answers"]
 class Model:
     """Lazily built model plans for one context."""
 
-    def __init__(self, ctx: Ctx, max_classes: int = C.MAX_CLASSES):
-        self.max_classes = max_classes
+    def __init__(self, ctx: Ctx):
         self.ctx = ctx.share_answers()
         self.spark = ctx.spark
         # question metadata is questionnaire-sized and read by several plans: write it once
@@ -45,12 +44,10 @@ class Model:
 
     @cached_property
     def modelled(self) -> DataFrame:
-        """Indicators that get a model: trainable (P7), with at most
-        ``max_classes`` distinct answers, which bounds every per-class vector
-        below.  Every other question of the metadata is a manual-entry row."""
-        classes = self.first_rows.groupBy("indicator").agg(F.countDistinct("answer").alias("k"))
-        few = classes.filter(F.col("k") <= self.max_classes).select("indicator")
-        return materialize(CM.trainable(self.first_rows).join(few, "indicator", "left_semi"))
+        """Indicators that get a model: every trainable one (P7), however many
+        distinct answers it has.  Every other question of the metadata is a
+        manual-entry row."""
+        return materialize(CM.trainable(self.first_rows))
 
     @cached_property
     def modelled_list(self) -> list[str]:
@@ -367,12 +364,12 @@ def _yoy_ctes() -> list[tuple[str, str]]:
 def yoy(ctx: Ctx) -> DataFrame:
     """Each profile against the same profile one plan year earlier.
     Both years are scored in the same row (the previous year only swaps the
-    planYear look-up), so there is no second scoring pass and no join."""
+    planYear look-up), so there is no second scoring pass and no join; only
+    indicators of many classes are scored twice."""
     m = _m(ctx)
-    s = CM.score(m.requests(extra_prev_year=True), m.model, "profile_id", extra_year="prev_year")
-    cc, cconf = CM.decide(F.col("scores"), F.col("classes"))
-    pc, pconf = CM.decide(F.col("scores_alt"), F.col("classes"))
-    s = s.select("profile_id", "indicator", cc.alias("cur"), cconf.alias("cconf"), pc.alias("prev"), pconf.alias("pconf"))
+    s = CM.predict(m.requests(extra_prev_year=True), m.model, "profile_id", extra_year="prev_year")
+    s = s.select("profile_id", "indicator", F.col("predicted_class").alias("cur"), F.col("confidence").alias("cconf"),
+                 F.col("previous_class").alias("prev"), F.col("previous_confidence").alias("pconf"))
     return s.select("profile_id", "indicator", (F.col("cur") != F.col("prev")).alias("changed"),
                     X.yoy_direction("cur", "prev", "cconf", "pconf").alias("direction"),
                     F.col("prev").alias("previous_value"), F.col("cur").alias("current_value"),
@@ -443,7 +440,7 @@ def explanations(ctx: Ctx, indicator: str = EXPLAIN_ID) -> DataFrame:
     ids = [i for i in m.modelled_list if i == indicator]
     req = m.requests(ids)
     raw = ctx.profiles.select(F.col("row_id").alias("profile_id"), *C.FEATURE_COLUMNS)
-    return EX.contributions(req, m.model, raw, "profile_id")
+    return EX.contributions(req, m.model.only(ids), raw, "profile_id")
 
 
 @query("explain_contributions", oracle=_sql(_explain_ctes(EXPLAIN_ID), """

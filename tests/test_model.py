@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,46 @@ def test_stream_refit_equals_batch_fold(spark):
     s = queries()["stream_feedback_refit"](spark, SF)
     b = queries()["apply_feedback"](spark, SF)
     assert _rows(s, cols) == _rows(b, cols)
+
+
+def test_many_classes_are_scored_as_few(spark, model):
+    """The sparse path gives what the dense vectors give, also for another smoothing and the previous year."""
+    asked = model.requests(extra_prev_year=True)
+    for m in (model.model, model.model.with_alpha(0.25)):
+        dense, sparse = (CM.predict(asked, m, "profile_id", ("area",), "prev_year", dense_classes=k).collect() for k in (10**9, 1))
+        assert len(dense) == len(sparse) == model.ctx.profiles.count() * len(model.modelled_list)
+        found = {(r.profile_id, r.indicator): r for r in sparse}
+        for r in dense:
+            s = found[r.profile_id, r.indicator]
+            assert (s.area, s.predicted_class, s.previous_class) == (r.area, r.predicted_class, r.previous_class)
+            assert abs(s.confidence - r.confidence) < 1e-8 and abs(s.previous_confidence - r.previous_confidence) < 1e-8
+
+
+@pytest.mark.parametrize("key", ["predict_batch", "yoy_compare"])
+def test_every_trainable_indicator_has_a_model(spark, key):
+    """Against the registered SQL without its bound on the number of distinct answers."""
+    duckdb = pytest.importorskip("duckdb")
+    from __spark_entry__ import oracle_sql, queries
+    from tools.check_oracle import TABLES, digest
+    con = duckdb.connect()
+    for t in TABLES:
+        if os.path.exists(f"{SF}/{t}.parquet"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    sql = re.sub(r"AND count\(DISTINCT answer\) <= 75", "", oracle_sql()[key])
+    rel = con.execute(sql)
+    ocols, orows = [d[0] for d in rel.description], rel.fetchall()
+    df = queries()[key](spark, SF)
+    srows = df.collect()
+    at = df.columns.index("indicator")
+    assert {"SM-5", "ZZ-7"} <= {r[at] for r in srows}
+    assert key != "predict_batch" or not any(r["policy"] == "manual_entry" for r in srows if r["indicator"] in ("SM-5", "ZZ-7"))
+    assert digest(df.columns, [tuple(r) for r in srows])[0] == digest(ocols, orows)[0]
+
+
+def test_trees_of_more_classes_than_mllib_counts_itself(spark):
+    from fieldcast.operators import trees as TR
+    from pyspark.ml.linalg import Vectors
+    rows = [("A", i, float(i % 150), 1.0, Vectors.dense([float(i % 150)]), False, True) for i in range(300)]
+    table = spark.createDataFrame(rows, ["indicator", "row_key", "label", "weight", "features", "is_test", "eval_on_train"])
+    models, summary = TR.train_all(spark, table, {"A": 150}, {"n_estimators": 2})
+    assert models["A"].numClasses == 150 and summary.first()["test_rows"] == 300
