@@ -6,7 +6,8 @@ documents per host (``source``) are counted for each line, lines above the
 limits are boilerplate and taken away, and a document that is depleted by it
 is rejected.
 
-Equal texts are one document in these counts: a text is not boilerplate because
+Equal texts are one document in these counts, of a line and of its host, and
+texts without lines are none: a text is not boilerplate because
 it was copied, and removing copies is for the dedup operators.
 
 A null text is empty: no words, no lines, ``base_failed``.  A null source is a
@@ -87,7 +88,8 @@ def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_permille: int = LINE
     rows = materialize(figures.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text_crc32", "f.*", "lines"), "lines")
     host = F.coalesce(F.xxhash64("source"), F.lit(0)).alias("host")
     told = rows.select(host, F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("lines"))
-    hosts = told.groupBy("host").agg(F.count("*").alias("host_docs"))
+    # both counts of a share are of distinct sets of lines: copies are one document, texts without lines none
+    hosts = told.filter(F.size("lines") > 0).select("host", F.xxhash64("lines").alias("copy")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     apart = told.select("host", F.explode("lines").alias("line"), F.xxhash64("lines").alias("copy")).distinct()
     common = apart.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= line_docs)
     common = common.join(hosts, "host").filter(1000 * F.col("docs") >= line_permille * F.col("host_docs")).select("host", "line")

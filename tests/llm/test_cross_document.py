@@ -113,6 +113,19 @@ def test_line_frequency_rejects_depleted_documents_and_spares_copies(spark):
     assert all(got[i].kept for i in (*range(100, 105), 200, 201, *range(300, 330)))
 
 
+def test_copies_and_empty_texts_do_not_hide_the_boilerplate_of_a_host(spark):
+    import random
+
+    rnd = random.Random(4)
+    menu = "\n".join(prose(rnd, 12) for _ in range(6))
+    rows = [(i, menu + "\n" + prose(rnd, 30), "en", "shop", 1) for i in range(401)]
+    rows += [(10_000 + i, rows[0][1], "en", "shop", 1) for i in range(7_999)]
+    rows += [(20_000 + i, (None, "", " \n ")[i % 3], "en", "shop", 1) for i in range(600)]
+    got = quality_rules.judge(spark.createDataFrame(rows, COLUMNS)).collect()
+    assert len(got) == len(rows) and not any(r.kept for r in got)
+    assert all(r.n_line_words == 72 for r in got if r.doc_id < 20_000)
+
+
 def items_table(spark, items):
     return spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'x' AS words", "'y' AS term")
 
