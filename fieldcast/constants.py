@@ -103,7 +103,7 @@ UNKNOWN = "Unknown"
 BLANK_ANSWERS = ["", "null", "None"]
 # White space of any script at either end of a text.
 STRIP = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
-# Distinct answers up to which a question gets a model (the most that type inference calls a choice).
+# Distinct answers up to which a question's model is scored by dense vectors (every trainable one has a model).
 MAX_CLASSES = 75
 # FIXED VALUES: the boolean-like answer set (options become False/True).
 BOOLEAN_ANSWERS = ["True", "False", "true", "false", "1", "0"]
@@ -121,6 +121,7 @@ MIN_TRAINING_SAMPLES_V1 = 10
 SPLIT_MIN_ROWS = 50
 STRATIFY_MAX_CLASSES = 20
 CV_MIN_ROWS = 100
+CV_MAX_FOLDS = 5
 TEST_FRACTION_FOLDS = 5       # 1 of 5 ordered slots -> 20 % holdout
 
 # FIXED VALUES: tree-ensemble parameters.

@@ -19,19 +19,21 @@ indicator (base) and one per (indicator, feature, value).  Scoring a profile
 for an indicator is then 11 dictionary look-ups (broadcast hash joins when
 the model is proven small) and an element-wise vector sum — a narrow map
 over profile rows, no shuffle.  That is for indicators of few classes; one
-whose answers grow with the data is scored from its seen counts alone
-(:func:`_decide_sparse`), with the same result.
+whose answers grow with the data is scored block by block
+(:mod:`fieldcast.operators.widescore`), with the same result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcast import constants as C
 from fieldcast.functions import scalar as X
+from fieldcast.operators import widescore
 from fieldcast.operators.util import BROADCAST_MAX_ROWS, materialize, rank_within
 
 NB_FEATURES = C.FEATURE_COLUMNS + [name for name, _, _ in C.INTERACTIONS]
@@ -266,52 +268,6 @@ def _decide_dense(rows: DataFrame, m: CountModel, key: str, carry: tuple, extra_
     return s.select(*out)
 
 
-def _decide_sparse(rows: DataFrame, m: CountModel, key: str, carry: tuple, extra_year: str | None) -> DataFrame:
-    """What ``_decide_dense`` returns, from the counts above zero alone.
-
-    A class that meets none of a row's values scores its base, a class that
-    meets some gains d = sum ln(1 + n) >= ln 2.  So among the unmet classes
-    only the one with the best base of all can win, and the softmax sum is
-    sum_c exp(base_c) + sum_met exp(base_c) (exp(d) - 1): no term per unmet
-    class, and no difference of large numbers."""
-    base = materialize(base_scores(m), "nb_base")
-    best = F.min(F.struct((-F.round("base", 9)).alias("s"), "idx", "base"))
-    heads = base.groupBy("indicator").agg(best.alias("b"), F.max("base").alias("high"))
-    sums = base.join(F.broadcast(heads), "indicator").groupBy("indicator").agg(F.sum(F.exp(F.col("base") - F.col("high"))).alias("total"))
-    heads = materialize(heads.join(sums, "indicator"), "nb_best")
-    met = m.fv.join(base, ["indicator", "class"]).select(
-        "indicator", "feature", "value", "idx", "base", F.log1p(F.col("n") / F.lit(float(m.alpha))).alias("d"))
-    met = met.unionByName(heads.select("indicator", F.lit("__best__").alias("feature"), F.lit("").alias("value"), "b.idx", "b.base", F.lit(0.0).alias("d")))
-    met = materialize(met, "nb_met")
-    if met.count() <= BROADCAST_MAX_ROWS:
-        met = F.broadcast(met)
-    spark = rows.sparkSession
-    parts = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def decided(asked: DataFrame, cls: str, conf: str) -> DataFrame:
-        looks = [F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in NB_FEATURES]
-        looks.append(F.struct(F.lit("__best__").alias("feature"), F.lit("").alias("value")))
-        # dealt by row before they meet the classes: with a broadcast dictionary nothing class-sized is
-        # shuffled; a stated number, since the few bytes of the rows would be put into one task
-        asked = asked.select(key, "indicator", *NB_FEATURES).repartition(parts, key, "indicator").select(key, "indicator", F.inline(F.array(*looks)))
-        pairs = asked.join(met, ["indicator", "feature", "value"]).groupBy(key, "indicator", "idx").agg(F.sum("d").alias("d"), F.first("base").alias("base"))
-        gain = F.exp(F.col("base") - F.col("high")) * F.expm1("d")
-        total = F.col("base") + F.col("d")
-        won = pairs.join(F.broadcast(heads.select("indicator", "high", "total")), "indicator").groupBy(key, "indicator").agg(
-            F.min(F.struct((-F.round(total, 9)).alias("s"), "idx"))["idx"].alias("idx"),
-            (F.lit(100.0) * F.exp(F.max(total) - F.first("high")) / (F.first("total") + F.sum(gain))).alias(conf))
-        return won.join(m.classes.select("indicator", "idx", F.col("class").alias(cls)), ["indicator", "idx"]).drop("idx")
-
-    out = decided(rows, "predicted_class", "confidence")
-    if extra_year:
-        before = rows.withColumn("planYear", F.col(extra_year))
-        out = out.join(decided(before, "previous_class", "previous_confidence"), [key, "indicator"])
-    if carry:
-        out = out.join(rows.select(key, "indicator", *carry), [key, "indicator"])
-    last = ["previous_class", "previous_confidence"] if extra_year else []
-    return out.select(key, "indicator", *carry, "predicted_class", "confidence", *last)
-
-
 def predict(rows: DataFrame, m: CountModel, key: str, carry: tuple = (), extra_year: str | None = None,
             dense_classes: int = C.MAX_CLASSES) -> DataFrame:
     """(key, indicator, <carry>, predicted_class, confidence); columns of ``rows``
@@ -320,12 +276,14 @@ def predict(rows: DataFrame, m: CountModel, key: str, carry: tuple = (), extra_y
     the decision with planYear replaced by it.
 
     Indicators with at most ``dense_classes`` classes are scored by dense
-    vectors, the others by their seen counts: two plans, one result."""
+    vectors, the others in blocks of distinct inputs and of classes: two plans,
+    one result."""
     wide = [r[0] for r in m.classes.filter(F.col("n_classes") > dense_classes).select("indicator").distinct().collect()]
     if not wide:
         return _decide_dense(rows, m, key, carry, extra_year)
     few = _decide_dense(rows.filter(~F.col("indicator").isin(wide)), m.only(wide, other=True), key, carry, extra_year)
-    return few.unionByName(_decide_sparse(rows.filter(F.col("indicator").isin(wide)), m.only(wide), key, carry, extra_year))
+    many = m.only(wide)
+    return few.unionByName(widescore.decide(rows.filter(F.col("indicator").isin(wide)), many, base_scores(many), key, carry, extra_year))
 
 
 def evaluate(ex_split: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -391,22 +349,34 @@ def class_weights(ex_split: DataFrame) -> DataFrame:
     return c.select("indicator", "class", "n_class", weight.cast(DEC).alias("weight"))
 
 
-def cv_accuracy(ex_split: DataFrame, min_rows: int = C.CV_MIN_ROWS, alphas: list[float] | None = None) -> DataFrame:
-    """K-fold accuracy for indicators with >= ``min_rows`` rows.
+def fold_models(ex: DataFrame) -> CountModel:
+    """M4: the model of every fold of every indicator, named '<indicator>#<fold>'.
 
-    Every row is copied into the training set of each fold it does not belong
-    to, keyed '<indicator>#<fold>', so all K fold models of all indicators are
-    counted in one aggregation; each row is then scored by the model of its
-    own fold.  (The copy factor is K - 1 <= 4.)"""
+    Each training row is counted once, in its own fold.  The model of fold j is
+    the total counts less the counts of fold j, so no row is copied."""
+    keys = ["indicator", "class", "feature", "value"]
+    most = C.CV_MAX_FOLDS
+    # one row per count with all folds' shares beside each other
+    shares = [F.count_if(F.col("fold") == j).alias(f"_f{j}") for j in range(most)]
+    counts = stack(ex, ["indicator", "class", "fold", "n_folds"]).groupBy(*keys).agg(F.first("n_folds").alias("n_folds"), *shares)
+    less = F.transform(F.sequence(F.lit(0), F.col("n_folds") - 1), lambda j: F.struct(
+        j.alias("j"), (F.col("_all") - F.get(F.col("_each"), j)).alias("n")))
+    each = counts.withColumn("_each", F.array(*[f"_f{j}" for j in range(most)])) \
+                 .withColumn("_all", reduce(lambda a, b: a + b, [F.col(f"_f{j}") for j in range(most)]))
+    fv = each.select(*keys, F.inline(less)).filter(F.col("n") > 0) \
+             .withColumn("indicator", F.concat_ws("#", "indicator", F.col("j").cast("string"))).drop("j")
+    return CountModel(None, fv, None).materialized()
+
+
+def cv_accuracy(ex_split: DataFrame, min_rows: int = C.CV_MIN_ROWS, alphas: list[float] | None = None) -> DataFrame:
+    """K-fold accuracy for indicators with >= ``min_rows`` rows: each row
+    is scored by the model of its own fold (:func:`fold_models`)."""
     n = ex_split.groupBy("indicator").agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("class").alias("_k"))
     ex = ex_split.join(n.filter((F.col("_n") >= min_rows) & (F.col("_k") >= 2)).select("indicator"), "indicator",
                        "left_semi")
-    folds = F.filter(F.sequence(F.lit(0), F.col("n_folds") - 1), lambda j: j != F.col("fold"))
-    train = ex.select("*", F.explode(folds).alias("_j")) \
-              .withColumn("indicator", F.concat_ws("#", "indicator", F.col("_j").cast("string"))).drop("_j")
     test = ex.withColumn("_orig", F.col("indicator")) \
              .withColumn("indicator", F.concat_ws("#", "indicator", F.col("fold").cast("string")))
-    m = fit(train).materialized()
+    m = fold_models(ex)
     t = materialize(test.select("row_key", "indicator", "_orig", "fold", "n_folds", F.col("class").alias("actual"),
                                 *NB_FEATURES))
     out = None

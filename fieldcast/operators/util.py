@@ -12,6 +12,8 @@ from fieldcast.session import shared_dir
 
 # A dictionary side above this many rows is joined by shuffle instead of broadcast.
 BROADCAST_MAX_ROWS = 2_000_000
+# So is one of more bytes than this, strings and arrays counted in full.
+BROADCAST_MAX_BYTES = 128_000_000
 
 
 _collecting: list[list[str]] = []
@@ -51,6 +53,21 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if its rows and its bytes are few."""
+    def width(field):
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+        if kind in ("array", "map", "struct"):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0))
+        return F.lit(8)
+    total = sum((width(f) for f in df.schema.fields), F.lit(0))
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("bytes")).first()
+    small = size["n"] <= BROADCAST_MAX_ROWS and (size["bytes"] or 0) <= BROADCAST_MAX_BYTES
+    return F.broadcast(df) if small else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a table scan at least one partition per core (for scans only: asking
     a plan with shuffles for its partitions would run them).

@@ -63,8 +63,7 @@ def base_ctes() -> list[tuple[str, str]]:
         ("a_long", A_LONG), *META_CTES, ("syn", SYN_VALUES),
         ("first_rows", FIRST_ROWS),
         ("modelled", """SELECT indicator FROM first_rows GROUP BY indicator
-                        HAVING count(answer) >= 20 AND count(DISTINCT answer) > 1
-                           AND count(DISTINCT answer) <= 75"""),
+                        HAVING count(answer) >= 20 AND count(DISTINCT answer) > 1"""),
         ("ex", f"""SELECT e.indicator, e.answer AS class, e.first_row_id AS row_key, {feats}
                    FROM first_rows e WHERE e.answer IS NOT NULL AND e.indicator IN (SELECT indicator FROM modelled)"""),
         ("sp0", """SELECT ex.*, count(*) OVER (PARTITION BY indicator, class) AS n_c,
