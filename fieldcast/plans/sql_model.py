@@ -104,25 +104,35 @@ def model_ctes(p: str, train: str) -> list[tuple[str, str]]:
     ]
 
 
+#: Classes whose scores stand in one list; an indicator of many classes has several lists.
+SCORE_BLOCK = 500
+
+
 def score_ctes(p: str, m: str, rows: str, key: str) -> list[tuple[str, str]]:
-    """Scores and decisions of ``rows`` (key, indicator, features) under model ``m``."""
+    """Scores and decisions of ``rows`` (key, indicator, features) under model ``m``: the scores of a
+    block of classes are one list, so that no row per input and class is kept."""
+    looks = " ".join(f"""LEFT JOIN {p}cell c{j} ON c{j}.indicator = r.indicator AND c{j}.blk = b.blk
+                                    AND c{j}.feature = '{f}' AND c{j}.value = r."{f}\"""" for j, f in enumerate(NB_FEATURES))
+    total = " + ".join(f"coalesce(c{j}.d[i], 0.0)" for j in range(len(NB_FEATURES)))
     return [
         (f"{p}qs", _stack(rows, f"{key}, indicator")),
-        (f"{p}part", f"""SELECT q.{key}, q.indicator, c.class, sum(ln(1 + fv.n)) AS d
-                         FROM {p}qs q JOIN {m}fv fv ON fv.indicator = q.indicator AND fv.feature = q.feature AND fv.value = q.value
-                         JOIN {m}cls c ON c.indicator = fv.indicator AND c.class = fv.class
-                         GROUP BY q.{key}, q.indicator, c.class"""),
-        (f"{p}sc", f"""SELECT r.{key}, r.indicator, b.class, b.base + coalesce(pt.d, 0.0) AS score
-                       FROM (SELECT DISTINCT {key}, indicator FROM {rows}) r
-                       JOIN {m}base b ON b.indicator = r.indicator
-                       LEFT JOIN {p}part pt ON pt.{key} = r.{key} AND pt.indicator = r.indicator AND pt.class = b.class"""),
-        (f"{p}dec", f"""SELECT {key}, indicator, class, score,
-                          row_number() OVER (PARTITION BY {key}, indicator ORDER BY round(score, 9) DESC, class) AS rn,
-                          max(score) OVER (PARTITION BY {key}, indicator) AS top
-                        FROM {p}sc"""),
+        (f"{p}blk", f"""SELECT indicator, c.idx // {SCORE_BLOCK} AS blk, list(class ORDER BY c.idx) AS classes, list(b.base ORDER BY c.idx) AS bases
+                        FROM {m}cls c JOIN {m}base b USING (indicator, class) GROUP BY ALL"""),
+        (f"{p}cell", f"""SELECT v.indicator, v.feature, v.value, c.idx // {SCORE_BLOCK} AS blk, list(ln(1 + coalesce(f.n, 0)) ORDER BY c.idx) AS d
+                         FROM (SELECT DISTINCT indicator, feature, value FROM {m}fv) v JOIN {m}cls c ON c.indicator = v.indicator
+                         LEFT JOIN {m}fv f ON f.indicator = v.indicator AND f.feature = v.feature AND f.value = v.value AND f.class = c.class
+                         GROUP BY ALL"""),
+        (f"{p}sc", f"""SELECT r.{key}, r.indicator, b.blk, b.classes,
+                         list_transform(range(1, len(b.bases) + 1), lambda i: b.bases[i] + {total}) AS s
+                       FROM {rows} r JOIN {p}blk b ON b.indicator = r.indicator {looks}"""),
+        (f"{p}top", f"""SELECT {key}, indicator, blk, classes, list_transform(s, lambda x: round(x, 9)) AS snapped, list_max(s) AS top, s FROM {p}sc"""),
+        (f"{p}dec", f"""SELECT {key}, indicator, blk, list_max(snapped) AS best, classes[list_position(snapped, list_max(snapped))] AS class, top,
+                          list_sum(list_transform(s, lambda x: exp(x - top))) AS z FROM {p}top"""),
+        (f"{p}win", f"""SELECT *, row_number() OVER w AS rn, max(top) OVER (PARTITION BY {key}, indicator) AS high FROM {p}dec
+                        WINDOW w AS (PARTITION BY {key}, indicator ORDER BY best DESC, blk)"""),
         (f"{p}pred", f"""SELECT {key}, indicator, max(CASE WHEN rn = 1 THEN class END) AS predicted_class,
-                           100.0 / sum(exp(score - top)) AS confidence
-                         FROM {p}dec GROUP BY {key}, indicator"""),
+                           100.0 / sum(z * exp(top - high)) AS confidence
+                         FROM {p}win GROUP BY {key}, indicator"""),
     ]
 
 
