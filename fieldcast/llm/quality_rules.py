@@ -6,9 +6,13 @@ documents per host (``source``) are counted for each line, lines above the
 limits are boilerplate and taken away, and a document that is depleted by it
 is rejected.
 
-Equal texts are one document in these counts, of a line and of its host, and
-texts without lines are none: a text is not boilerplate because
-it was copied, and removing copies is for the dedup operators.
+A text is not boilerplate because it was copied, and removing copies is for
+the dedup operators.  So equal sets of lines have one vote in these counts, of
+a line and of its host, and texts without lines have none.  Near copies have
+few: a text of which at least ``NEAR`` words in a hundred stand in lines that
+``LINE_DOCS`` texts of its host share is taken for a copy of them, and all such
+texts with the same least shared line vote once.  Only texts with content of
+their own prove that a line is boilerplate.
 
 A null text is empty: no words, no lines, ``base_failed``.  A null source is a
 host of its own.  Rows are judged one by one, so repeated rows repeat in the
@@ -27,8 +31,10 @@ from fieldcast.operators.util import materialize
 SPACES, WORD_BREAK, NOT_SYMBOLS = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
 #: Base limits: fewest words, and the most repeated words in a hundred.
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: A line is boilerplate on a host if this many distinct documents have it, and this part in a thousand of the host's.
+#: A line is boilerplate on a host if it has this many votes, and this part in a thousand of the host's.
 LINE_DOCS, LINE_PERMILLE = 20, 50
+#: A document with this many words in a hundred in shared lines is a near copy: it votes with its like.
+NEAR = 80
 #: A document of which less than this many words in a hundred remain is depleted.
 MIN_LEFT = 50
 
@@ -87,12 +93,18 @@ def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_permille: int = LINE
     figures = docs.select("doc_id", "source", F.crc32(text.cast("binary")).alias("text_crc32"), base_figures(text).alias("f"), line_rows(text).alias("lines"))
     rows = materialize(figures.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text_crc32", "f.*", "lines"), "lines")
     host = F.coalesce(F.xxhash64("source"), F.lit(0)).alias("host")
-    told = rows.select(host, F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("lines"))
-    # both counts of a share are of distinct sets of lines: copies are one document, texts without lines none
-    hosts = told.filter(F.size("lines") > 0).select("host", F.xxhash64("lines").alias("copy")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    apart = told.select("host", F.explode("lines").alias("line"), F.xxhash64("lines").alias("copy")).distinct()
-    common = apart.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= line_docs)
-    common = common.join(hosts, "host").filter(1000 * F.col("docs") >= line_permille * F.col("host_docs")).select("host", "line")
+    told = rows.select(host, F.array_distinct("lines").alias("lines"))
+    copy = F.xxhash64(F.sort_array(F.transform("lines", lambda x: x["line"]))).alias("copy")
+    apart = materialize(told.select("host", copy, F.inline("lines")).distinct(), "sets")
+    shared = materialize(apart.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= line_docs).select("host", "line"), "shared")
+    met = F.col("met").isNotNull()
+    marked = apart.join(shared.withColumn("met", F.lit(True)), ["host", "line"], "left").groupBy("host", "copy").agg(F.sum("words").alias("words"), F.sum(F.when(met, F.col("words"))).alias("others"), F.min(F.when(met, F.col("line"))).alias("least"))
+    alike = 100 * F.coalesce("others", F.lit(0)) >= NEAR * F.col("words")
+    votes = materialize(marked.select("host", "copy", alike.alias("alike"), F.when(alike, F.col("least")).otherwise(F.col("copy")).alias("vote")), "votes")
+    hosts = votes.select("host", "alike", "vote").distinct().groupBy("host").agg(F.count("*").alias("host_votes"))
+    cast = apart.join(shared, ["host", "line"], "left_semi").select("host", "line", "copy").join(votes, ["host", "copy"])
+    common = cast.select("host", "line", "alike", "vote").distinct().groupBy("host", "line").agg(F.count("*").alias("votes")).filter(F.col("votes") >= line_docs)
+    common = common.join(hosts, "host").filter(1000 * F.col("votes") >= line_permille * F.col("host_votes")).select("host", "line")
     lines = rows.select("row", host, F.explode("lines").alias("l")).select("row", "host", "l.*")
     gone = lines.join(materialize(common, "common"), ["host", "line"]).groupBy("row").agg(F.sum("words").alias("gone"))
     out = rows.drop("lines", "source").join(gone, "row", "left")

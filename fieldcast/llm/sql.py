@@ -24,16 +24,24 @@ WITH d AS (
          length(flat) - length(replace(flat, ' ', '')) + 1 AS words
   FROM lines
 ), one AS (
-  SELECT DISTINCT r, source, line FROM named
+  SELECT DISTINCT r, source, line, words FROM named
 ), sets AS (
-  SELECT r, source, list_sort(list(line)) AS copy FROM one GROUP BY r, source
+  SELECT DISTINCT source, copy FROM (SELECT r, source, list_sort(list({{'line': line, 'words': words}})) AS copy FROM one GROUP BY r, source)
+), apart AS (
+  SELECT source, copy, l.line AS line, l.words AS words FROM (SELECT source, copy, unnest(copy) AS l FROM sets)
+), shared AS (
+  SELECT source, line FROM apart GROUP BY source, line HAVING count(*) >= {Q.LINE_DOCS}
+), votes AS (
+  SELECT source, copy, 100 * sum(CASE WHEN met THEN words ELSE 0 END) >= {Q.NEAR} * sum(words) AS alike, min(CASE WHEN met THEN line END) AS least
+  FROM (SELECT a.*, s.line IS NOT NULL AS met FROM apart a LEFT JOIN shared s ON a.line = s.line AND a.source IS NOT DISTINCT FROM s.source) GROUP BY source, copy
+), cast_ AS (
+  SELECT DISTINCT a.source, a.line, v.alike, CASE WHEN v.alike THEN v.least END AS least, CASE WHEN NOT v.alike THEN v.copy END AS copy
+  FROM apart a JOIN votes v ON a.copy = v.copy AND a.source IS NOT DISTINCT FROM v.source
 ), hosts AS (
-  SELECT source, count(*) AS host_docs FROM d GROUP BY source
+  SELECT source, count(*) AS host_votes FROM (SELECT DISTINCT source, alike, least, copy FROM cast_) GROUP BY source
 ), common AS (
-  SELECT c.source, c.line FROM (
-    SELECT source, line, count(*) AS docs FROM (SELECT DISTINCT source, copy, unnest(copy) AS line FROM sets) GROUP BY source, line
-  ) c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
-  WHERE docs >= {Q.LINE_DOCS} AND 1000 * docs >= {Q.LINE_PERMILLE} * host_docs
+  SELECT c.source, c.line FROM (SELECT source, line, count(*) AS votes FROM cast_ GROUP BY source, line) c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
+  WHERE votes >= {Q.LINE_DOCS} AND 1000 * votes >= {Q.LINE_PERMILLE} * host_votes
 ), gone AS (
   SELECT r, sum(words) AS gone FROM named n JOIN common c ON n.line = c.line AND n.source IS NOT DISTINCT FROM c.source GROUP BY r
 ), figures AS (

@@ -126,6 +126,39 @@ def test_copies_and_empty_texts_do_not_hide_the_boilerplate_of_a_host(spark):
     assert all(r.n_line_words == 72 for r in got if r.doc_id < 20_000)
 
 
+def near_copies(rnd, n, lines=20):
+    """n texts, each with another line of the first one changed."""
+    base = [prose(rnd, 12) for _ in range(lines)]
+    return ["\n".join(prose(rnd, 12) if k == i % lines else line for k, line in enumerate(base)) for i in range(n)]
+
+
+def test_near_copies_are_no_boilerplate(spark):
+    import random
+
+    import duckdb
+
+    from fieldcast.llm import sql
+
+    rnd = random.Random(8)
+    rows = [(100 + i, text, "en", "news", 1) for i, text in enumerate(near_copies(rnd, 60))]
+    rows += [(1000 + i, "\n".join(prose(rnd, 12) for _ in range(20)), "en", "news", 1) for i in range(300)]
+    menu = "\n".join(prose(rnd, 12) for _ in range(6))
+    rows += [(2000 + i, menu + "\n" + prose(rnd, 30), "en", "shop", 1) for i in range(400)]
+    rows += [(5000 + i, text, "en", "shop", 1) for i, text in enumerate(near_copies(rnd, 3000))]
+    rows += [(9000 + i, text, "en", None, 1) for i, text in enumerate(near_copies(rnd, 30, 3))]
+    rows += hard_rows()
+    docs = spark.createDataFrame(rows, COLUMNS)
+    got = quality_rules.judge(docs).drop("text_crc32").toPandas()
+    of = dict(zip(got.doc_id, got.kept))
+    assert all(of[i] for i in (*range(100, 160), *range(1000, 1300), *range(5000, 8000)))
+    assert not any(of[i] for i in range(2000, 2400))
+    documents = docs.toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.sql(sql.ORACLE["op3_line_frequency_rules"]).df()[list(got.columns)]
+    assert sorted(map(repr, got.astype(str).values.tolist())) == sorted(map(repr, want.astype(str).values.tolist()))
+
+
 def items_table(spark, items):
     return spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'x' AS words", "'y' AS term")
 
