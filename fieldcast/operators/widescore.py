@@ -39,7 +39,7 @@ FIRST_BLOCK = ("crop_name", "country_code", "partner", "crop_country", "crop_par
 #: Inputs of a block, counts of a block of profiles, and counts that are broadcast at once.
 BLOCK_INPUTS, BLOCK_COUNTS, PIECE_COUNTS = 2048, 32_768, 524_288
 #: Cells of a likelihood matrix that a task holds at once.
-CELLS = 400_000
+CELLS = 60_000
 #: Scores this close to the best one are compared as rounded logarithms.
 NEAR = 1 - 3e-9
 
@@ -103,12 +103,18 @@ def _cell(ids: np.ndarray, inputs: pa.StructArray, block: pa.StructArray, alpha:
     right, b = _product(block, SECOND_BLOCK, inputs, alpha)
     left *= np.exp(base)
     score, best_idx, best, total = np.empty(len(ids)), np.empty(len(ids), np.int32), np.empty(len(ids)), np.empty(len(ids))
+    several = np.flatnonzero(copies > 1)
     step = max(1, CELLS // len(idx))
+    work = np.empty((2, step, len(idx)))
+    order = np.argsort(a, kind="stable")  # neighbours share their rows of the first block
+    a, b, ids = a[order], b[order], ids[order]
     for at in range(0, len(ids), step):
         part = slice(at, at + step)
-        p = left[a[part]]
-        p *= right[b[part]]
-        total[part] = p @ copies
+        p, other = work[:, : len(a[part])]
+        np.take(left, a[part], axis=0, out=p, mode="clip")
+        np.take(right, b[part], axis=0, out=other, mode="clip")
+        p *= other
+        total[part] = p.sum(axis=1) + (p[:, several] * (copies[several] - 1)).sum(axis=1)
         best[part] = top = p.max(axis=1)
         row, col = np.nonzero(p >= (top * NEAR)[:, None])
         log = np.round(np.log(p[row, col]), 9)
