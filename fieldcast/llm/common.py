@@ -38,6 +38,12 @@ def id_or_last(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of one doc_id apart: a digest of 128 bits and the length in bytes (null: as the empty text)."""
+    text = F.coalesce(text, F.lit(""))
+    return F.concat_ws("-", F.md5(text.cast("binary")), F.octet_length(text))
+
+
 def text_rows(docs: DataFrame) -> DataFrame:
     """(doc long, text binary) of a documents table: what the Arrow tasks read."""
     return docs.select(id_or_last().alias("doc"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldcast.llm.common import let
+from fieldcast.llm.common import let, text_key
 from fieldcast.operators.util import materialize
 
 #: Words in a window.
@@ -51,7 +51,7 @@ def small(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """postings (row, pos, term) of the items' terms; rows (row, doc_id, n_words, text_crc32); items (item, item_id, q, term, n_terms)."""
+    """postings (row, pos, term) of the items' terms; rows (row, doc_id, n_words, text_key); items (item, item_id, q, term, n_terms)."""
 
     postings: DataFrame
     rows: DataFrame
@@ -65,13 +65,12 @@ def build_index(docs: DataFrame, items: DataFrame) -> Index:
     listed = materialize(listed.withColumn("term", F.xxhash64("word")), "items")
     # every row also has the empty word, in front, so that no row is without postings
     terms = listed.select("word", "term").distinct().union(docs.sparkSession.sql("SELECT '' AS word, CAST(0 AS BIGINT) AS term"))
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", crc, _words(F.col("text")).alias("words"))
-    places = texts.select("row", "doc_id", "text_crc32", F.size("words").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), F.col("words"))).alias("pos", "word"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key(F.col("text")).alias("text_key"), _words(F.col("text")).alias("words"))
+    places = texts.select("row", "doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), F.col("words"))).alias("pos", "word"))
     found = places.withColumn("word", _lowered(F.col("word"))).join(small(materialize(terms, "terms")), "word")
     first = F.col("pos") == 0
-    stored = materialize(found.select("row", *(F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_words", "text_crc32")), (F.col("pos") - 1).alias("pos"), "term"), "postings")
-    return Index(stored.filter("pos >= 0").select("row", "pos", "term"), stored.filter("pos < 0").select("row", "doc_id", "n_words", "text_crc32"), listed)
+    stored = materialize(found.select("row", *(F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_words", "text_key")), (F.col("pos") - 1).alias("pos"), "term"), "postings")
+    return Index(stored.filter("pos >= 0").select("row", "pos", "term"), stored.filter("pos < 0").select("row", "doc_id", "n_words", "text_key"), listed)
 
 
 def rare_slots(index: Index, window: int = WINDOW) -> DataFrame:
@@ -117,11 +116,11 @@ def proximity_matches(index: Index, window: int = WINDOW, slack: int = 5) -> Dat
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_crc32."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_key."""
     index = build_index(docs, items)
     hits = exact_matches(index, window)
     per_row = hits.groupBy("row", "pos").agg(F.collect_set("item_id").alias("ids")).groupBy("row").agg(F.count("*").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
     out = index.rows.join(per_row, "row", "left")
     ids = F.coalesce(F.array_sort(F.transform("ids", lambda i: i.cast("string"))), F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "text_crc32")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "text_key")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldcast.llm.common import let
+from fieldcast.llm.common import let, text_key
 from fieldcast.operators.util import materialize
 
 #: What parts words, and the symbols that are counted.
@@ -87,11 +87,11 @@ def line_rows(text: Column) -> Column:
 
 
 def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_permille: int = LINE_PERMILLE, min_left: int = MIN_LEFT) -> DataFrame:
-    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_line_words, kept, text_crc32."""
+    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_line_words, kept, text_key."""
     text = F.coalesce(F.col("text"), F.lit(""))
     # a row's number ties its lines to it: two rows of one doc_id stay two
-    figures = docs.select("doc_id", "source", F.crc32(text.cast("binary")).alias("text_crc32"), base_figures(text).alias("f"), line_rows(text).alias("lines"))
-    rows = materialize(figures.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text_crc32", "f.*", "lines"), "lines")
+    figures = docs.select("doc_id", "source", text_key(text).alias("text_key"), base_figures(text).alias("f"), line_rows(text).alias("lines"))
+    rows = materialize(figures.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text_key", "f.*", "lines"), "lines")
     host = F.coalesce(F.xxhash64("source"), F.lit(0)).alias("host")
     told = rows.select(host, F.array_distinct("lines").alias("lines"))
     copy = F.xxhash64(F.sort_array(F.transform("lines", lambda x: x["line"]))).alias("copy")
@@ -110,4 +110,4 @@ def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_permille: int = LINE
     out = rows.drop("lines", "source").join(gone, "row", "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.coalesce("gone", F.lit(0).cast("long")).alias("n_line_words"), (~failed & (100 * left >= min_left * F.col("n_words"))).alias("kept"), "text_crc32")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.coalesce("gone", F.lit(0).cast("long")).alias("n_line_words"), (~failed & (100 * left >= min_left * F.col("n_words"))).alias("kept"), "text_key")

@@ -27,7 +27,7 @@ def op2_warc_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("text_crc32")
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +47,11 @@ def op7_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_crc32")
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op9_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "text_crc32")
+    return suffix_tree.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "text_key")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,6 @@ doc_id do not remove words from each other, so repeated rows stay equal.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -94,14 +93,14 @@ def _strip(window: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Record
             words = text.split()
             gone = covered(runs, window, len(words)) if runs else None
             kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g) if runs else b" ".join(words)
-            out.append((None if doc == LAST_ID else doc, len(words), int(gone.sum()) if runs else 0, hashlib.sha256(kept).hexdigest(), kept if runs else None, zlib.crc32(text)))
+            out.append((None if doc == LAST_ID else doc, len(words), int(gone.sum()) if runs else 0, hashlib.sha256(kept).hexdigest(), kept if runs else None, f"{hashlib.md5(text).hexdigest()}-{len(text)}"))
         cols = list(zip(*out, strict=True))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "text_crc32"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "text_key"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept, text_crc32): ``kept`` is the text of the words that stay, null if all do."""
+    """(doc_id, n_words, n_removed, kept_sha256, kept, text_key): ``kept`` is the text of the words that stay, null if all do."""
     rows = with_flags(docs, repeated_spans(docs, window, gram))
-    out = rows.mapInArrow(lambda batches: _strip(window, batches), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, text_crc32 long")
+    out = rows.mapInArrow(lambda batches: _strip(window, batches), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, text_key string")
     return out.withColumn("kept", F.col("kept").cast("string"))

@@ -6,7 +6,7 @@ import random
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Further columns with the names that operators use inside.
-CLASHING = ("doc", "row", "words", "term", "node", "tag", "start", "key", "gid", "line", "kept", "text_crc32", "length", "offset")
+CLASHING = ("doc", "row", "words", "term", "node", "tag", "start", "key", "gid", "line", "kept", "text_key", "length", "offset", "_kept", "_crc", "_id", "_key")
 
 
 def prose(rnd: random.Random, n: int, alphabet: int = 400) -> str:
