@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldcast.llm import binary_tokens, decontam, jaccard_join, langid, packing, quality_rules, suffix_array, suffix_tree, toxicity, warc
+from fieldcast.llm import binary_tokens, decontam, jaccard_join, langid, packing, periodic_runs, quality_rules, secret_ledger, suffix_array, suffix_tree, token_alignment, toxicity, warc
 from fieldcast.llm.common import ship
 from fieldcast.llm.common import table as read
 
@@ -58,6 +58,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ledger = secret_ledger.Ledger.new(spark)
+    secret_ledger.scan(docs, ledger)
+    return secret_ledger.digest(secret_ledger.report(docs, ledger))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignments(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.with_repeats(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_language_bloom_filters,
     op2_warc_sequential,
@@ -69,4 +84,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op8_index_decontamination,
     op9_suffix_tree_dedup,
     op10_ngram_jaccard_join,
+    op11_secret_ledger,
+    op12_token_alignment,
+    op13_periodic_runs,
 )}

@@ -13,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_every_operator_has_a_query():
     names = entry.queries()
-    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14)) and "pipeline" in names
     assert set(sql.ORACLE) <= set(queries.QUERIES)
 
 
