@@ -63,13 +63,13 @@ def bucket_features(prepared: DataFrame) -> DataFrame:
     })
 
 
-def examples(first_rows: DataFrame, modelled: DataFrame, spark) -> DataFrame:
+def examples(first_rows: DataFrame, modelled: DataFrame, spark, synonyms: DataFrame | None = None) -> DataFrame:
     """Training rows: (indicator, class, row_key, <11 features>) for every answered
     (profile, indicator) of a modelled indicator.  ``row_key`` is the row id of
     the first answer, unique per profile within an indicator."""
     from fieldcast.operators.features import prepare
     ex = first_rows.filter(F.col("answer").isNotNull()).join(modelled.select("indicator"), "indicator", "left_semi")
-    ex = bucket_features(prepare(ex, spark))
+    ex = bucket_features(prepare(ex, spark, synonyms))
     return ex.select("indicator", F.col("answer").alias("class"), F.col("first_row_id").alias("row_key"), *NB_FEATURES)
 
 

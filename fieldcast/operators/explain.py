@@ -19,13 +19,19 @@ NAMES = {f: (f"{f}_encoded" if f not in C.NUMERIC_COLUMNS else f) for f in CM.NB
 
 
 def expected_terms(m: CM.CountModel) -> DataFrame:
-    """(indicator, class, feature, e): E over training rows of ln P(v | class)."""
-    mv = m.fv.groupBy("indicator", "feature", "value").agg(F.sum("n").alias("m"))
-    grid = mv.join(m.classes.select("indicator", "class", "n_class", "n_rows"), "indicator") \
-             .join(m.vocab, ["indicator", "feature"])
-    cell = grid.join(m.fv, ["indicator", "class", "feature", "value"], "left")
-    term = (F.col("m") / F.col("n_rows")) * F.log((F.coalesce(F.col("n"), F.lit(0)) + 1) / (F.col("n_class") + F.col("V")))
-    return cell.groupBy("indicator", "class", "feature").agg(F.sum(term).alias("e"))
+    """(indicator, class, feature, e): E over training rows of ln P(v | class).
+
+    A value that the class never has gives ln 1 - ln(n_c + V), one that it has
+    ln(1 + n) - ln(n_c + V): so e is a sum over the seen counts alone and one
+    closed term, and no grid of values and classes is made."""
+    mv = m.fv.filter(F.col("value").isNotNull()).groupBy("indicator", "feature", "value").agg(F.sum("n").alias("m"))
+    told = mv.groupBy("indicator", "feature").agg(F.sum("m").alias("told")).join(m.vocab, ["indicator", "feature"])
+    seen = m.fv.join(mv, ["indicator", "feature", "value"]) \
+               .groupBy("indicator", "class", "feature").agg(F.sum(F.col("m") * F.log1p(F.col("n"))).alias("s"))
+    cell = m.classes.select("indicator", "class", "n_class", "n_rows").join(told, "indicator") \
+                    .join(seen, ["indicator", "class", "feature"], "left")
+    e = (F.coalesce("s", F.lit(0.0)) - F.col("told") * F.log(F.col("n_class") + F.col("V"))) / F.col("n_rows")
+    return cell.select("indicator", "class", "feature", e.alias("e"))
 
 
 def contributions(req: DataFrame, m: CM.CountModel, raw: DataFrame, key: str) -> DataFrame:

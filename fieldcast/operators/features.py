@@ -44,9 +44,10 @@ def coerce_numerics(df: DataFrame) -> DataFrame:
     return df.withColumns({c: X.coerce_number(c) for c in C.NUMERIC_COLUMNS})
 
 
-def prepare(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Raw profile -> the 8 categorical texts (null -> 'Unknown') + 3 numerics."""
-    out = normalize_crop(df, spark)
+def prepare(df: DataFrame, spark: SparkSession, synonyms: DataFrame | None = None) -> DataFrame:
+    """Raw profile -> the 8 categorical texts (null -> 'Unknown') + 3 numerics.
+    ``synonyms`` (local, canonical) is the user's own table, as S6 reads it."""
+    out = normalize_crop(df, spark, synonyms=synonyms)
     out = out.withColumns({c: X.category(c) for c in C.CATEGORY_COLUMNS if c != "crop_name"})
     out = add_interactions(out)
     return coerce_numerics(out)

@@ -22,6 +22,12 @@ def feedback_counts(fb: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("was_helpful") == 0, 1).otherwise(0)).cast("bigint").alias("not_helpful"))
 
 
+def corrections_for(fb: DataFrame, indicator: str) -> DataFrame:
+    """A10: (indicator, corrections) of one indicator: its feedback rows, 1 if it has none."""
+    n = fb.filter(F.col("indicator") == indicator).agg(F.count(F.lit(1)).alias("n"))
+    return n.select(F.lit(indicator).alias("indicator"), F.coalesce(F.nullif("n", F.lit(0)), F.lit(1)).cast("bigint").alias("corrections"))
+
+
 def feedback_ready(fb: DataFrame, models: DataFrame, min_corrections: int = C.MIN_CORRECTIONS) -> DataFrame:
     """A16 + J8: indicators with a model and at least ``min_corrections`` usable corrections."""
     counts = usable_feedback(fb).groupBy("indicator").agg(F.count(F.lit(1)).alias("n_corrections"))

@@ -37,6 +37,11 @@ def export_rows(pred: DataFrame, key: str = "profile_id") -> DataFrame:
                        F.format_string("%.1f%%", F.col("confidence")).alias("Confidence_%"))
 
 
+def write_export(pred: DataFrame, folder: str, key: str = "profile_id") -> None:
+    """The export rows as CSV files with a header, written by the tasks."""
+    export_rows(pred, key).write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
+
+
 def manual_rows(keys: DataFrame, meta: DataFrame, key: str = "profile_id", modelled: list[str] | None = None) -> DataFrame:
     """One manual-entry row per free-form question (text / number), or if
     the modelled questions are given per question that is not one of them, for

@@ -103,3 +103,30 @@ def nearest(queries: DataFrame, train: DataFrame, qid: str, tid: str, k: int = C
     return out.select(qid, F.col("rank").cast("bigint").alias("rank"), F.col("_tid").alias("neighbour_id"),
                       F.col("distance").cast(DEC).alias("distance"),
                       F.col("similarity_pct").cast(DEC).alias("similarity_pct"))
+
+
+def nearest_lsh(queries: DataFrame, train: DataFrame, qid: str, tid: str, k: int = C.DEFAULT_NEIGHBOURS,
+                bucket: float | None = None, tables: int = 12) -> DataFrame:
+    """(qid, rank, neighbour_id, distance): the option for large query sets, by random projections.
+
+    Only rows that share a bucket of one of the ``tables`` projections with a
+    query and are no farther than ``bucket`` from it are compared, so a neighbour
+    can be missed and a query in an empty region can have fewer than k rows.  The
+    default width is twice the median distance of the k-th neighbour, measured by
+    :func:`nearest` on one query in a hundred (200 at most, a stated sample)."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
+    k = min(k, C.MAX_NEIGHBOURS)
+    va = VectorAssembler(inputCols=FEATURE_NAMES, outputCol="features")
+    told = materialize(train.select(F.col(tid).alias("_tid"), *_vec()), "lsh_train")
+    asked = materialize(queries.select(F.col(qid).alias("_qid"), *_vec()), "lsh_queries")
+    if bucket is None:
+        some = asked.filter(F.pmod(F.xxhash64("_qid"), F.lit(100)) == 0).orderBy("_qid").limit(200)
+        far = nearest(some if some.count() else asked.limit(20), told, "_qid", "_tid", k).filter(F.col("rank") == k)
+        bucket = 2 * float(far.agg(F.percentile_approx("distance", 0.5)).first()[0] or 1.0)
+    rows, points = (va.transform(x).select(i, "features") for x, i in ((told, "_tid"), (asked, "_qid")))
+    index = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=max(bucket, 1e-9), numHashTables=tables, seed=7).fit(rows)
+    pairs = index.approxSimilarityJoin(points, rows, bucket, "distance")
+    pairs = pairs.select(F.col("datasetA._qid").alias(qid), F.col("datasetB._tid").alias("neighbour_id"), "distance")
+    by_query = Window.partitionBy(qid).orderBy("distance", "neighbour_id")
+    return pairs.withColumn("rank", F.row_number().over(by_query).cast("bigint")).filter(F.col("rank") <= k) \
+                .select(qid, "rank", "neighbour_id", "distance")

@@ -17,9 +17,11 @@ from fieldcast.sources import fixtures as FX
 
 
 class Ctx:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, synonyms: DataFrame | None = None):
+        """``synonyms``: the user's own crop table (S6) in place of the built-in one."""
         self.spark = spark
         self.sf_dir = sf_dir
+        self.synonyms = synonyms
 
     @cached_property
     def profiles(self) -> DataFrame:

@@ -295,6 +295,16 @@ def feedback_counts(ctx: Ctx):
     return H.feedback_counts(ctx.feedback)
 
 
+@query("corrections_for_indicator", oracle=with_views(FB, [], """
+SELECT i.indicator, CAST(coalesce(nullif(n, 0), 1) AS BIGINT) AS corrections
+FROM (VALUES ('CM-5'), ('XX-0')) i(indicator) JOIN (
+  SELECT 'CM-5' AS indicator, count(*) AS n FROM f_feedback WHERE indicator = 'CM-5'
+  UNION ALL SELECT 'XX-0', count(*) FROM f_feedback WHERE indicator = 'XX-0') c USING (indicator)"""))
+def corrections_for_indicator(ctx: Ctx):
+    """A10: corrections of one indicator that has feedback, and of one that has none (1)."""
+    return H.corrections_for(ctx.feedback, "CM-5").unionByName(H.corrections_for(ctx.feedback, "XX-0"))
+
+
 @query("feedback_for_indicator", oracle=with_views(FB, [], """
 SELECT * FROM f_feedback WHERE indicator = 'CM-5' ORDER BY created_at DESC"""))
 def feedback_for_indicator(ctx: Ctx, indicator: str = "CM-5"):

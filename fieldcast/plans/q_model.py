@@ -14,10 +14,12 @@ from fieldcast.operators import countmodel as CM
 from fieldcast.operators import explain as EX
 from fieldcast.operators import features as FE
 from fieldcast.operators import history as H
+from fieldcast.operators import metadata as MD
 from fieldcast.operators import predict as P
 from fieldcast.plans.context import PROFILE_COLS, Ctx
 from fieldcast.plans.oracle_views import with_views
 from fieldcast.plans.registry import query
+from fieldcast.plans.q_history import SEC
 from fieldcast.plans.sql import PCOLS
 from fieldcast.operators.util import materialize
 from fieldcast.plans.sql_model import (CATEGORICAL, NB_FEATURES, base_ctes, bucket_cols, eval_ctes,
@@ -30,9 +32,10 @@ VIEWS = ["f_profiles", "f_answers"]
 class Model:
     """Lazily built model plans for one context."""
 
-    def __init__(self, ctx: Ctx):
+    def __init__(self, ctx: Ctx, only: list[str] | None = None):
         self.ctx = ctx.share_answers()
         self.spark = ctx.spark
+        self.asked = only
         # question metadata is questionnaire-sized and read by several plans: write it once
         self.ctx.__dict__["meta"] = materialize(self.ctx.meta, "meta")
 
@@ -45,9 +48,10 @@ class Model:
     @cached_property
     def modelled(self) -> DataFrame:
         """Indicators that get a model: every trainable one (P7), however many
-        distinct answers it has.  Every other question of the metadata is a
-        manual-entry row."""
-        return materialize(CM.trainable(self.first_rows))
+        distinct answers it has, or of these the ones that were asked for.  Every
+        other question of the metadata is a manual-entry row."""
+        first = self.first_rows
+        return materialize(CM.trainable(first if self.asked is None else first.filter(F.col("indicator").isin(self.asked))))
 
     @cached_property
     def modelled_list(self) -> list[str]:
@@ -58,7 +62,7 @@ class Model:
         """Training rows, written once to the checkpoint folder: the model and the
         split read them, and the answer pipeline behind them (window + join +
         aggregation) must not run again for each."""
-        return materialize(CM.examples(self.first_rows, self.modelled, self.spark))
+        return materialize(CM.examples(self.first_rows, self.modelled, self.spark, self.ctx.synonyms))
 
     @cached_property
     def model(self) -> CM.CountModel:
@@ -74,15 +78,18 @@ class Model:
     def evaluation(self) -> tuple[DataFrame, DataFrame]:
         return CM.evaluate(self.split)
 
-    def requests(self, indicators: list[str] | None = None, extra_prev_year: bool = False) -> DataFrame:
+    def requests(self, indicators: list[str] | None = None, extra_prev_year: bool = False, previous: int | None = None) -> DataFrame:
         """Every profile (order) as a request, one row per modelled indicator.
-        The indicator list is questionnaire metadata, expanded with ``explode``."""
+        The indicator list is questionnaire metadata, expanded with ``explode``.
+        ``extra_prev_year`` adds ``prev_year``: the year ``previous``, or if none
+        is given the one before the profile's own."""
         ids = indicators if indicators is not None else self.modelled_list
         prof = self.ctx.profiles
-        b = CM.bucket_features(FE.prepare(prof, self.spark))
+        b = CM.bucket_features(FE.prepare(prof, self.spark, self.ctx.synonyms))
         cols = [F.col("row_id").alias("profile_id"), *NB_FEATURES]
         if extra_prev_year:
-            cols.append(F.floor(F.col("planYear") - 1).cast("bigint").cast("string").alias("prev_year"))
+            year = F.floor(F.col("planYear") - 1) if previous is None else F.lit(previous)
+            cols.append(year.cast("bigint").cast("string").alias("prev_year"))
         return b.select(*cols, F.explode(F.array(*[F.lit(i) for i in ids])).alias("indicator"))
 
     def predictions(self, indicators: list[str] | None = None) -> DataFrame:
@@ -107,8 +114,8 @@ class Model:
                                            "source", F.lit(None).cast(DEC).alias("model_accuracy")))
 
 
-def _m(ctx: Ctx) -> Model:
-    return Model(ctx)
+def _m(ctx: Ctx, only: list[str] | None = None) -> Model:
+    return Model(ctx, only)
 
 
 def _sql(extra: list[tuple[str, str]], body: str, views: list[str] | None = None) -> str:
@@ -119,7 +126,7 @@ def _sql(extra: list[tuple[str, str]], body: str, views: list[str] | None = None
 def train_profiles(ctx: Ctx) -> DataFrame:
     """Distinct profiles with at least one answer (the pivot's rows), prepared."""
     t = ctx.first.filter(F.col("answer").isNotNull()).select(*PROFILE_COLS).distinct()
-    return FE.prepare(t, ctx.spark)
+    return FE.prepare(t, ctx.spark, ctx.synonyms)
 
 
 TP = f"SELECT DISTINCT {PCOLS} FROM first_rows WHERE answer IS NOT NULL"
@@ -190,7 +197,7 @@ def encode_apply(ctx: Ctx):
     """New profiles encoded with the fitted dictionaries (unseen -> mode)."""
     tp = train_profiles(ctx)
     enc, modes = FE.fit_encoders(tp), FE.fit_modes(tp)
-    req = FE.prepare(ctx.profiles, ctx.spark)
+    req = FE.prepare(ctx.profiles, ctx.spark, ctx.synonyms)
     return FE.encode(req, enc, modes, ["row_id"])
 
 
@@ -257,6 +264,46 @@ def classification_metrics(ctx: Ctx):
                     "test_samples")
 
 
+FULL = ["accuracy", "f1_score", "precision", "recall"]
+REPORT_CTES = [
+    ("msec", f"SELECT x.*, {SEC.format(x='x.indicator')} AS section FROM metrics x"),
+    ("cls", f"SELECT indicator, list(class ORDER BY class) AS classes FROM h_cls WHERE n_classes <= {C.MAX_CLASSES} GROUP BY indicator"),
+    ("trained", "SELECT indicator, count(*) AS training_samples FROM tr GROUP BY indicator"),
+    ("cmx", """SELECT indicator, list_sort(list(concat_ws('|', actual, predicted, n))) AS confusion
+               FROM cm WHERE indicator IN (SELECT indicator FROM cls) GROUP BY indicator""")]
+
+
+@query("model_report", oracle=_sql(eval_ctes() + REPORT_CTES, "SELECT m.indicator, m.section, t.training_samples, m.test_samples, "
+       + ", ".join(f"CAST(m.{c} * 100 AS DECIMAL(18,6)) AS {c}" for c in FULL)
+       + ", c.classes, x.confusion FROM msec m JOIN trained t USING (indicator) LEFT JOIN cls c USING (indicator) LEFT JOIN cmx x USING (indicator)"))
+def model_report(ctx: Ctx):
+    """Every indicator's metrics in percent, its classes and its confusion
+    matrix (the cells above zero as 'actual|predicted|n').  An indicator whose classes grow with the data
+    has its cells in ``confusion_matrix`` alone: a list of them would too."""
+    m = _m(ctx)
+    preds, metrics = m.evaluation
+    counts = m.split.filter(~F.col("is_test") | F.col("eval_on_train")).groupBy("indicator", "class").agg(F.count(F.lit(1)).alias("n"))
+    trained = materialize(counts.groupBy("indicator").agg(F.sum("n").alias("training_samples"), F.count(F.lit(1)).alias("k")), "trained")
+    few = F.broadcast(trained.filter(F.col("k") <= C.MAX_CLASSES).select("indicator"))
+    classes = counts.join(few, "indicator").groupBy("indicator").agg(F.sort_array(F.collect_list("class")).alias("classes"))
+    cells = CM.confusion(preds).join(few, "indicator").groupBy("indicator") \
+        .agg(F.sort_array(F.collect_list(F.concat_ws("|", "actual", "predicted", "n"))).alias("confusion"))
+    out = MD.with_section(metrics, ctx.spark).join(trained, "indicator").join(classes, "indicator", "left").join(cells, "indicator", "left")
+    return out.select("indicator", "section", "training_samples", "test_samples", *[(F.col(c) * 100).cast(DEC).alias(c) for c in FULL],
+                      "classes", "confusion")
+
+
+@query("model_report_summary", oracle=_sql(eval_ctes() + REPORT_CTES, "SELECT count(*) AS total_models, sum(t.training_samples)::BIGINT AS training_samples, "
+       + ", ".join(f"CAST(coalesce(avg(round(m.{c} * 100, 2)), 0) AS DECIMAL(18,6)) AS average_{c}" for c in FULL) + " FROM msec m JOIN trained t USING (indicator)"))
+def model_report_summary(ctx: Ctx):
+    """Number of models, and the averages of their rounded metrics."""
+    m = _m(ctx)
+    trained = m.split.filter(~F.col("is_test") | F.col("eval_on_train")).groupBy("indicator").agg(F.count(F.lit(1)).alias("training_samples"))
+    average = lambda c: F.coalesce(F.avg(F.round(F.col(c) * 100, 2)), F.lit(0.0)).cast(DEC).alias(f"average_{c}")
+    return m.evaluation[1].join(trained, "indicator").agg(F.count(F.lit(1)).alias("total_models"), F.sum("training_samples").cast("bigint").alias("training_samples"),
+                                                          *[average(c) for c in FULL])
+
+
 PRED_BODY = """
 SELECT p.profile_id, p.indicator,
        CASE WHEN mt.type = 'checkbox' THEN NULL ELSE p.predicted_class END AS value,
@@ -319,15 +366,16 @@ def runs_from_predictions(ctx: Ctx):
     return run_summaries(_m(ctx).all_rows(), "profile_id")
 
 
-def record_runs(ctx: Ctx, folder: str) -> DataFrame:
+def record_runs(ctx: Ctx, folder: str, batch: str) -> DataFrame:
     """Predict every profile as a run, and append its items and summary
-    to the history in ``folder``.  Run ids are drawn once and written before use."""
+    to the history in ``folder`` as one batch.  Run ids are drawn once and written
+    before use; a batch that is committed already stays as it is."""
     from fieldcast.sources import store
     ids = materialize(ctx.profiles.select(F.col("row_id").alias("profile_id"), F.expr("uuid()").alias("run_id")), "run_ids")
     items = materialize(_m(ctx).all_rows().join(ids, "profile_id"), "run_items")
     runs = run_summaries(items, "run_id").join(ids, "run_id").withColumn("created_at", F.current_timestamp())
-    store.append_run(runs, items.drop("profile_id"), folder)
-    return runs
+    store.append_run(runs, items.drop("profile_id"), folder, batch)
+    return store.read_history(ctx.spark, f"{folder}", "prediction_runs")
 
 
 def _one_indicator_ctes(ind: str) -> list[tuple[str, str]]:
@@ -338,16 +386,14 @@ def _one_indicator_ctes(ind: str) -> list[tuple[str, str]]:
 
 @query("predict_one_indicator", oracle=_sql(eval_ctes() + _one_indicator_ctes("CM-5"), PRED_BODY))
 def predict_one_indicator(ctx: Ctx, indicator: str = "CM-5"):
-    """One indicator for every profile; the indicator filter precedes scoring."""
-    m = _m(ctx)
-    ids = [i for i in m.modelled_list if i == indicator]
-    return m.predictions(ids)
+    """One indicator for every profile; only its rows are counted, evaluated and scored."""
+    return _m(ctx, [indicator]).predictions()
 
 
-def _yoy_ctes() -> list[tuple[str, str]]:
+def _yoy_ctes(previous: int | None = None) -> list[tuple[str, str]]:
     rc = request_ctes()
     prev_feats = dict(bucket_cols("p"))
-    prev_feats["planYear"] = "CAST(CAST(floor(" + prepared_cols("p")["planYear"] + " - 1) AS BIGINT) AS VARCHAR)"
+    prev_feats["planYear"] = f"'{previous}'" if previous else "CAST(CAST(floor(" + prepared_cols("p")["planYear"] + " - 1) AS BIGINT) AS VARCHAR)"
     sel = ", ".join(f"{v} AS {k}" if k != "planYear" else f'{v} AS "planYear"' for k, v in prev_feats.items())
     return rc + [("reqprev", f"SELECT p.row_id AS profile_id, m.indicator, {sel} FROM f_profiles p CROSS JOIN modelled m"),
                  *score_ctes("y_", "m_", "reqprev", "profile_id"),
@@ -361,13 +407,13 @@ def _yoy_ctes() -> list[tuple[str, str]]:
                             FROM r_pred c JOIN y_pred p ON p.profile_id = c.profile_id AND p.indicator = c.indicator""")]
 
 
-def yoy(ctx: Ctx) -> DataFrame:
-    """Each profile against the same profile one plan year earlier.
-    Both years are scored in the same row (the previous year only swaps the
-    planYear look-up), so there is no second scoring pass and no join; only
-    indicators of many classes are scored twice."""
-    m = _m(ctx)
-    s = CM.predict(m.requests(extra_prev_year=True), m.model, "profile_id", extra_year="prev_year")
+def yoy(ctx: Ctx, previous: int | None = None, m: Model | None = None) -> DataFrame:
+    """Each profile against the same profile in another plan year, by
+    default the one before.  Both years are scored in the same row (the previous
+    year only swaps the planYear look-up; wide indicators score the distinct
+    inputs of both), so there is no second scoring pass and no join."""
+    m = m or _m(ctx)
+    s = CM.predict(m.requests(extra_prev_year=True, previous=previous), m.model, "profile_id", extra_year="prev_year")
     s = s.select("profile_id", "indicator", F.col("predicted_class").alias("cur"), F.col("confidence").alias("cconf"),
                  F.col("previous_class").alias("prev"), F.col("previous_confidence").alias("pconf"))
     return s.select("profile_id", "indicator", (F.col("cur") != F.col("prev")).alias("changed"),
@@ -378,20 +424,48 @@ def yoy(ctx: Ctx) -> DataFrame:
                     (F.col("cconf") - F.col("pconf")).cast(DEC).alias("confidence_delta"))
 
 
-@query("yoy_compare", oracle=_sql(_yoy_ctes(), "SELECT * FROM yoy"))
+def yoy_all(ctx: Ctx, previous: int | None = None) -> DataFrame:
+    """The comparison over all current predictions: a manual-entry row has
+    no value and no confidence in either year, and is stable."""
+    m = _m(ctx)
+    manual = P.manual_rows(ctx.profiles.select(F.col("row_id").alias("profile_id")), ctx.meta, modelled=m.modelled_list)
+    blank, none = F.lit(""), F.lit(0).cast(DEC)
+    return yoy(ctx, previous, m).unionByName(manual.select(
+        "profile_id", "indicator", F.lit(False).alias("changed"), F.lit("stable").alias("direction"), blank.alias("previous_value"),
+        blank.alias("current_value"), none.alias("previous_confidence"), none.alias("current_confidence"), none.alias("confidence_delta")))
+
+
+YOY_ALL = """
+SELECT profile_id, indicator, changed, direction, previous_value, current_value, previous_confidence, current_confidence, confidence_delta FROM yoy
+UNION ALL
+SELECT p.row_id, q.indicator, false, 'stable', '', '', CAST(0 AS DECIMAL(18,6)), CAST(0 AS DECIMAL(18,6)), CAST(0 AS DECIMAL(18,6))
+FROM f_profiles p, (SELECT indicator FROM meta WHERE indicator NOT IN (SELECT indicator FROM modelled)) q"""
+
+
+@query("yoy_compare", oracle=_sql(_yoy_ctes(), YOY_ALL))
 def yoy_compare(ctx: Ctx):
-    """Per-indicator change against the previous plan year."""
-    return yoy(ctx)
+    """Per-question change against the previous plan year."""
+    return yoy_all(ctx)
+
+
+#: A plan year that the fixture's profiles have.
+CHOSEN_YEAR = 1995
+
 
+@query("yoy_chosen_year", oracle=_sql(_yoy_ctes(CHOSEN_YEAR), YOY_ALL))
+def yoy_chosen_year(ctx: Ctx):
+    """Per-question change against one chosen plan year."""
+    return yoy_all(ctx, CHOSEN_YEAR)
 
-@query("yoy_summary", oracle=_sql(_yoy_ctes(), """
+
+@query("yoy_summary", oracle=_sql(_yoy_ctes(), f"""
 SELECT profile_id, count(*) AS total_indicators, count(*) FILTER (WHERE changed) AS changed_count,
-       count(*) FILTER (WHERE NOT changed) AS stable_count FROM yoy GROUP BY profile_id"""))
+       count(*) FILTER (WHERE NOT changed) AS stable_count FROM ({YOY_ALL}) t GROUP BY profile_id"""))
 def yoy_summary(ctx: Ctx):
-    """Total / changed / stable per profile."""
-    return yoy(ctx).groupBy("profile_id").agg(F.count(F.lit(1)).alias("total_indicators"),
-                                              F.count_if("changed").alias("changed_count"),
-                                              F.count_if(~F.col("changed")).alias("stable_count"))
+    """Total / changed / stable per profile, manual-entry rows included."""
+    return yoy_all(ctx).groupBy("profile_id").agg(F.count(F.lit(1)).alias("total_indicators"),
+                                                  F.count_if("changed").alias("changed_count"),
+                                                  F.count_if(~F.col("changed")).alias("stable_count"))
 
 
 # ---------------------------------------------------------------- explanations
@@ -436,11 +510,9 @@ def _explain_ctes(ind: str) -> list[tuple[str, str]]:
 
 
 def explanations(ctx: Ctx, indicator: str = EXPLAIN_ID) -> DataFrame:
-    m = _m(ctx)
-    ids = [i for i in m.modelled_list if i == indicator]
-    req = m.requests(ids)
+    m = _m(ctx, [indicator])
     raw = ctx.profiles.select(F.col("row_id").alias("profile_id"), *C.FEATURE_COLUMNS)
-    return EX.contributions(req, m.model.only(ids), raw, "profile_id")
+    return EX.contributions(m.requests(), m.model, raw, "profile_id")
 
 
 @query("explain_contributions", oracle=_sql(_explain_ctes(EXPLAIN_ID), """
@@ -549,11 +621,11 @@ def similar_farms(ctx: Ctx):
     # training profiles (one row per distinct profile, id = its first row) are
     # read by the encoder fit and by the encoding: write them once
     trn = materialize(first.groupBy(*PROFILE_COLS).agg(F.min("first_row_id").alias("train_id")), "train_profiles")
-    tp = FE.prepare(trn, ctx.spark)
+    tp = FE.prepare(trn, ctx.spark, ctx.synonyms)
     enc, modes = FE.fit_encoders(tp), FE.fit_modes(tp)
     enc = materialize(enc)
     train = FE.encode(tp, enc, modes, ["train_id"])
-    queries = FE.encode(FE.prepare(ctx.profiles, ctx.spark), enc, modes, ["row_id"])
+    queries = FE.encode(FE.prepare(ctx.profiles, ctx.spark, ctx.synonyms), enc, modes, ["row_id"])
     found = SIM.nearest(queries, train, "row_id", "train_id", k=C.DEFAULT_NEIGHBOURS)
     return found.join(trn.select(F.col("train_id").alias("neighbour_id"), *[F.col(c).alias(f"neighbour_{c}") for c in PROFILE_COLS]), "neighbour_id")
 
@@ -565,23 +637,52 @@ def encoded_examples(ctx: Ctx, m: Model) -> DataFrame:
                                                                     "left_semi")
     tp = train_profiles(ctx)
     enc, modes = materialize(FE.fit_encoders(tp)), FE.fit_modes(tp)
-    prepared = FE.prepare(first, ctx.spark)
+    prepared = FE.prepare(first, ctx.spark, ctx.synonyms)
     e = FE.encode(prepared, enc, modes, ["indicator", "answer", "first_row_id"])
-    slots = m.split.select("indicator", "row_key", "is_test", "eval_on_train", "fold")
+    slots = m.split.select("indicator", "row_key", "is_test", "eval_on_train", "fold", "n_folds")
     return e.select(F.col("first_row_id").alias("row_key"), "indicator", F.col("answer").alias("class"),
                     *FE.FEATURE_NAMES).join(slots, ["indicator", "row_key"])
 
 
-@query("trees_train")
-def trees_train(ctx: Ctx):
-    """One tree ensemble per modelled indicator (GBT for two classes,
-    random forest otherwise) with the reference parameters; holdout accuracy."""
+def tree_table(ctx: Ctx, m: Model) -> tuple[DataFrame, dict[str, int]]:
+    """The feature table of all modelled indicators, and their numbers of classes."""
     from fieldcast.operators import trees as TR
-    m = _m(ctx)
     table = TR.feature_table(encoded_examples(ctx, m), m.model.classes, CM.class_weights(m.split))
     k = {r["indicator"]: r["n_classes"] for r in m.model.classes.select("indicator", "n_classes").distinct().collect()}
-    _, summary = TR.train_all(ctx.spark, table, k)
-    return summary
+    return table, k
+
+
+def encoded_profiles(ctx: Ctx) -> DataFrame:
+    """(profile_id, features) of every profile, by the encoders of the training profiles."""
+    from fieldcast.operators import trees as TR
+    tp = train_profiles(ctx)
+    enc, modes = FE.fit_encoders(tp), FE.fit_modes(tp)
+    return TR.features(FE.encode(FE.prepare(ctx.profiles, ctx.spark, ctx.synonyms), enc, modes, ["row_id"]).withColumnRenamed("row_id", "profile_id"), "profile_id")
+
+
+@query("trees_train")
+def trees_train(ctx: Ctx):
+    """Boosted trees of every modelled indicator with the reference
+    parameters; holdout accuracy."""
+    from fieldcast.operators import trees as TR
+    table, k = tree_table(ctx, _m(ctx))
+    return TR.train_all(ctx.spark, table, k)[1]
+
+
+#: The indicator that ``trees_predict`` answers.
+TREES_ID = "BH-1"
+
+
+@query("trees_predict")
+def trees_predict(ctx: Ctx):
+    """M6 on M3b: class, confidence and policy of one indicator by its boosted trees, for every profile."""
+    from fieldcast.operators import trees as TR
+    m = _m(ctx, [TREES_ID])
+    table, k = tree_table(ctx, m)
+    models, _ = TR.train_all(ctx.spark, table, k)
+    raw = TR.predict(encoded_profiles(ctx), models, m.model.classes)
+    p = P.add_policy(P.shape_values(raw, ctx.meta))
+    return p.select("profile_id", "indicator", "value", "suggestedOptions", F.col("confidence").cast(DEC).alias("confidence"), "policy", "ui_status")
 
 
 @query("grid_search")
@@ -595,6 +696,40 @@ def grid_search(ctx: Ctx):
     return r.withColumn("best", F.row_number().over(w) == 1)
 
 
+def publish_model(ctx: Ctx, m: Model, root: str, version: str, registry_dir: str | None = None, trees: dict | None = None) -> bool:
+    """Publish the context's model with its encoders, modes and metadata."""
+    from fieldcast.sources import store
+    tp = train_profiles(ctx)
+    tables = {"classes": m.model.classes, "fv": m.model.fv, "vocab": m.model.vocab, "meta": ctx.meta,
+              "encoders": FE.fit_encoders(tp), "modes": FE.fit_modes(tp)}
+    accuracy = m.evaluation[1].agg(F.avg("accuracy")).first()[0] or 0.0
+    return store.publish(ctx.spark, root, version, tables, trees, registry_dir, accuracy)
+
+
+PUBLISHED_BODY = """
+SELECT p.profile_id, p.indicator, CASE WHEN mt.type = 'checkbox' THEN NULL ELSE p.predicted_class END AS value,
+       CASE WHEN mt.type = 'checkbox' THEN [p.predicted_class] END AS "suggestedOptions",
+       CAST(p.confidence AS DECIMAL(18,6)) AS confidence,
+       CASE WHEN p.confidence >= 70 THEN 'auto_fill' WHEN p.confidence >= 40 THEN 'suggest' ELSE 'suggest_low' END AS policy,
+       CASE WHEN p.confidence >= 70 THEN 'green' WHEN p.confidence >= 40 THEN 'amber' ELSE 'red' END AS ui_status
+FROM r_pred p LEFT JOIN meta mt ON mt.indicator = p.indicator"""
+
+
+@query("predict_published", oracle=_sql(request_ctes(), PUBLISHED_BODY))
+def predict_published(ctx: Ctx):
+    """Publish the model as a version, register and pin it, and predict from its files alone."""
+    import uuid
+
+    from fieldcast.sources import store
+    m = _m(ctx)
+    root = f"{store.models_root(ctx.spark)}-{uuid.uuid4().hex[:8]}"
+    version = store.version_label()
+    publish_model(ctx, m, root, version, f"{root}/_registry")
+    store.pin(ctx.spark, root, version)
+    out = store.Predictor(ctx.spark, root).predict(ctx.profiles)
+    return out.withColumnRenamed("row_id", "profile_id").withColumn("confidence", F.col("confidence").cast(DEC))
+
+
 @query("params_roundtrip", oracle=_sql(model_ctes("m_", "ex"), "SELECT * FROM m_fv"))
 def params_roundtrip(ctx: Ctx):
     """Save the model state as a version, load it back, return the loaded counts."""

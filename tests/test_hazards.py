@@ -141,10 +141,11 @@ def test_all_inputs_of_a_correction_are_counted(spark):
 def test_a_recorded_run_has_a_row_for_every_question(spark, tmpdir_path):
     from fieldcast.plans.context import Ctx
     from fieldcast.plans.q_model import record_runs
+    from fieldcast.sources import store
 
     ctx = Ctx(spark, "/root/testdata/sf0.001")
-    record_runs(ctx, tmpdir_path)
-    runs, items = (spark.read.parquet(f"{tmpdir_path}/prediction_{n}") for n in ("runs", "items"))
+    record_runs(ctx, tmpdir_path, "batch-1")
+    runs, items = (store.read_history(spark, tmpdir_path, f"prediction_{n}") for n in ("runs", "items"))
     questions = ctx.meta.count()
     assert runs.count() == ctx.profiles.count() == items.select("run_id").distinct().count()
     assert runs.filter(F.col("total_indicators") != questions).count() == 0
