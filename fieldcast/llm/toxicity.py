@@ -13,7 +13,9 @@ most weights are zero and long clean texts add up to nothing.
 The sample is bounded (``TRAIN_ROWS`` labelled rows, taken by a hash of
 doc_id); every text is judged whole.  A null text has no features and gets the
 base rates; rows whose label is null are left out for that category; with no
-labelled rows every probability is 0.  Rows are judged one by one, so repeated
+labelled rows every probability is 0.  Of several labels of one doc_id a yes
+counts, and of several texts of a labelled doc_id the one whose features come
+first in their bytes' order is learned from.  Rows are judged one by one, so repeated
 rows and null doc_ids just repeat.
 """
 
@@ -166,13 +168,14 @@ def classify(docs: DataFrame, labels: DataFrame, categories: tuple = CATEGORIES,
     """(doc_id, p_<category>..., <last category> boolean) of every document."""
     names = [f"p_{name}" for name, _ in categories]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    said = labels.filter("doc_id IS NOT NULL").select("doc_id", *(F.when(F.col(n).isNotNull(), (F.col(n) == yes).cast("double")).alias(f"is_{n}") for n, yes in categories)).dropDuplicates(["doc_id"])
+    said = labels.filter("doc_id IS NOT NULL").select("doc_id", *(F.when(F.col(n).isNotNull(), (F.col(n) == yes).cast("double")).alias(f"is_{n}") for n, yes in categories))
+    said = said.groupBy("doc_id").agg(*(F.max(f"is_{n}").alias(f"is_{n}") for n, _ in categories))
     share = train_rows / max(said.count(), 1)
     said = said.filter(F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(1_000_000)) < 1_000_000 * share)
     wanted = [f"is_{n}" for n, _ in categories]
     sample = texts.join(F.broadcast(said), "doc_id").select("doc_id", *wanted, "text")
     kinds = ", ".join(["doc_id long", *(f"{n} double" for n in wanted), "features binary"])
-    sample = sample.mapInArrow(_featured, kinds).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    sample = sample.mapInArrow(_featured, kinds).toPandas().sort_values(["doc_id", "features"]).drop_duplicates("doc_id")
     if len(sample):
         fold = (H.mix(sample["doc_id"].to_numpy(np.int64).view(_U)) % _U(FOLDS)).astype(np.int64)
         chain = fit_chain([np.frombuffer(x, "<i4") for x in sample["features"]], sample[wanted].to_numpy(float), fold)

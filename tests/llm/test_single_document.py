@@ -71,6 +71,21 @@ def test_toxicity_hard_rows(spark):
     assert toxicity.classify(hard_table(spark, []), labels).collect() == []
 
 
+def test_conflicting_labels_and_texts_have_one_outcome(spark):
+    """Whatever the order of the rows, the fit is the same."""
+    rows = [(i % 40, f"word{i % 7} text{i % 3} " * 5 + str(i), "en", "a", 1) for i in range(120)]
+    said = [(i % 40, i % 2, int(i % 3 == 0)) for i in range(120)]
+    results = []
+    for seed in (1, 2):
+        rnd = random.Random(seed)
+        rnd.shuffle(rows)
+        rnd.shuffle(said)
+        docs = spark.createDataFrame(rows, COLUMNS).repartition(4)
+        labels = spark.createDataFrame(said, "doc_id long, quality int, toxic int").repartition(3)
+        results.append(sorted((r.doc_id, r.p_quality, r.p_toxic) for r in toxicity.classify(docs, labels).collect()))
+    assert results[0] == results[1]
+
+
 def test_chain_uses_what_came_before():
     """The second category follows the first; its model gets no word of its own to go by."""
     rnd = random.Random(1)
