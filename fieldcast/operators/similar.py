@@ -7,8 +7,10 @@ the query's cell or a neighbour, so a query meets only those (an equi-join on
 the cell).  A query is final once it has its k rows and the k-th is no farther
 than R, or once its cells cover the range of all training rows; the others go
 on with a larger R until none is left, so no query is lost.  R starts where a
-query is expected to meet a few times k rows, and never below the smallest
-distance from a pending query to the box of all training rows.
+query is expected to meet a few times k rows, narrower where the fullest cell
+would hold more than ``DENSE_ROWS`` (the queries of a dense region are then
+final before the cells grow), and never below the smallest distance from a
+pending query to the box of all training rows.
 
 Duplicates cannot blow up a cell: identical training vectors keep only their
 k lowest ids (ties are broken by id), and identical query vectors are solved
@@ -28,6 +30,8 @@ from fieldcast.operators.util import materialize
 DEC = "decimal(18,6)"
 #: Features that span the grid, and the rows a query should meet first, in multiples of k.
 GRID_FEATURES, FIRST_ROWS = 3, 4
+#: Rows of a cell beyond which the first cells are made narrower.
+DENSE_ROWS = 4_000
 
 
 def _vec(prefix: str = "") -> list:
@@ -51,7 +55,29 @@ def _gap(lo: dict, hi: dict) -> F.Column:
     return F.sqrt(total)
 
 
-def nearest(queries: DataFrame, train: DataFrame, qid: str, tid: str, k: int = C.DEFAULT_NEIGHBOURS) -> DataFrame:
+def _first_radius(t: DataFrame, grid: list[str], radius: float, dense: int) -> float:
+    """The cell width to begin with: narrower, by fours, while the fullest cell has more than ``dense`` rows and
+    that helps (rows that agree in all grid features stay together at any width)."""
+    def fullest(width: float) -> int:
+        cell = [F.floor(F.col(f"t_{f}") / F.lit(width)) for f in grid]
+        return t.groupBy(*cell).count().agg(F.max("count")).first()[0] or 0
+
+    most = fullest(radius) if grid else 0
+    while most > dense:
+        width, less = radius, most
+        for _ in range(3):  # a dense spot may be much smaller than its cell
+            width /= 4
+            less = fullest(width)
+            if less < most:
+                break
+        if less >= most:
+            return radius
+        radius, most = width, less
+    return radius
+
+
+def nearest(queries: DataFrame, train: DataFrame, qid: str, tid: str, k: int = C.DEFAULT_NEIGHBOURS,
+            dense: int = DENSE_ROWS) -> DataFrame:
     """(qid, rank, neighbour_id, distance, similarity_pct) — the k nearest
     training rows per query, ties by id; all of them if there are fewer than k."""
     k = min(k, C.MAX_NEIGHBOURS)
@@ -70,6 +96,7 @@ def nearest(queries: DataFrame, train: DataFrame, qid: str, tid: str, k: int = C
         volume *= span
     radius = (volume * FIRST_ROWS * k / max(n, 1)) ** (1 / max(len(grid), 1)) / 3
 
+    radius = _first_radius(t, grid, radius, dense)
     qcols = [f"q_{f}" for f in FEATURE_NAMES]
     cells = [f"_c{i}" for i in range(len(grid))]
     pending = materialize(queries.select(*_vec()).distinct().select(*[F.col(f).alias(f"q_{f}") for f in FEATURE_NAMES])

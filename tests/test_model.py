@@ -98,6 +98,25 @@ def test_predict_plan_is_broadcast_and_udf_free(spark, model):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_knn_with_most_rows_in_one_spot(spark):
+    """90 % of the rows, and a query among them, in a ten-thousandth of the range: cells begin narrow, the result is exact."""
+    rnd = random.Random(9)
+    def vec(wide):
+        return [rnd.uniform(0, 1000.0) if wide else 500 + rnd.uniform(0, 0.1) for _ in FEATURE_NAMES]
+    train = [(i, *vec(i % 10 == 0)) for i in range(3000)]
+    asked = [(i, *vec(i % 3 == 0)) for i in range(60)]
+    schema = ", ".join(f"{f} double" for f in FEATURE_NAMES)
+    t, q = spark.createDataFrame(train, f"tid long, {schema}"), spark.createDataFrame(asked, f"qid long, {schema}")
+    grid = t.select(*[F.col(f).alias(f"t_{f}") for f in FEATURE_NAMES])
+    assert SIM._first_radius(grid, FEATURE_NAMES[:3], 200.0, 500) < 0.1
+    got = {}
+    for r in SIM.nearest(q, t, "qid", "tid", k=4, dense=500).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = r.neighbour_id
+    for i, *v in asked:
+        want = sorted((math.dist(v, w), j) for j, *w in train)[:4]
+        assert [got[i][n] for n in range(1, 5)] == [j for _, j in want]
+
+
 def test_point_lookup_filter_reaches_scan(spark):
     from __spark_entry__ import queries
     df = queries()["run_items"](spark, SF)
