@@ -35,15 +35,22 @@ def read_assessments(spark: SparkSession, path: str, cell_col: str = "labelsAnsw
     """CSV with a quoted JSON cell ("" escapes), header names stripped and
     aliased, missing feature columns added as nulls, and a ``row_id`` in input
     order (a monotonically increasing id: unique and ordered within and across
-    file splits)."""
+    file splits).  Only files with a cell over several lines are read whole by
+    one task each; all others are split."""
     raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-           .option("multiLine", True).option("encoding", "UTF-8").csv(path))
+           .option("multiLine", has_line_breaks(spark, path)).option("encoding", "UTF-8").csv(path))
     raw = normalize_columns(raw)
     raw = add_missing_features(raw)
     return raw.withColumn("row_id", F.monotonically_increasing_id()).select(
         "row_id", *C.FEATURE_COLUMNS, *[c for c in raw.columns if c not in C.FEATURE_COLUMNS])
 
 
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell goes on over a line's end: such a line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def normalize_columns(df: DataFrame) -> DataFrame:
     """Strip header names, then map the aliases to canonical names."""
     df = df.toDF(*[c.strip() for c in df.columns])

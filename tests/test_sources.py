@@ -128,3 +128,15 @@ def test_csv_end_to_end_pivot_meta_and_trainable(spark, tmpdir_path):
     first = A.first_answer(long)
     assert CM.trainable(first).count() == 0                               # v2: at least 20 samples
     assert CM.trainable(first, min_samples=10).count() == 4               # v1: at least 10
+
+
+def test_only_cells_over_several_lines_need_whole_files(spark, tmpdir_path):
+    from fieldcast.sources.assessments import has_line_breaks
+    flat = 'country,labelsAnswersMap\nA,"[{""soaId"": ""BH-1""}]"\nB,"x, y"\n'
+    for name, text, broken, rows in (("flat", flat, False, 2), ("broken", flat + 'C,"one\ntwo"\n', True, 3)):
+        with open(f"{tmpdir_path}/{name}.csv", "w") as f:
+            f.write(text)
+        assert has_line_breaks(spark, f"{tmpdir_path}/{name}.csv") is broken
+        got = S.read_assessments(spark, f"{tmpdir_path}/{name}.csv").collect()
+        assert len(got) == rows and got[1].labelsAnswersMap == "x, y"
+        assert not broken or got[2].labelsAnswersMap == "one\ntwo"
