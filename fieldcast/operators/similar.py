@@ -65,7 +65,7 @@ def _first_radius(t: DataFrame, grid: list[str], radius: float, dense: int) -> f
     most = fullest(radius) if grid else 0
     while most > dense:
         width, less = radius, most
-        for _ in range(3):  # a dense spot may be much smaller than its cell
+        for _ in range(10):  # a dense spot may be a millionth of its cell
             width /= 4
             less = fullest(width)
             if less < most:
