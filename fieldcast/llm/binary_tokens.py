@@ -8,7 +8,10 @@ the table from the end of the file.  A reader decompresses the frames of the
 documents that it was asked for, and checks each against its checksum.
 
 Documents stand in ascending doc_id order over all files: each task writes one
-range.  A null text is a document of its end id alone; null doc_ids come last;
+range of them, in as many files as its ids ask for, so what a writer or reader
+holds does not grow with the range.  A null text is a document of its end id
+alone; null doc_ids come last; rows of one doc_id stand in the order of their
+texts, by whose beginnings a doc_id of very many rows is spread over tasks too;
 repeated rows are written as often as they occur.
 """
 
@@ -30,6 +33,10 @@ from fieldcast.operators.util import materialize
 
 #: The vocabulary, the id that ends a document, and the ids after which a frame is closed.
 VOCABULARY, END_ID, FRAME_IDS = "word_bpe_49k.json", 2, 262_144
+#: Ids and documents after which a file is closed, and documents that a reading task gives out at once.
+FILE_IDS, FILE_DOCS, READ_DOCS = 67_108_864, 262_144, 8_192
+#: Code points of a text by which rows of one doc_id are spread.
+SPREAD_CHARS = 64
 #: Fixed values of the seekable format: skippable frame, footer, and the flag for checksums.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 _FOOTER = struct.Struct("<IBI")
@@ -124,34 +131,47 @@ class Reader:
         return np.frombuffer(b"".join(out), f"<u{self.width}").astype("<u4")
 
 
-def _written(folder: str, vocabulary: str, end_id: int):
+def _written(folder: str, vocabulary: str, end_id: int, file_ids: int, file_docs: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, writer = f"{folder}/{uuid.uuid4().hex}.zst", None
         vocabulary_path = tokens.vocabulary(vocabulary)
         width = 2 if tokens.size(vocabulary_path) <= 65_536 else 4
-        first = total = 0
+        writer, nth = None, 0
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            told = (path, *first, nth, total)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(told, _FILES, strict=True)], schema=_FILES)
+
         for batch in chunks(batches):
-            docs = batch.column("doc").to_pylist()
-            for doc, ids in zip(docs, tokens.encode(batch.column("text").to_pylist(), vocabulary_path), strict=True):
+            rows = zip(batch.column("doc").to_pylist(), batch.column("spread").to_pylist(),
+                       tokens.encode(batch.column("text").to_pylist(), vocabulary_path), strict=True)
+            for doc, spread, ids in rows:
                 if writer is None:
-                    writer, first = Writer(files.open_output(path), width), doc
+                    path, first, total = f"{folder}/{uuid.uuid4().hex}.zst", (doc, spread), 0
+                    writer = Writer(files.open_output(path), width)
                 writer.add(doc, np.append(ids, np.uint32(end_id)))
                 total += len(ids) + 1
+                if total >= file_ids or len(writer.docs) >= file_docs:
+                    yield closed()
+                    writer, nth = None, nth + 1
         tokens.forget()
         if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), pa.array([total], pa.int64())], ["path", "first", "ids"])
+            yield closed()
 
     return run
 
 
-def write_files(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """Write all documents and return the files (path, start): ``start`` is the number of ids in the files before."""
+_FILES = pa.schema([("path", pa.string()), ("first", pa.int64()), ("spread", pa.string()), ("nth", pa.int32()), ("ids", pa.int64())])
+
+
+def write_files(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
+    """Write all documents and return the files (path, first, start): ``start`` is the number of ids in the files before."""
     folder = files.new_folder(docs.sparkSession, "ids")
     rows = docs.select(id_or_last().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    written = rows.repartitionByRange("doc").sortWithinPartitions("doc", "text").mapInArrow(_written(folder, vocabulary, end_id), "path string, first long, ids long")
-    # one row per file
-    before = F.sum("ids").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = rows.withColumn("spread", F.substring("text", 1, SPREAD_CHARS)).repartitionByRange("doc", "spread").sortWithinPartitions("doc", "text")
+    written = ranges.mapInArrow(_written(folder, vocabulary, end_id, file_ids, file_docs), "path string, first long, spread string, nth int, ids long")
+    # one row per file; files that begin alike are of one task
+    before = F.sum("ids").over(Window.orderBy("first", "spread", "nth").rowsBetween(Window.unboundedPreceding, -1))
     return materialize(materialize(written, "files").select("path", "first", F.coalesce(before, F.lit(0)).alias("start")), "files")
 
 
@@ -160,11 +180,12 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
             with files.open_input(path) as source:
                 reader = Reader(source)
-                rows: list[tuple] = []
-                for i, doc in enumerate(reader.docs.tolist()):
-                    ids = reader.ids(i)
-                    rows.append((None if doc == LAST_ID else doc, start + int(reader.starts[i]), len(ids), zlib.crc32(ids.tobytes())))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for begin in range(0, len(reader.docs), READ_DOCS):
+                    rows = []
+                    for i in range(begin, min(begin + READ_DOCS, len(reader.docs))):
+                        ids, doc = reader.ids(i), int(reader.docs[i])
+                        rows.append((None if doc == LAST_ID else doc, start + int(reader.starts[i]), len(ids), zlib.crc32(ids.tobytes())))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_files(listed: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldcast.llm import binary_tokens, files, hashing, langid, packing, tokens, toxicity, warc
-from fieldcast.llm.common import ship
+from fieldcast.llm.common import LAST_ID, ship
 
 from . import brute
 from .fixtures import COLUMNS, hard_rows, hard_table
@@ -192,6 +193,25 @@ def test_token_files_of_hard_rows(spark):
     assert binary_tokens.read_files(binary_tokens.write_files(hard_table(spark, []))).collect() == []
 
 
+def test_files_are_closed_at_a_size(spark):
+    rnd = np.random.default_rng(2)
+    rows = [(None if i % 3 else i, " ".join(map(str, rnd.integers(0, 50, rnd.integers(0, 40))))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    whole = sorted(map(tuple, binary_tokens.read_files(binary_tokens.write_files(docs)).collect()), key=lambda r: r[1])
+    for limits, least in (({"file_ids": 500}, sum(r[2] for r in whole) // 700), ({"file_docs": 7}, 300 // 7), ({"file_ids": 1}, 300)):
+        listed = binary_tokens.write_files(docs, **limits)
+        assert listed.count() >= least
+        assert sorted(map(tuple, binary_tokens.read_files(listed).collect()), key=lambda r: r[1]) == whole
+    # a doc_id of most rows is not one range; small ranges would be put together
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        listed = binary_tokens.write_files(docs)
+        assert listed.filter(F.col("first") == LAST_ID).count() > 1
+        assert sorted(map(tuple, binary_tokens.read_files(listed).collect()), key=lambda r: r[1]) == whole
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_reader_decompresses_only_what_is_asked(tmp_path):
     path = str(tmp_path / "ids.zst")
     writer = binary_tokens.Writer(files.open_output(path), 2)
