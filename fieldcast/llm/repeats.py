@@ -21,6 +21,10 @@ tree) to the operator:
 
 Nothing is dropped on the way: the first two steps leave out only windows
 that have no equal.
+
+Rows without a doc_id rank alike, after all others.  Until a row's contexts are
+cut, each goes by a number of its own text (``spread_id``), so that many of
+them are not one key of a shuffle.
 """
 
 from __future__ import annotations
@@ -31,20 +35,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcast.llm import hashing as H
-from fieldcast.llm.common import CHUNK_BYTES, chunks, text_rows
+from fieldcast.llm.common import CHUNK_BYTES, LAST_ID, chunks, text_rows
 from fieldcast.operators.util import materialize
 
 #: Runs of repeated windows: units start .. start+count-1 of a text begin a window that starts earlier elsewhere.
 FLAGS = "doc long, tag int, start int, count int"
-#: Low two bits of a sampled row's key: a gram of one document; of CROWD documents or more of a chunk, all told;
-#: the pair of a document and such a gram; a gram twice in its document.
+#: Low two bits of a sampled row's key: a gram of one document; of CROWD documents or more of a chunk, all told
+#: (with their number in place of a document); the pair of a document and such a gram; a gram twice in its document.
 _ALONE, _CROWDED, _KNOWN, _TWICE = 0, 1, 2, 3
 CROWD = 20
-#: Rows that a crowded one stands for when suffixes are counted.
+#: Rows that a crowded one stands for, at least, when suffixes are counted.
 CROWD_WEIGHT = 100
 _U = np.uint64
 
@@ -108,33 +112,36 @@ def _sampled(spec: Spec):
             new_key = np.r_[True, key[1:] != key[:-1]]
             new_pair = new_key | np.r_[True, owner[1:] != owner[:-1]]
             group, pair = np.cumsum(new_key) - 1, np.cumsum(new_pair) - 1
-            crowded = (np.bincount(group, weights=new_pair) >= CROWD)[group]
+            named = np.bincount(group, weights=new_pair).astype(np.int64)[group]
+            crowded = named >= CROWD
             twice = (np.bincount(pair) > 1)[pair] & spec.within
             crowd, known, single = new_key & crowded, new_pair & crowded, new_pair & ~crowded
             route = np.r_[key[crowd], owner[known], key[single]]
             keys = np.r_[key[crowd] | _CROWDED, key[known] | _KNOWN, key[single] | np.where(twice[single], _TWICE, _ALONE)]
-            docs = np.r_[owner[crowd], owner[known], owner[single]]
+            docs = np.r_[named[crowd], owner[known], owner[single]]
             yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(keys), pa.array(docs)], ["route", "key", "doc"])
 
     return run
 
 
 def _shared(spec: Spec, hot: int):
-    """Rows in the order of their keys -> (doc, key, hot) of grams that two places name."""
+    """Rows in the order of their keys -> (doc, key, hot) of grams that two places name; a crowded row only tells
+    that its gram is hot, without a doc."""
 
-    def told(key: np.ndarray, doc: np.ndarray, is_hot: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(is_hot)], ["doc", "key", "hot"])
+    def told(key: np.ndarray, doc: np.ndarray, is_hot: np.ndarray, crowd: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc, mask=crowd), pa.array(key), pa.array(is_hot)], ["doc", "key", "hot"])
 
     def judge(key: np.ndarray, flag: np.ndarray, doc: np.ndarray, hot_key: int | None) -> pa.RecordBatch:
         new = np.r_[True, key[1:] != key[:-1]]
         at, group = np.flatnonzero(new), np.cumsum(new) - 1
         size = np.diff(np.r_[at, len(key)])
         shared = (np.maximum.reduceat(flag, at) > 0) | (size > 1 if spec.within else np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at))
-        is_hot = np.add.reduceat(np.where(flag == _CROWDED, CROWD_WEIGHT, 1), at) > hot
+        crowd = flag == _CROWDED
+        is_hot = np.add.reduceat(np.where(crowd, np.maximum(doc, CROWD_WEIGHT), 1), at) > hot
         if hot_key is not None:
             is_hot |= key[at] == hot_key
-        keep = (shared | is_hot)[group]
-        return told(key[keep], doc[keep], is_hot[group][keep])
+        keep = np.where(crowd, is_hot[group], (shared | is_hot)[group])
+        return told(key[keep], doc[keep], is_hot[group][keep], crowd[keep])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 3
@@ -144,7 +151,7 @@ def _shared(spec: Spec, hot: int):
             flag, key = key & 3, key & ~3
             known = flag == _KNOWN
             if known.any():
-                yield told(key[known], doc[known], np.zeros(known.sum(), bool))
+                yield told(key[known], doc[known], *np.zeros((2, known.sum()), bool))
             rest = [np.concatenate(x) for x in zip(rest, (key[~known], flag[~known], doc[~known]), strict=True)]
             if not len(rest[0]):
                 continue
@@ -169,7 +176,12 @@ def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for batch in chunks(batches, limit=8 * CHUNK_BYTES):
         packed = [press.compress(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(packed, pa.binary())], ["doc", "text"])
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(packed, pa.binary()))
+
+
+def spread_id(doc_id: Column, text: Column) -> Column:
+    """The doc_id, or for a null one a number near the end of its type, told by the text."""
+    return F.coalesce(doc_id, F.lit(LAST_ID) - F.crc32(text))
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -190,6 +202,7 @@ def _contexts(spec: Spec, hot_keys):
         hot = hot_keys.value
         for batch in chunks(batches, limit=400_000):
             texts, doc = unpack(batch.column("text")), batch.column("doc").to_numpy()
+            doc = np.where(batch.column("unnamed").to_numpy(zero_copy_only=False), LAST_ID, doc)
             tags = _tags(texts)
             units = Units(texts, spec)
             key, text, start, count = units.anchored()
@@ -355,15 +368,17 @@ def repeated_windows(docs: DataFrame, spec: Spec, engine: Callable, hot: int | N
     or a ten-thousandth of the documents, so the list of longer prefixes, which
     is broadcast, stays near a million entries at any size."""
     spark = docs.sparkSession
-    rows = text_rows(docs)
+    ids, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = docs.select(spread_id(ids, text).alias("doc"), text.alias("text"), ids.isNull().alias("unnamed"))
     if hot is None:
         hot = max(5_000, docs.count() // 10_000)
-    sampled = rows.mapInArrow(_sampled(spec), "route long, key long, doc long")
+    sampled = rows.drop("unnamed").mapInArrow(_sampled(spec), "route long, key long, doc long")
     shared = materialize(sampled.repartition("route").sortWithinPartitions("key").select("key", "doc").mapInArrow(_shared(spec, hot), "doc long, key long, hot boolean"), "shared")
     hot_keys = np.array([r.key for r in shared.filter("hot").select("key").distinct().toLocalIterator()], dtype=np.int64)
     told = spark.sparkContext.broadcast(hot_keys)
-    keys = shared.groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    contexts = packed_texts(docs).join(keys, "doc").mapInArrow(_contexts(spec, told), _CONTEXT)
+    keys = shared.filter("doc IS NOT NULL").groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    packed = rows.mapInArrow(pack, "doc long, text binary, unnamed boolean")
+    contexts = packed.join(keys, "doc").mapInArrow(_contexts(spec, told), _CONTEXT)
     # decided rows (gid null) only pass through: deal them by document
     dealt = contexts.repartition(F.coalesce("gid", F.xxhash64("doc", "start"))).sortWithinPartitions("gid")
     return dealt.mapInArrow(_grouped(engine, spec), FLAGS)

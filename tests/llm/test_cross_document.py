@@ -1,6 +1,9 @@
 """Operators that compare documents, against brute force."""
 
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fieldcast.llm import decontam, jaccard_join, quality_rules, repeats, suffix_array, suffix_tree
@@ -32,6 +35,30 @@ def test_repeats(spark, monkeypatch, module, want, columns, hot):
     compare(got, rows, want(pairs(rows)), columns)
 
 
+@pytest.mark.parametrize("module, want, columns", [
+    (suffix_array, brute.byte_repeats, ("n_bytes", "n_removed", "n_spans", "kept_sha256")),
+    (suffix_tree, brute.word_repeats, ("n_words", "n_removed", "kept_sha256")),
+])
+def test_repeats_of_many_rows_without_a_doc_id(spark, module, want, columns):
+    rnd = random.Random(3)
+    passages = [prose(rnd, 30) for _ in range(4)]
+    rows = [(None if i % 3 else i, rnd.choice(passages) + " " + prose(rnd, rnd.randrange(12)) + " " + rnd.choice(passages)) for i in range(90)]
+    rows += [(None, prose(rnd, 14))] * 2 + [(2**63 - 5, passages[0]), (None, passages[1]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    compare(module.remove_repeats(docs).collect(), rows, want(rows), columns)
+
+
+def test_crowded_rows_tell_their_documents():
+    spec = repeats.Spec("word", 13, 6, within=False)
+    text = " ".join(map(str, range(13))).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array([text] * 500, pa.binary())], ["doc", "text"])
+    sampled = pa.Table.from_batches(repeats._sampled(spec)([batch])).sort_by("key").select(["key", "doc"]).combine_chunks().to_batches()
+    for hot, want in ((499, True), (500, False)):
+        told = pa.Table.from_batches(repeats._shared(spec, hot)(sampled)).to_pylist()
+        assert {r["doc"] for r in told if r["doc"] is not None} == set(range(500))
+        assert any(r["hot"] for r in told) == want
+
+
 @pytest.mark.parametrize("module", [suffix_array, suffix_tree])
 def test_repeats_of_no_rows(spark, module):
     assert module.remove_repeats(hard_table(spark, [])).collect() == []
