@@ -1,11 +1,20 @@
 """Plans and results that must hold when tables grow: what is broadcast, what is shuffled, what is scored."""
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from fieldcast.operators import countmodel as CM
 from fieldcast.operators import similar as SIM
+from fieldcast.operators import widescore as WS
 from fieldcast.operators.features import FEATURE_NAMES
+from fieldcast.plans.context import Ctx
+from fieldcast.plans.q_model import Model
+
+SF = "/root/testdata/sf0.001"
+data = pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
 
 
 def plan_of(df):
@@ -21,3 +30,24 @@ def test_neighbours_are_not_joined_by_broadcast(spark):
     found = SIM.nearest(q, t, "qid", "tid", k=3)
     assert "BroadcastExchange" not in plan_of(found)
     assert found.count() == 150
+
+
+@data
+def test_profiles_are_scored_once_per_distinct_input(spark, monkeypatch):
+    """Copies of profiles add no scoring, and get the decisions that scoring every row gives; wide indicators in small blocks too."""
+    m = Model(Ctx(spark, SF))
+    some = m.inputs().limit(60).localCheckpoint()
+    copies = some.withColumn("profile_id", F.explode(F.array(*[F.col("profile_id") + F.lit(i * 10**9) for i in range(5)])))
+    monkeypatch.setattr(WS, "BLOCK_INPUTS", 7)
+    monkeypatch.setattr(WS, "BLOCK_COUNTS", 300)
+    monkeypatch.setattr(WS, "PIECE_COUNTS", 3000)
+    scored, plain = [], CM.predict
+    monkeypatch.setattr(CM, "predict", lambda rows, *a, **k: (scored.append(rows.count()), plain(rows, *a, **k))[1])
+    got = CM.predict_profiles(copies, m.modelled_list, m.model, "profile_id").collect()
+    assert scored == [some.select(*CM.NB_FEATURES).distinct().count() * len(m.modelled_list)]
+    asked = some.withColumn("indicator", F.explode(F.array(*[F.lit(i) for i in m.modelled_list])))
+    want = {(r.profile_id, r.indicator): r for r in plain(asked, m.model, "profile_id", dense_classes=10**9).collect()}
+    assert len(got) == 5 * len(want)
+    for r in got:
+        w = want[r.profile_id % 10**9, r.indicator]
+        assert r.predicted_class == w.predicted_class and abs(r.confidence - w.confidence) < 1e-6
