@@ -51,3 +51,45 @@ def test_profiles_are_scored_once_per_distinct_input(spark, monkeypatch):
     for r in got:
         w = want[r.profile_id % 10**9, r.indicator]
         assert r.predicted_class == w.predicted_class and abs(r.confidence - w.confidence) < 1e-6
+
+
+@data
+def test_split_ranks_carry_no_features(spark, monkeypatch):
+    """The ranks and the counts behind the slots move keys; slots with and without features are the same."""
+    m = Model(Ctx(spark, SF))
+    ranked, plain = [], CM.rank_within
+    monkeypatch.setattr(CM, "rank_within", lambda df, *a, **k: (ranked.append(set(df.columns)), plain(df, *a, **k))[1])
+    cols = ["indicator", "row_key", "class", "is_test", "n_folds", "fold", "eval_on_train"]
+    with_features = sorted(map(tuple, CM.split(m.ex).select(*cols).collect()))
+    assert ranked and not any(c & set(CM.NB_FEATURES) for c in ranked)
+    assert with_features == sorted(map(tuple, CM.split_keys(m.ex).select(*cols).collect()))
+
+
+def test_hot_rank_shuffles_once(spark):
+    from fieldcast.operators.util import distributed_rank
+    rows = spark.range(3000).select((F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 3001).alias("o"))
+    ranked = distributed_rank(rows, ["g"], "o", "r")
+    assert "Exchange hashpartitioning" not in plan_of(ranked)  # the written rows stay where they are
+    got = {}
+    for r in ranked.collect():
+        got.setdefault(r.g, []).append((r.o, r.r))
+    assert all([n for _, n in sorted(v)] == list(range(1, len(v) + 1)) for v in got.values())
+    assert sum(map(len, got.values())) == 3000
+
+
+@data
+def test_equal_inputs_are_explained_once(spark, monkeypatch):
+    from fieldcast.operators import explain as EX
+    m = Model(Ctx(spark, SF), ["BH-1"])
+    raw = m.ctx.profiles.select(F.col("row_id").alias("profile_id"), *[c for c in m.ctx.profiles.columns if c != "row_id"]).limit(20).localCheckpoint()
+    req = m.requests().join(raw.select("profile_id"), "profile_id").localCheckpoint()
+    copied = lambda df: df.withColumn("profile_id", F.explode(F.array(F.col("profile_id"), -F.col("profile_id") - 1)))
+    assert m.model.fv.count() > 0  # fitted before the calls are counted
+    stacked, plain = [], CM.stack
+    monkeypatch.setattr(CM, "stack", lambda df, keep: (stacked.append(df.count()), plain(df, keep))[1])
+    cols = ["raw_feature", "predicted_class", "input_value"]
+    once = EX.contributions(req, m.model, raw, "profile_id")
+    twice = EX.contributions(copied(req), m.model, copied(raw), "profile_id")
+    assert stacked[0] == stacked[-1]
+    rows = lambda df: sorted((r.profile_id, *[r[c] for c in cols], round(r.impact, 9)) for r in df.collect())
+    assert rows(twice.filter("profile_id >= 0")) == rows(once) and twice.count() == 2 * once.count() == 440
