@@ -93,3 +93,18 @@ def test_equal_inputs_are_explained_once(spark, monkeypatch):
     assert stacked[0] == stacked[-1]
     rows = lambda df: sorted((r.profile_id, *[r[c] for c in cols], round(r.impact, 9)) for r in df.collect())
     assert rows(twice.filter("profile_id >= 0")) == rows(once) and twice.count() == 2 * once.count() == 440
+
+
+@data
+def test_training_profiles_are_made_once(spark, monkeypatch):
+    """Encoders, modes and encoding read one written table: the answers behind it are in no plan of theirs."""
+    from fieldcast.operators import features as FE
+    from fieldcast.plans import q_model as Q
+    seen = []
+    for name in ("fit_encoders", "fit_modes", "encode"):
+        monkeypatch.setattr(FE, name, lambda df, *a, _plain=getattr(FE, name), **k: (seen.append(plan_of(df)), _plain(df, *a, **k))[1])
+    out = Q.encode_fit_transform(Ctx(spark, SF))
+    assert len(seen) == 3 and not any("lineitem" in p for p in seen) and "lineitem" not in plan_of(out)
+    seen.clear()
+    Q.encode_apply(Ctx(spark, SF))
+    assert len(seen) == 3 and not any("lineitem" in p for p in seen)
