@@ -108,3 +108,47 @@ def test_training_profiles_are_made_once(spark, monkeypatch):
     seen.clear()
     Q.encode_apply(Ctx(spark, SF))
     assert len(seen) == 3 and not any("lineitem" in p for p in seen)
+
+
+@data
+def test_first_answers_are_not_sorted_in_the_scan_of_a_written_table(spark, monkeypatch):
+    """A written table of answers is tiny on disk, so its scan has few tasks. The model's own plans write neither
+    it nor, where no split reads them, the training rows; with and without metadata they are the same."""
+    from fieldcast.operators import answers as A
+    from fieldcast.plans import q_model as Q
+    from fieldcast.plans import context
+    written, plain, asked = [], Q.materialize, []
+    monkeypatch.setattr(Q, "materialize", lambda df, *a: (written.append(df.columns), plain(df, *a))[1])
+    first = A.first_answer_rows
+    monkeypatch.setattr(context.A, "first_answer_rows", lambda df, *a: (asked.append(plan_of(df)), first(df, *a))[1])
+    bare = Model(Ctx(spark, SF), meta=False)
+    got = sorted(map(tuple, CM.log_probs(bare.model).collect()))
+    assert "lineitem" in asked[0] and not any("row_key" in c for c in written)
+    assert got == sorted(map(tuple, CM.log_probs(Model(Ctx(spark, SF)).model).collect()))
+
+
+def test_log_probs_leave_the_counts_where_they_are(spark):
+    rows = [("i", "ab"[n % 2], n, *[str(n % 3)] * len(CM.NB_FEATURES)) for n in range(12)]
+    ex = spark.createDataFrame(rows, "indicator string, class string, row_key long, " + ", ".join(f"{f} string" for f in CM.NB_FEATURES))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for counts of a size that Spark does not know
+    try:
+        plan = plan_of(CM.log_probs(CM.fit(ex).materialized()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_rows_are_dealt_to_as_many_tasks_as_they_ask_for(spark, monkeypatch, tmpdir_path):
+    """More rows than the session's partitions hold go to more tasks, by the shuffle that the window makes anyway."""
+    from pyspark.sql import Window
+    from fieldcast.operators import util
+    spark.range(1000).select((F.col("id") % 300).alias("k"), "id").write.parquet(f"{tmpdir_path}/t")
+    t = spark.read.parquet(f"{tmpdir_path}/t")
+    numbered = lambda df: df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id")))
+    want = sorted(map(tuple, numbered(util.dealt(t, "k")).collect()))
+    assert util.dealt(t, "k") is t
+    monkeypatch.setattr(util, "TASK_ROWS", 50)
+    many = numbered(util.dealt(t, "k"))
+    assert plan_of(many).count("Exchange") == 1 and many.rdd.getNumPartitions() == 20
+    assert sorted(map(tuple, many.collect())) == want
