@@ -152,3 +152,35 @@ def test_rows_are_dealt_to_as_many_tasks_as_they_ask_for(spark, monkeypatch, tmp
     many = numbered(util.dealt(t, "k"))
     assert plan_of(many).count("Exchange") == 1 and many.rdd.getNumPartitions() == 20
     assert sorted(map(tuple, many.collect())) == want
+
+
+@data
+def test_first_answers_are_sorted_in_tasks_of_a_size(spark, monkeypatch):
+    """The session's own shuffles, which adaptive execution coalesces by compressed bytes, do not take more rows than a
+    task may sort: first answers are dealt by number, each sorted once, hot profiles first aggregated where they are."""
+    from fieldcast.operators import answers as A
+    from fieldcast.operators import util
+    rows = lambda df: sorted(map(repr, df.collect()))
+    want = rows(Ctx(spark, SF).first_rows)
+    monkeypatch.setattr(util, "TASK_ROWS", 500)
+    some = Ctx(spark, SF)
+    n = -(-some.table("lineitem").count() // 500)
+    plan = plan_of(some.first_rows)
+    assert f", {n}), REPARTITION_BY_NUM" in plan and rows(some.first_rows) == want
+    monkeypatch.setattr(A, "HOT_PROFILE_ROWS", 1)
+    profiles = Ctx(spark, SF).profiles
+    hot = Ctx(spark, SF)
+    hot.__dict__["profiles"] = profiles.unionByName(profiles.filter("row_id % 3 = 0"))
+    assert A.hot_profiles(hot.profiles)
+    assert rows(hot.first_rows) == want
+
+
+def test_ranks_are_sorted_in_tasks_of_a_size(spark, monkeypatch):
+    from fieldcast.operators import util
+    rows = spark.range(1000).select((F.col("id") % 7).alias("g"), ((F.col("id") * 7919) % 3001).alias("o"))
+    rows = rows.unionByName(spark.range(500).select(F.lit(99).cast("long"), F.col("id")).toDF("g", "o"))
+    want = sorted(map(tuple, util.rank_within(rows, ["g"], "o", "r", hot_rows=400).collect()))
+    monkeypatch.setattr(util, "TASK_ROWS", 50)
+    ranked = util.rank_within(rows, ["g"], "o", "r", hot_rows=400, deal=True)
+    assert "hashpartitioning(g" in plan_of(ranked) and ", 20), REPARTITION_BY_NUM" in plan_of(ranked)
+    assert sorted(map(tuple, ranked.collect())) == want
