@@ -184,3 +184,24 @@ def test_ranks_are_sorted_in_tasks_of_a_size(spark, monkeypatch):
     ranked = util.rank_within(rows, ["g"], "o", "r", hot_rows=400, deal=True)
     assert "hashpartitioning(g" in plan_of(ranked) and ", 20), REPARTITION_BY_NUM" in plan_of(ranked)
     assert sorted(map(tuple, ranked.collect())) == want
+
+
+def test_smoothings_are_scored_in_one_pass(spark, monkeypatch):
+    """A grid of smoothings makes counts, inputs and blocks once, and has the accuracies of one plan for each."""
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice("abc"), n, *[str(rnd.randint(0, 3)) for _ in CM.NB_FEATURES]) for i in ("i", "k") for n in range(90)]
+    ex = spark.createDataFrame(rows, "indicator string, class string, row_key long, " + ", ".join(f"{f} string" for f in CM.NB_FEATURES))
+    split = CM.split(ex).localCheckpoint()
+    asked, plain = [], WS.decide_inputs
+    monkeypatch.setattr(WS, "decide_inputs", lambda *a: (asked.append(a[3]), plain(*a))[1])
+    got = {(r.indicator, r.alpha): (r.n_folds, round(float(r.cv_accuracy), 6)) for r in CM.cv_accuracy(split, 10, [0.25, 2.0]).collect()}
+    assert asked == [[0.25, 2.0]]
+    test, m = split.withColumn("indicator", F.concat_ws("#", "indicator", F.col("fold").cast("string"))), CM.fold_models(split)
+    for alpha in (0.25, 2.0):
+        each = CM.predict(test, m.with_alpha(alpha), "row_key", ("class",), dense_classes=10**9).collect()
+        for name in ("i", "k"):
+            folds = {}
+            for r in each:
+                if r.indicator.startswith(name):
+                    folds.setdefault(r.indicator, []).append(r.predicted_class == r["class"])
+            assert got[name, alpha] == (len(folds), round(sum(sum(f) / len(f) for f in folds.values()) / len(folds), 6))
