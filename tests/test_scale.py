@@ -205,3 +205,33 @@ def test_smoothings_are_scored_in_one_pass(spark, monkeypatch):
                 if r.indicator.startswith(name):
                     folds.setdefault(r.indicator, []).append(r.predicted_class == r["class"])
             assert got[name, alpha] == (len(folds), round(sum(sum(f) / len(f) for f in folds.values()) / len(folds), 6))
+
+
+def _examples(spark, seed=7, rows=90):
+    """Own training rows of two indicators: a has three classes, b has two."""
+    rnd = random.Random(seed)
+    told = [(i, rnd.choice("abc" if i == "a" else "xy"), n, *[str(rnd.randint(0, 2)) for _ in CM.NB_FEATURES]) for i in "ab" for n in range(rows)]
+    return spark.createDataFrame(told, "indicator string, class string, row_key long, " + ", ".join(f"{f} string" for f in CM.NB_FEATURES))
+
+
+def test_holdout_rows_are_scored_once(spark):
+    """The metrics read written confusion counts: no look-up of the model is left in their plan."""
+    split = CM.split(_examples(spark)).localCheckpoint()
+    preds = [tuple(r) for r in CM.holdout(split)[0].select("indicator", "actual", "predicted").collect()]
+    cells, metrics = CM.evaluate(split)
+    assert "lambda" not in plan_of(metrics) and "lambda" not in plan_of(cells)
+    assert {tuple(r) for r in cells.collect()} == {(*p, preds.count(p)) for p in preds}
+    for r in metrics.collect():
+        mine = [(a, p) for i, a, p in preds if i == r.indicator]
+        assert len(mine) == r.test_samples and abs(r.accuracy - sum(a == p for a, p in mine) / len(mine)) < 1e-9
+
+
+def test_split_rows_are_joined_in_tasks_of_a_size(spark, monkeypatch):
+    """The join that brings the features back sorts whole rows: it has as many tasks as they ask for."""
+    from fieldcast.operators import util
+    ex = _examples(spark)
+    want = sorted(map(tuple, CM.split(ex).collect()))
+    monkeypatch.setattr(util, "TASK_ROWS", 10)
+    found = CM.split(ex)
+    assert plan_of(found).count("18), REPARTITION_BY_NUM") >= 2
+    assert sorted(map(tuple, found.collect())) == want
