@@ -214,6 +214,20 @@ def _examples(spark, seed=7, rows=90):
     return spark.createDataFrame(told, "indicator string, class string, row_key long, " + ", ".join(f"{f} string" for f in CM.NB_FEATURES))
 
 
+def test_answers_are_folded_before_they_go_back(spark):
+    """Sums over an input's answers go back to its profiles, not the answers; keys may repeat and features be null."""
+    m = CM.fit(_examples(spark)).materialized()
+    rnd = random.Random(8)
+    rows = [(n % 40, *[rnd.choice(["0", "1", "9", None]) for _ in CM.NB_FEATURES]) for n in range(60)]
+    profiles = spark.createDataFrame(rows + rows[:5], "key long, " + ", ".join(f"{f} string" for f in CM.NB_FEATURES)).localCheckpoint()
+    fold = [F.sum("confidence").alias("s"), F.count(F.lit(1)).alias("n")]
+    folded = CM.predict_profiles(profiles, ["a", "b"], m, "key", fold=fold)
+    assert folded.columns == ["key", "s", "n"] and "inline(" not in plan_of(folded)
+    got = {r.key: (round(r.s, 6), r.n) for r in folded.groupBy("key").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
+    each = CM.predict_profiles(profiles, ["a", "b"], m, "key").groupBy("key").agg(F.sum("confidence").alias("s"), F.count(F.lit(1)).alias("n"))
+    assert got == {r.key: (round(r.s, 6), r.n) for r in each.collect()} and sum(n for _, n in got.values()) == 130
+
+
 def test_holdout_rows_are_scored_once(spark):
     """The metrics read written confusion counts: no look-up of the model is left in their plan."""
     split = CM.split(_examples(spark)).localCheckpoint()
