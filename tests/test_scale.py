@@ -249,3 +249,41 @@ def test_split_rows_are_joined_in_tasks_of_a_size(spark, monkeypatch):
     found = CM.split(ex)
     assert plan_of(found).count("18), REPARTITION_BY_NUM") >= 2
     assert sorted(map(tuple, found.collect())) == want
+
+
+def test_neighbours_are_searched_where_the_rows_are(spark, monkeypatch):
+    """A query meets its own block and the few that its k-th distance reaches: no copies for cells around it, no table
+    of pairs; many blocks, blocks of queries in parts and a query far outside give what brute force gives."""
+    import math
+    rnd = random.Random(12)
+    vec = lambda: [float(rnd.randint(0, 4)) for _ in FEATURE_NAMES[1:]]
+    train = [(i, rnd.uniform(0, 1e5), *vec()) for i in range(600)] + [(900 + i, 5.0, *[1.0] * 10) for i in range(20)]
+    asked = [(i, rnd.uniform(0, 1e5), *vec()) for i in range(150)] + [(990, 5.0, *[1.0] * 10), (991, -1e7, *[9.0] * 10), (992, 5.0, *[1.0] * 10)]
+    schema = ", ".join(f"{f} double" for f in FEATURE_NAMES)
+    t, q = spark.createDataFrame(train, f"tid long, {schema}"), spark.createDataFrame(asked, f"qid long, {schema}")
+    met, plain = [], SIM._meet
+    monkeypatch.setattr(SIM, "BLOCK_QUERIES", 9)
+    monkeypatch.setattr(SIM, "_meet", lambda df, *a: (met.append(df.count()), plain(df, *a))[1])
+    got = {}
+    found = SIM.nearest(q, t, "qid", "tid", k=3, dense=60)
+    for r in found.collect():
+        got.setdefault(r.qid, {})[r["rank"]] = (r.neighbour_id, float(r.distance))
+    assert met[0] == 152 and met[1] < 152  # the distinct queries, and those near the side of their block
+    for i, *v in asked:
+        want = sorted((math.dist(v, w), j) for j, *w in train)[:3]
+        assert [got[i][n][0] for n in (1, 2, 3)] == [j for _, j in want]
+        assert all(abs(got[i][n][1] - d) < 1e-5 for n, (d, _) in zip((1, 2, 3), want, strict=True))
+
+
+@data
+def test_answers_are_shuffled_once_by_their_row(spark):
+    """The window over a row's answers and the join with its profile share one shuffle, of the table's own columns."""
+    ctx = Ctx(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of a size
+    try:
+        plan = plan_of(ctx.answers)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning(l_orderkey" in plan and plan.count("Exchange hashpartitioning(row_id") <= 1
+    side = plan[plan.index("Window"):]
+    assert "Exchange hashpartitioning(row_id" not in plan[:plan.index("Window")] and "Supplier" not in side[:side.index("FileScan")]
