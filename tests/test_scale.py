@@ -287,3 +287,18 @@ def test_answers_are_shuffled_once_by_their_row(spark):
     assert "Exchange hashpartitioning(l_orderkey" in plan and plan.count("Exchange hashpartitioning(row_id") <= 1
     side = plan[plan.index("Window"):]
     assert "Exchange hashpartitioning(row_id" not in plan[:plan.index("Window")] and "Supplier" not in side[:side.index("FileScan")]
+
+
+@data
+def test_reasons_need_no_row_per_feature(spark):
+    """The reasons come from lists, with no explosion after the requests' join, and are those of the long table;
+    a key of several rows and a class of its own for each too."""
+    from fieldcast.operators import explain as EX
+    from fieldcast.plans import q_model as Q
+    ctx = Ctx(spark, SF)
+    ctx.__dict__["profiles"] = ctx.profiles.unionByName(ctx.profiles.filter("row_id % 5 = 0")).localCheckpoint()
+    expl = Q.leading_drivers(ctx)
+    plan = plan_of(expl)
+    assert "inline(_all" not in plan and "WindowGroupLimit" not in plan
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(EX.reasons(expl)) == rows(EX.reasons(Q.explanations(ctx)))
