@@ -302,3 +302,40 @@ def test_reasons_need_no_row_per_feature(spark):
     assert "inline(_all" not in plan and "WindowGroupLimit" not in plan
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(EX.reasons(expl)) == rows(EX.reasons(Q.explanations(ctx)))
+
+
+def test_scoring_tasks_follow_the_work(spark):
+    """An indicator with most of the profiles is scored in several slices, one with few in one: no task has it all."""
+    inputs = spark.createDataFrame([("wide", b) for b in range(2)] + [("few", b) for b in range(9)], "indicator string, block int")
+    profiles = spark.createDataFrame([("wide", b) for b in range(40)] + [("few", 0)], "indicator string, block int")
+    got = {r.indicator: (r.blocks, r.slices) for r in WS._slices(inputs, profiles, 16).collect()}
+    assert got == {"wide": (2, 8), "few": (9, 1)}
+
+
+def test_nearest_classes_are_compared_at_once(monkeypatch):
+    """Inputs with a class near their best one are compared after all inputs met the profiles, not in every small step;
+    class, likelihood and sum are those of plain loops."""
+    import numpy as np
+    import pyarrow as pa
+    rnd = np.random.default_rng(4)
+    n, classes, alphas = 300, 40, [0.5, 1.0]
+    coded = rnd.integers(-1, 6, (len(WS.FEATURES), n))
+    of = lambda f, c: c + 6 * f if c >= 0 else -1
+    arrays = [pa.array(np.arange(n))] + [pa.array([of(f, c) for c in coded[f]]) for f in range(len(WS.FEATURES))]
+    counts = np.where(rnd.random((classes, 6 * len(WS.FEATURES))) < 0.4, rnd.integers(1, 5, (classes, 6 * len(WS.FEATURES))), 0)
+    base, copies = rnd.normal(-3, 1, (2, classes)), rnd.integers(1, 3, classes).astype(float)
+    monkeypatch.setattr(WS, "CELLS", 20 * classes)
+    compared, plain = [], WS._Inputs._better
+    monkeypatch.setattr(WS._Inputs, "_better", lambda self, a, rows, *x: (compared.append(len(rows)), plain(self, a, rows, *x))[1])
+    held = WS._Inputs(0, pa.StructArray.from_arrays(arrays, ["id", *WS.FEATURES]), alphas)
+    for half in (slice(0, 20), slice(20, 40)):
+        at, codes = np.nonzero(counts[half])
+        held.meet(np.arange(classes)[half], base[:, half], copies[half], codes, counts[half][at, codes], at)
+    assert all(c == 40 for c in compared[:7]) and len(compared) < 2 * 2 * 300 // 20  # steps of 40 inputs, full ones first
+    got = {(r["id"], r["a"]): r for r in held.result().to_pylist()}
+    for i in range(n):
+        met = [of(f, c) for f, c in enumerate(coded[:, i]) if c >= 0]
+        for a, alpha in enumerate(alphas):
+            p = np.exp(base[a]) * np.prod(1 + counts[:, met] / alpha, axis=1)
+            r = got[i, a]
+            assert r["idx"] == p.argmax() and abs(r["best"] / p.max() - 1) < 1e-9 and abs(r["total"] / (p @ copies) - 1) < 1e-9
